@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import ogg, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -21,3 +21,8 @@ def query(f):
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+
+
+@query
+def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digest(table(spark, sf_dir, "documents"))
