@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ogg, sharding
+from . import ogg, packing, sharding
 from .workspace import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """The path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -26,3 +33,8 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
