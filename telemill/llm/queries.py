@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ogg, packing, sharding
+from . import minhash, ogg, packing, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -38,3 +38,8 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
