@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, ogg, packing, sharding
+from . import minhash, ogg, packing, quality, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@query
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
