@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, ogg, packing, quality, sharding
+from . import licenses, minhash, ogg, packing, quality, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -48,3 +48,9 @@ def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.concat_ws(";", F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["stop"].cast("string"), s["edits"].cast("string")))))
