@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, ogg, packing, quality, sharding
+from . import licenses, minhash, ogg, packing, pii, quality, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -54,3 +54,12 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.withColumn("spans", F.concat_ws(";", F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["stop"].cast("string"), s["edits"].cast("string")))))
+
+
+#: For these public test tables; real runs pass a secret of their own.
+PII_KEY = b"telemill public test key"
+
+
+@query
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
