@@ -5,9 +5,9 @@ symbols; cut into CHUNKS chunks, one chunk then differs in at most ``LIMIT // CH
 one-symbol errors are enumerated by leaving out each symbol of each chunk: every such pair shares a key of a chunk, the
 left-out place and the other symbols.  So all pairs within LIMIT meet, whatever else.
 
-What meets is confirmed on whole shingle sets, without making all pairs of a group: first each key's members with the
-key's smallest member; then, only where a key still holds documents of different components, the pairs across
-components within LIMIT, in blocks of bounded size.  Pairs within one component can't change the result.
+What meets hangs together in families, for which one row a member is enough.  A family's members are then compared in
+blocks of bounded size: pairs within LIMIT are confirmed on whole shingle sets, inside the task, and only links that
+connect something new leave it.  So neither pairs nor links are ever listed by the square of a group's size.
 """
 
 from __future__ import annotations
@@ -18,18 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from .arrow import map_columns
+from .blocks import Connected, linked_within
 from .components import components
 from .shingles import mix, shingle_sets
 from .workspace import materialise
 
 SYMBOLS, CHUNKS, LIMIT = 40, 10, 19
 WIDTH = SYMBOLS // CHUNKS
-#: Members of one key that are compared with as many others at once.
-BLOCK = 1024
+#: Members of a family, and hashes of their sets, that are compared with as many others at once.
+BLOCK, BLOCK_HASHES = 1024, 1 << 20
 
 _SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _TERMS = _SEEDS[:SYMBOLS] | np.uint64(1), _SEEDS[SYMBOLS:]
@@ -91,77 +90,69 @@ def _key_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long")
 
 
-def _near_sizes(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _shared_counts(rows: list[np.ndarray], cols: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Sizes of all intersections of sorted distinct sets, as parts of one (rows, cols) matrix that add up to it."""
+    values, number = np.unique(np.concatenate(rows + cols), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows) + len(cols)), [len(x) for x in rows + cols])
+    left = owner < len(rows)
+    both = (np.bincount(number[left], minlength=len(values)) > 0) & (np.bincount(number[~left], minlength=len(values)) > 0)
+    place = np.cumsum(both) - 1
+    use = both[number]
+    owner, at = owner[use], place[number[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    step = 4096
+    for begin in range(0, int(both.sum()), step):
+        a, b = np.searchsorted(at, (begin, begin + step))
+        inside = np.zeros((len(rows) + len(cols), step), dtype=np.float32)
+        inside[owner[a:b], at[a:b] - begin] = 1
+        yield inside[: len(rows)] @ inside[len(rows) :].T
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sum")).where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b")
+def _similar(shared, n_a, n_b, percent: int):
+    return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a key with different labels and at most LIMIT differing symbols, by blocks.
+def links(columns: dict, i: int, j: int, percent: int = 75) -> list[tuple[int, int]]:
+    """Links that connect what is linked between the blocks i and j (or within i) of a family: a spanning forest.
 
-    ``members`` has key, node, n, label, signature and size (rows of the key).  Each row goes to as many tasks as its
-    key has blocks; a task's group has at most about 2 * BLOCK rows.
+    Candidates are the pairs with at most LIMIT differing symbols.  Each is decided on whole sets unless its two
+    documents are connected already: one by one if there are few, else all at once by a product of incidence matrices.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "signature"
-    )
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    schema = "a long, b long"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, label, n, own = (group[c].to_numpy() for c in ("node", "label", "n", "own"))
-        sig = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        rows, cols = (np.flatnonzero(own == x) for x in (i, j))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(rows), 64):
-            r = rows[at : at + 64]
-            far = np.zeros((len(r), len(cols)), dtype=np.uint8)
-            for k in range(SYMBOLS):
-                far += sig[r, k][:, None] != sig[cols, k][None, :]
-            low, high = np.minimum(n[r][:, None], n[cols]), np.maximum(n[r][:, None], n[cols])
-            ok = (far <= LIMIT) & (label[r][:, None] != label[cols]) & (100 * low >= percent * high)
-            if i == j:
-                ok &= node[r][:, None] < node[cols]
-            x, y = np.nonzero(ok)
-            found.append((node[r][x], node[cols][y]))
-        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return np.minimum(x, y), np.maximum(x, y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = compare(pa.Table.from_batches(held))
-                held.clear()
-                for at in range(0, len(a), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], schema=arrow)
-
-        last = None
-        for batch in batches:
-            ids = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e > s:
-                    if last is not None and (ids[s] != last).any():
-                        yield from flush()
-                    held.append(batch.slice(s, e - s))
-                    last = ids[s]
-        yield from flush()
-
-    return dealt.mapInArrow(run, schema)
+    node, own, sets = np.array(columns["node"]), np.array(columns["own"]), columns["hashes"]
+    sig = np.frombuffer(b"".join(columns["signature"]), "<u2").reshape(-1, SYMBOLS)
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    rows, cols = (np.flatnonzero(own == x) for x in (i, j))
+    near = np.zeros((len(rows), len(cols)), dtype=bool)
+    distance = np.zeros((len(rows), len(cols)), dtype=np.uint8)
+    for at in range(0, len(rows), 64):
+        r = rows[at : at + 64]
+        far = distance[at : at + 64]
+        for k in range(SYMBOLS):
+            far += sig[r, k][:, None] != sig[cols, k][None, :]
+        low, high = np.minimum(n[r][:, None], n[cols]), np.maximum(n[r][:, None], n[cols])
+        near[at : at + 64] = (far <= LIMIT) & (100 * low >= percent * high)
+    if i == j:
+        near &= node[rows][:, None] < node[cols]
+    pairs = int(near.sum())
+    connected = Connected(node)
+    if pairs * (15 + 0.04 * n.mean()) < 2e-4 * len(rows) * len(cols) * n.sum() / 50 + 1000:
+        x, y = np.nonzero(near)
+        order = np.argsort(distance[x, y], kind="stable")
+        for a, b in zip(rows[x[order]].tolist(), cols[y[order]].tolist(), strict=True):
+            if not connected.already(a, b):
+                shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if _similar(shared, n[a], n[b], percent):
+                    connected.join(a, b)
+        return connected.links
+    shared = np.zeros(near.shape, dtype=np.float64)
+    for part in _shared_counts([sets[r] for r in rows], [sets[c] for c in cols]):
+        shared += part
+    near &= _similar(shared, n[rows][:, None], n[cols], percent)
+    for k, a in enumerate(rows):
+        for b in cols[near[k]]:
+            connected.join(a, b)
+    return connected.links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -176,36 +167,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    # Families: what hangs together by shared keys.  Each key gives one link for each member, not one for each pair.
     keys = _key_rows(classes)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("center")).where("size > 1")
-    members = materialise(_key_rows(classes).join(shared, "key").select("key", "node", "n", "size", F.col("center.node").alias("center"), F.col("center.n").alias("center_n")), "members")
+    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("key", "center")
+    meet = _key_rows(classes).join(shared, "key").where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    family = components(meet, "families").withColumnRenamed("component", "family")
+    family = materialise(family.join(classes, "node"), "family-members")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
+    wanted = family.join(sizes.select("family", blocks.alias("blocks")), "family").select("family", "blocks", "node", "rep", "digest", "signature")
 
-    # Whole sets of those that share a key with another; found again by the id of one row of the class.
-    wanted = members.select("node").distinct().join(classes.select("node", "rep", "digest"), "node")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "digest", "text")
+    # Their whole sets, from the texts; a text is found again by the id of one row of the class.
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
 
     def whole(cols: dict) -> dict:
-        out: dict[str, list] = {"node": [], "hashes": []}
-        for node, digest, s in zip(cols["node"], cols["digest"], shingle_sets(cols["text"]), strict=True):
-            if len(s) and _digest(s) == digest:  # else another row with the same id
-                out["node"].append(node)
+        out: dict[str, list] = {k: [] for k in ("family", "blocks", "node", "signature", "hashes")}
+        for k, s in enumerate(shingle_sets(cols["text"])):
+            if len(s) and _digest(s) == cols["digest"][k]:  # else another row with the same id
+                for name in ("family", "blocks", "node", "signature"):
+                    out[name].append(cols[name][k])
                 out["hashes"].append(s.view(np.int64))
         return out
 
-    sets = materialise(map_columns(texts, whole, "node long, hashes array<long>"), "sets")
-
-    stars = members.where("node != center").where(_near_sizes("n", "center_n", percent)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialise(_confirm(stars, sets, percent), "star-edges")
-    labels = components(edges, "star-components")
-
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("label"))
-    labelled = materialise(labelled, "labelled")
-    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    rest = labelled.join(split, "key", "left_semi").join(classes.select("node", "signature"), "node")
-    further = _across(rest, percent).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_confirm(further, sets, percent), "cross-edges")
-
-    found = components(edges.unionByName(more), "components")
+    members = map_columns(texts, whole, "family long, blocks int, node long, signature binary, hashes array<long>")
+    found = components(linked_within(members, ["signature", "hashes"], lambda c, i, j: links(c, i, j, percent)), "components")
     named = classes.select("node", "rep", "digest").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("digest", "component_id")

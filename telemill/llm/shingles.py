@@ -57,12 +57,21 @@ def word_bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+class Prefixes:
+    """Prefix sums of a buffer, from which the hash of any of its substrings takes constant time."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = _power_tables(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the substrings from starts to ends; they depend on the bytes and the length alone."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def substring_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for each pair; they depend on the bytes and the length alone."""
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return Prefixes(buf).hashes(starts, ends)
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
