@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, ogg, packing, pii, quality, sharding
+from . import licenses, linededup, minhash, ogg, packing, pii, quality, sharding
 from .workspace import table
 
 QUERIES: dict = {}
@@ -63,3 +63,8 @@ PII_KEY = b"telemill public test key"
 @query
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query
+def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_repeats", "text")
