@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, minhash, ogg, packing, pii, quality, sharding
+from . import licenses, linededup, minhash, ogg, packing, pii, quality, sharding, vectors
 from .workspace import table
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_repeats", "text")
+
+
+@query
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
