@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, minhash, ogg, packing, pii, quality, sharding, vectors
+from . import licenses, linededup, minhash, ogg, packing, pieces, pii, quality, sharding, vectors
 from .workspace import table
 
 QUERIES: dict = {}
@@ -73,3 +73,8 @@ def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
