@@ -23,7 +23,7 @@ from .arrow import map_columns
 from .blocks import Connected, linked_within
 from .components import components
 from .shingles import mix, shingle_sets
-from .workspace import materialise
+from .workspace import BROADCAST_LIMIT, materialise
 
 SYMBOLS, CHUNKS, LIMIT = 40, 10, 19
 WIDTH = SYMBOLS // CHUNKS
@@ -197,3 +197,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
+
+
+def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one document of each group of near-duplicates.
+
+    An id is a document: it stays if one of its rows is a group's first, and of rows with its id and equal texts one
+    stays.  An empty table stays empty.
+    """
+    found = materialise(near_duplicates(docs, percent), "near-duplicates")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where(~F.col("stays")).select(F.col("doc_id").alias("__id"))
+    if gone.count() * 16 <= BROADCAST_LIMIT:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    repeated = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
