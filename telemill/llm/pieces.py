@@ -27,7 +27,7 @@ from .arrow import map_columns
 BEST = 4
 BLANK = "▁"
 #: Parts whose result is remembered at once.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: An unknown character scores so much less than the worst single character.
 UNKNOWN_PENALTY = 10.0
 
@@ -59,6 +59,15 @@ class Lattice:
         self.unknown = min(s for p, s in self.scores.items() if len(p) == 1) - UNKNOWN_PENALTY
         #: Score of a piece; None for what only begins a piece; what is absent begins none.
         self.begins: dict[str, float | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
+        self.packed_ids = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        #: The same as a tree: character to (score or None, what follows).
+        self.tree: dict[str, list] = {}
+        for piece, score in self.scores.items():
+            at, node = self.tree, None
+            for c in piece:
+                node = at.setdefault(c, [None, {}])
+                at = node[1]
+            node[0] = score
         inside = {c for p in self.scores for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
         if any(BLANK in p.lstrip(BLANK) for p in self.scores):
@@ -75,38 +84,38 @@ class Lattice:
         self.alternatives: dict[tuple[str, int], list] = {}
 
     def id_bytes(self, piece: str) -> bytes:
-        i = self.ids.get(piece)
-        if i is not None:
-            return i.to_bytes(4, "little")
-        return b"".join(self.byte.get(b, self.unknown_id).to_bytes(4, "little") for b in piece.encode())
+        """Packed ids of a piece, or of the bytes of an unknown character."""
+        have = self.packed_ids.get(piece)
+        if have is None:
+            have = self.packed_ids[piece] = b"".join(self.byte.get(b, self.unknown_id).to_bytes(4, "little") for b in piece.encode())
+        return have
 
     def forward(self, s: str) -> tuple[list[float], list[float], list[int]]:
         """For each position the best and second best score from the beginning, and where the best one's edge begins."""
-        n, low, begins = len(s), float("-inf"), self.begins
+        n, low = len(s), float("-inf")
         best, second, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            x, y = best[i], second[i]
-            j = i + 1
-            single = begins.get(s[i:j])
-            w = self.unknown if single is None else single
-            if single is None and s[i] not in begins:
-                j = n  # nothing longer begins here
-            end = i + 1
+            x, y, j = best[i], second[i], i + 1
+            node = self.tree.get(s[i])
+            w = None if node is None else node[0]
+            if w is None:
+                w = self.unknown
             while True:
-                v = x + w
-                if v > best[end]:
-                    second[end] = max(best[end], y + w)
-                    best[end], back[end] = v, i
-                elif v > second[end]:
-                    second[end] = v
-                w = None
-                while w is None and j < n:
-                    j += 1
-                    w = begins.get(s[i:j], low)
-                if w is None or w == low:
+                if w is not None:
+                    v = x + w
+                    if v > best[j]:
+                        second[j] = best[j] if best[j] > y + w else y + w
+                        best[j], back[j] = v, i
+                    elif v > second[j]:
+                        second[j] = v
+                if j == n or node is None:
                     break
-                end = j
+                node = node[1].get(s[j])
+                if node is None:
+                    break
+                w = node[0]
+                j += 1
         return best, second, back
 
     def edges_into(self, s: str) -> list[list[tuple[int, float]]]:
@@ -143,11 +152,12 @@ class Lattice:
 
     def learn(self, s: str) -> int:
         best, second, back = self.forward(s)
-        pieces, at = [], len(s)
+        packed, at, have = b"", len(s), self.packed_ids
         while at:
-            pieces.append(s[back[at] : at])
-            at = back[at]
-        packed = b"".join([self.id_bytes(p) for p in reversed(pieces)])
+            start = back[at]
+            piece = s[start:at]
+            packed = (have[piece] if piece in have else self.id_bytes(piece)) + packed
+            at = start
         k = self.number[s] = len(self.packed)
         self.packed.append(packed)
         self.score.append(best[-1])
