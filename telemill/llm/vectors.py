@@ -30,7 +30,9 @@ SUBSPACES, CODES = 16, 256
 #: A list is probed if a partner within the distance may lie in it along the line to its centre, were its offset in
 #: that direction at most this share of the distance.  1 would be exact for any data; offsets of real pairs spread
 #: over all directions, of which one is a small part.
-REACH = 0.5
+REACH = 0.35
+#: Subspaces that are summed for all codes; the others only where these don't exceed the bound already.
+EARLY = 8
 BLOCK = 1024
 
 
@@ -140,21 +142,27 @@ def _scan(index: Index, columns: dict, cosine: float) -> tuple[list[tuple[int, i
     here = int(columns["list"][0])
     radius = np.sqrt(max(0.0, 2 - 2 * cosine))
     codes = np.frombuffer(b"".join(columns["codes"][k] for k in base), dtype=np.uint8).reshape(len(base), -1)
-    restored = index.decode(codes)
-    error = np.sqrt(((index.residuals(x[base], home[base]) - restored) ** 2).sum(axis=1))
+    error = np.sqrt(((index.residuals(x[base], home[base]) - index.decode(codes)) ** 2).sum(axis=1))
     bound = (radius + error) ** 2 + 1e-9
     centre = index.centres[here]
-    fixed = (restored**2).sum(axis=1) + 2 * restored @ centre
+    norms = (index.words**2).sum(axis=2)
     probed = np.zeros((len(base), len(index.centres)), dtype=bool)
     for k, b in enumerate(base):
         probed[k, columns["probes"][b]] = True
     for at in range(0, len(query), 256):
         q = query[at : at + 256]
-        tables = np.einsum("qmd,mkd->qmk", index.parts(x[q]), index.words)
-        distance = ((x[q] - centre) ** 2).sum(axis=1)[:, None] + fixed[None, :]
-        for m in range(codes.shape[1]):
-            distance -= 2 * np.take(tables[:, m], codes[:, m], axis=1)
+        parts = index.parts(x[q] - centre)
+        # Squared distances of what is left of each query to all code words, by subspace.
+        tables = (parts**2).sum(axis=2)[:, :, None] + norms[None] - 2 * np.einsum("qmd,mkd->qmk", parts, index.words, optimize=True)
+        distance = np.take(tables[:, 0], codes[:, 0], axis=1)
+        for m in range(1, min(EARLY, codes.shape[1])):
+            distance += np.take(tables[:, m], codes[:, m], axis=1)
         a, b = np.nonzero((distance <= bound[None, :]) & (node[q][:, None] != node[base][None, :]))
+        rest = distance[a, b]
+        for m in range(EARLY, codes.shape[1]):
+            rest += tables[a, m, codes[b, m]]
+        near = rest <= bound[b]
+        a, b = a[near], b[near]
         if not len(a):
             continue
         a, k = q[a], b
