@@ -15,19 +15,24 @@ GOOD_BELOW, FAIR_BELOW = 0.3, 0.6
 NORMAL, REVERSED, UNCERTAIN = "normal", "reversed", "uncertain"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unwrap(text: Column, depth: int = 6) -> Column:
     """Take off JSON string encodings, at most ``depth`` of them."""
-    out = F.trim(text)
-    for _ in range(depth):
-        out = F.when(out.startswith('"'), F.trim(F.coalesce(F.get_json_object(out, "$"), out))).otherwise(out)
-    return out
+    layers = F.array(*[F.lit(k) for k in range(depth)])
+    return F.aggregate(layers, F.trim(text), lambda t, _: F.when(t.startswith('"'), F.trim(F.coalesce(F.get_json_object(t, "$"), t))).otherwise(t))
 
 
 def sum_by_key(entries: Column) -> Column:
     """A map from an array of (key, value) structs; values of equal keys are added."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    total = lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda acc, e: acc + e["value"])
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), total(k).alias("value"))))
+    def build(e: Column) -> Column:
+        total = lambda k: F.aggregate(F.filter(e, lambda x: x["key"] == k), F.lit(0).cast("bigint"), lambda acc, x: acc + x["value"])
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda k: F.struct(k.alias("key"), total(k).alias("value"))))
+
+    return let(entries, build)
 
 
 def counts(text: Column, depth: int = 6) -> Column:
@@ -36,20 +41,17 @@ def counts(text: Column, depth: int = 6) -> Column:
     Keys lose their blanks, keys that then are equal are added, numbers are cut to integers.  Null where the text is
     blank, is something else, or has a value that isn't a number.
     """
-    t = unwrap(text, depth)
-    listed = F.from_json(t, "array<string>")
-    t = F.when(t.startswith("[") & (F.size(listed) == 1), unwrap(listed[0], depth)).otherwise(t)
-    raw = F.from_json(F.when(t.startswith("{"), t), "map<string,string>")
-    entries = F.transform(F.map_entries(raw), lambda e: F.struct(F.replace(e["key"], F.lit(" "), F.lit("")).alias("key"), F.floor(e["value"].try_cast("double")).alias("value")))
-    whole = ~F.exists(entries, lambda e: e["value"].isNull())
-    return F.when(~is_blank(text, PAYLOAD_TOKENS) & whole, sum_by_key(entries))
+    entry = lambda e: F.struct(F.replace(e["key"], F.lit(" "), F.lit("")).alias("key"), F.floor(e["value"].try_cast("double")).alias("value"))
+    parse = lambda t: F.transform(F.map_entries(F.from_json(F.when(t.startswith("{"), t), "map<string,string>")), entry)
+    whole = lambda e: F.when(~F.exists(e, lambda x: x["value"].isNull()), sum_by_key(e))
+    only = lambda t: let(F.from_json(F.when(t.startswith("["), t), "array<string>"), lambda a: F.when(F.size(a) == 1, unwrap(a[0], depth)).otherwise(t))
+    return F.when(~is_blank(text, PAYLOAD_TOKENS), let(unwrap(text, depth), lambda t: let(only(t), lambda u: let(parse(u), whole))))
 
 
 def counts_error(text: Column, depth: int = 6) -> Column:
     """Why ``counts`` is null: empty, list or unparsable; null where it isn't."""
-    t = unwrap(text, depth)
-    listed = F.size(F.from_json(t, "array<string>"))
-    return F.when(is_blank(text, PAYLOAD_TOKENS), "empty").when(t.startswith("[") & ((listed != 1) | listed.isNull()), "list").when(counts(text, depth).isNull(), "unparsable")
+    listed = let(unwrap(text, depth), lambda t: t.startswith("[") & (F.coalesce(F.size(F.from_json(t, "array<string>")), F.lit(-1)) != 1))
+    return F.when(is_blank(text, PAYLOAD_TOKENS), "empty").when(listed, "list").when(counts(text, depth).isNull(), "unparsable")
 
 
 def total(m: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distributions import unwrap
+from .distributions import let, unwrap
 from .nulls import PAYLOAD_TOKENS, is_blank
 
 #: Keys under which wrapping objects hold a program, in the order in which they are tried.
@@ -14,9 +14,8 @@ PROGRAM_KEYS = ("qasm", "openqasm", "circuit", "executed_circuit", "data", "payl
 
 def wrapped_program(text: Column) -> Column:
     """The program inside a JSON object: under the first known key; else the text itself."""
-    t = unwrap(text, 10)
-    found = F.coalesce(*[F.get_json_object(t, f"$.{k}") for k in PROGRAM_KEYS])
-    return F.when(t.startswith("{"), F.coalesce(found, t)).otherwise(t)
+    found = lambda t: F.coalesce(*[F.get_json_object(t, f"$.{k}") for k in PROGRAM_KEYS], t)
+    return let(unwrap(text, 10), lambda t: F.when(t.startswith("{"), found(t)).otherwise(t))
 
 
 def source_syntax(text: Column) -> Column:
@@ -31,21 +30,20 @@ def source_syntax(text: Column) -> Column:
 
 def detect_format(text: Column) -> Column:
     """A name for what a cell holds."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    json_list = F.from_json(t, "array<string>").isNotNull()
-    json_map = F.from_json(t, "map<string,string>").isNotNull()
-    syntax = source_syntax(t)
-    return (
-        F.when(t == "", "empty")
-        .when(t.startswith("[") & t.endswith("]"), F.when(json_list & ~t.contains("'"), "json_list").when(json_list, "py_list").otherwise("bracketed_unknown"))
-        .when(t.startswith("{") & t.endswith("}"), F.when(json_map & ~t.contains("'"), "json_dict").when(json_map, "py_dict").otherwise("braced_unknown"))
-        .when(t.startswith("gAS"), "b64_pickle_like")
-        .when(t.rlike(r"(?i)^OPENQASM\s+3"), "qasm3_direct")
-        .when(t.rlike(r"(?i)^OPENQASM\s+2"), "qasm2_direct")
-        .when(syntax == "qasm3", "qasm3_like")
-        .when(syntax == "qasm2", "qasm2_like")
-        .otherwise("other_string")
-    )
+    def name(t: Column) -> Column:
+        json_list = F.from_json(F.when(t.startswith("["), t), "array<string>").isNotNull()
+        json_map = F.from_json(F.when(t.startswith("{"), t), "map<string,string>").isNotNull()
+        return (
+            F.when(t == "", "empty")
+            .when(t.startswith("[") & t.endswith("]"), F.when(json_list, F.when(t.contains("'"), "py_list").otherwise("json_list")).otherwise("bracketed_unknown"))
+            .when(t.startswith("{") & t.endswith("}"), F.when(json_map, F.when(t.contains("'"), "py_dict").otherwise("json_dict")).otherwise("braced_unknown"))
+            .when(t.startswith("gAS"), "b64_pickle_like")
+            .when(t.rlike(r"(?i)^OPENQASM\s+3"), "qasm3_direct")
+            .when(t.rlike(r"(?i)^OPENQASM\s+2"), "qasm2_direct")
+            .otherwise(let(source_syntax(t), lambda s: F.when(s == "unknown", "other_string").otherwise(F.concat(s, F.lit("_like")))))
+        )
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), name)
 
 
 def clean_includes(text: Column) -> Column:
@@ -63,30 +61,34 @@ def items(text: Column) -> Column:
 
     Null has no items.  A list with an empty or nested item is an error and stays one item, the raw text.
     """
-    t = wrapped_program(text)
-    parts = F.from_json(t, "array<string>")
-    bad = F.exists(parts, lambda x: is_blank(x) | F.ltrim(x).startswith("["))
-    listed = t.startswith("[")
-    error = F.when(listed & parts.isNull(), "unparsable list").when(listed & bad, "nested or empty item")
+    def split(t: Column) -> Column:
+        bad = lambda a: F.exists(a, lambda x: is_blank(x) | F.ltrim(x).startswith("["))
+        read = lambda a: _cell(text, F.when(a.isNull(), "unparsable list").when(bad(a), "nested or empty item"), a, text)
+        return F.when(t.startswith("["), let(F.from_json(t, "array<string>"), read)).otherwise(_cell(text, F.lit(""), F.lit(None).cast("array<string>"), text))
+
+    return let(wrapped_program(text), split)
+
+
+def _cell(text: Column, error: Column, listed: Column, single: Column) -> Column:
+    """(kind, items, error); an empty error text stands for a cell that is no list."""
+    plain = error == ""
     return F.struct(
-        F.when(text.isNull(), "empty").when(listed & error.isNull(), "list").otherwise("single").alias("kind"),
-        F.when(text.isNull(), F.array().cast("array<string>")).when(listed & error.isNull(), parts).otherwise(F.array(text)).alias("items"),
-        error.alias("error"),
+        F.when(text.isNull(), "empty").when(error.isNull(), "list").otherwise("single").alias("kind"),
+        F.when(text.isNull(), F.array().cast("array<string>")).when(error.isNull(), listed).otherwise(F.array(single)).alias("items"),
+        F.when(~plain, error).alias("error"),
     )
 
 
 def count_items(text: Column) -> Column:
     """``items`` of a cell of results: a list of objects gives each object's JSON; an object one."""
-    t = unwrap(text, 10)
-    maps = F.from_json(t, "array<map<string,string>>")
-    texts = F.transform(maps, lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
-    listed = t.startswith("[")
-    error = F.when(is_blank(text, PAYLOAD_TOKENS), None).when(listed & (maps.isNull() | F.exists(maps, lambda m: m.isNull())), "unparsable list")
-    return F.struct(
-        F.when(is_blank(text, PAYLOAD_TOKENS), "empty").when(listed & error.isNull(), "list").otherwise("single").alias("kind"),
-        F.when(is_blank(text, PAYLOAD_TOKENS), F.array().cast("array<string>")).when(listed & error.isNull(), texts).otherwise(F.array(t)).alias("items"),
-        error.alias("error"),
-    )
+    def split(t: Column) -> Column:
+        texts = lambda a: F.transform(a, lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
+        bad = lambda a: a.isNull() | F.exists(a, lambda m: m.isNull())
+        blank = F.when(is_blank(text, PAYLOAD_TOKENS), None).otherwise(t)
+        listed = lambda a: _cell(blank, F.when(bad(a), "unparsable list"), texts(a), t)
+        return F.when(t.startswith("["), let(F.from_json(t, "array<map<string,string>>"), listed)).otherwise(_cell(blank, F.lit(""), F.lit(None).cast("array<string>"), t))
+
+    return let(F.coalesce(unwrap(text, 10), F.lit("")), split)
 
 
 def expand_batches(df: DataFrame, job_id: str, payloads: dict[str, Column]) -> DataFrame:

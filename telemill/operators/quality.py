@@ -148,10 +148,10 @@ def contract(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
-    """Ids are integers 1..N without gaps: violations are N missing ones."""
+    """Ids are integers 1..N without gaps: violations count a wrong start and what the largest is off."""
     c = F.col(quoted(column))
     out = df.agg(F.min(c).alias("a"), F.max(c).alias("b"), F.count_distinct(c).alias("n"))
-    wrong = F.when(F.col("a") != 1, F.lit(1)).otherwise(0) + F.coalesce(F.col("b") - F.col("n"), F.lit(0))
+    wrong = F.when(F.col("a") != 1, F.lit(1)).otherwise(0) + F.coalesce(F.abs(F.col("b") - F.col("n")), F.lit(0))
     return out.select(F.lit(f"{column} dense").alias("check"), wrong.cast("long").alias("violations"), (wrong == 0).alias("ok"))
 
 

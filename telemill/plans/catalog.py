@@ -1,6 +1,32 @@
-"""Registry of the catalogue queries: each has a name, a Spark plan and, where SQL can express it, an oracle."""
+"""Registry of the catalogue queries: each has a name, a Spark plan and, where SQL can express it, an oracle.
+
+A query takes (spark, sf_dir) and runs over whole tables.  Importing this module registers all of them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The inventory's operators that each query exercises.
+COVERS: dict[str, str] = {}
+
+
+def query(covers: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__], COVERS[f.__name__] = f, covers
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import alignment, cohort_queries, distribution_queries, payload_queries, program_queries, statistics_queries, table_queries  # noqa: E402, F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,7 @@ def reference(kind: str, text: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.sha2(text, 256))
 
 
-@F.pandas_udf("binary")
-def packed(texts):
+def packed(texts: pd.Series) -> pd.Series:
     """gzip with a fixed time stamp, so equal texts give equal bytes."""
     return texts.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
 
@@ -23,7 +23,7 @@ def packed(texts):
 def blobs(df: DataFrame, text: str, kind: str) -> DataFrame:
     """One row for each distinct text, compressed once."""
     distinct = df.select(F.col(text).alias("text")).where("text is not null and trim(text) != ''").distinct()
-    return distinct.select(reference(kind, F.col("text")).alias("ref"), F.sha2("text", 256).alias("content_hash"), F.lit(kind).alias("kind"), F.lit("gzip").alias("encoding"), packed("text").alias("blob"), F.octet_length("text").cast("long").alias("nbytes"))
+    return distinct.select(reference(kind, F.col("text")).alias("ref"), F.sha2("text", 256).alias("content_hash"), F.lit(kind).alias("kind"), F.lit("gzip").alias("encoding"), F.pandas_udf(packed, "binary")("text").alias("blob"), F.octet_length("text").cast("long").alias("nbytes"))
 
 
 def insert_ignore(spark: SparkSession, new: DataFrame, path: str) -> None:
