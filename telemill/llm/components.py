@@ -1,51 +1,14 @@
-"""Connected components of a graph given as a DataFrame of edges, by alternating large and small stars.
-
-Each round is one aggregation and one join on node ids; Spark combines the aggregation before it shuffles and can split
-the join where one node has very many neighbours.  No task and no driver ever holds all edges.  The number of rounds
-grows with the logarithm of the number of nodes; stars, as operators here make them, need two or three.
-"""
+"""Connected components with intermediate results in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .workspace import materialise
 
+from telemill.operators import graphs
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over undirected edges (hi, lo) with hi > lo.
-
-    Large: every node hands its larger neighbours to the smallest of its neighbourhood.  Small: every node hands its
-    smaller neighbours, and itself, to it.
-    """
-    if large:
-        around = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(least, "u")
-        return joined.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    joined = edges.join(least, "hi")
-    step = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
-    return step.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
-
+from .workspace import materialise
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) of every node that has an edge; component is the smallest node that can be reached.
 
-    ``edges`` has two columns of long ids; loops, repeated edges and rows with a null are ignored; no edges, no rows.
-    """
-    a, b = edges.columns
-    now = edges.where(f"`{a}` != `{b}`").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    now = materialise(now, name)
-    for _ in range(rounds):
-        # Stars pointing to roots: no node is both the lower end of one edge and the upper end of another or twice upper.
-        tops = now.groupBy("hi").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("m"))
-        chained = tops.join(now.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").limit(1).count()
-        if not chained and not tops.where("n > 1").limit(1).count():
-            break
-        now = materialise(_stars(_stars(now, True), False), name)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) of every node that has an edge; see ``graphs.components``."""
+    return graphs.components(edges, lambda df: materialise(df, name))
