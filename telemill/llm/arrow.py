@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of input that a row function gets at once; a longer value comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2048
 
 
@@ -31,6 +31,21 @@ def _bytes(part: pa.RecordBatch) -> int:
     return part.nbytes
 
 
+def map_slices(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str | StructType, setup: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow with ``fn(slice)`` from record batch to record batch; columns that pass are never turned into objects."""
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (setup(),) if setup else ()
+        for batch in batches:
+            for part in slices(batch):
+                out = fn(part, *state)
+                if out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, kind)
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str | StructType, setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with ``fn(columns)`` from a dict of Python lists to a dict of lists (of any equal length).
 

@@ -15,10 +15,12 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .arrow import map_columns
+from .arrow import map_columns, map_slices
 from .feistel import KeyedPermutation
 
 LOWER, UPPER, DIGIT, HEX = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
@@ -137,7 +139,7 @@ def _phone(p: Pseudonyms, text: str) -> str:
     """The country code stays; so do the ranges of area and exchange numbers where the code is 1."""
     d = digits(text)
     code = ""
-    if m := re.match(r"(\+|00)(\d{1,3})(?=\D)", text):
+    if m := re.match(r"(\+|00)([1-9]\d{0,2})(?=\D)", text):
         code = digits(m[1]) + m[2]
     national = d[len(code) :]
     rule = [DIGIT] * len(national)
@@ -225,7 +227,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[Pseudonyms,
     "ip": (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), is_ip, _ip),
     "date": (re.compile(rf"(?<![\w.+/-])(?:\d{{4}}([-/.])\d{{2}}\1\d{{2}}|\d{{2}}([-/.])\d{{2}}\2\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?![\w/-]|\.\d)"), is_date, _date),
     "ssn": (re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)"), is_ssn, _ssn),
-    "phone": (re.compile(r"(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), is_phone, _phone),
+    "phone": (re.compile(r"(?<![\w.+-])(?:(?:\+|(?<!\d )00)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), is_phone, _phone),
 }
 _WORTH = re.compile(r"[0-9@]")
 
@@ -261,19 +263,17 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     empty table stays empty.
     """
     docs = docs.drop("pii")
-    schema = "struct<text: string, pii: array<struct<kind: string, start: int, stop: int>>>"
+    places = _parse_datatype_string("array<struct<kind: string, start: int, stop: int>>")
+    schema = StructType([*docs.schema.fields, StructField("pii", places)])
+    arrow, at = to_arrow_schema(schema), docs.columns.index("text")
 
-    @F.pandas_udf(schema)
-    def new(texts):
-        import pandas as pd
+    def run(part: pa.RecordBatch, p: Pseudonyms) -> pa.RecordBatch:
+        done = [replace(t, p) if t is not None else (None, []) for t in part.column(at).to_pylist()]
+        columns = [*part.columns, pa.array([[{"kind": k, "start": a, "stop": b} for a, b, k in found] for _, found in done], arrow.field("pii").type)]
+        columns[at] = pa.array([t for t, _ in done], arrow.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-        p = Pseudonyms(key)
-        done = [replace(t, p) if isinstance(t, str) else (None, []) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "pii": [[{"kind": k, "start": a, "stop": b} for a, b, k in places] for _, places in done]})
-
-    columns = docs.columns
-    made = docs.withColumn("__new", new("text"))
-    return made.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.col("__new.pii").alias("pii"))
+    return map_slices(docs, run, schema, lambda: Pseudonyms(key))
 
 
 def report(docs: DataFrame, key: bytes) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_columns
+from .arrow import map_columns, map_slices
 from .shingles import substring_hashes, word_bounds
 
 #: At most so many labelled rows are fetched to fit the model; chosen by a hash of the id.
@@ -23,7 +24,7 @@ ACCEPT = 0.7
 
 #: Classes of bytes that are counted.
 _LETTER, _CAPITAL, _DIGIT, _BLANK, _BREAK, _STOP, _BANG, _BAR, _SIGN, _QUOTE, _BRACKET, _HIGH, _CONTROL, _OTHER = range(14)
-_CLASS = np.full(256, _OTHER, dtype=np.int64)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
 _CLASS[:32], _CLASS[127] = _CONTROL, _CONTROL
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = _LETTER, _CAPITAL, _DIGIT, _HIGH
 for _chars, _kind in ((" \t", _BLANK), ("\n\r\v\f", _BREAK), (".,;:?", _STOP), ("!", _BANG), ("|", _BAR), ("*&$%#@~^", _SIGN), ("'\"`", _QUOTE), ("()[]{}<>", _BRACKET)):
@@ -45,9 +46,9 @@ def features(texts: list[str | None]) -> np.ndarray:
     begins = np.concatenate(([0], np.cumsum(sizes)))
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     n, kinds = len(raw), 14
-    doc = np.repeat(np.arange(n), sizes)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
     cls = _CLASS[buf]
-    counts = np.bincount(doc * kinds + cls, minlength=n * kinds).reshape(n, kinds).astype(float)
+    counts = np.bincount(doc * np.int32(kinds) + cls, minlength=n * kinds).reshape(n, kinds).astype(float)
     counts[:, _BREAK] -= 1
     size = sizes - 1
     share = counts / np.maximum(size, 1)[:, None]
@@ -66,7 +67,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     new = np.ones(len(order))
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     distinct = np.bincount(owner[order], weights=new, minlength=n) / np.maximum(words, 1)
-    tail = cls[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.int64)
+    tail = cls[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
     signed = np.isin(tail, (_SIGN, _BANG, _BAR))
 
     breaks = np.flatnonzero(cls == _BREAK)
@@ -189,14 +190,9 @@ def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, sample:
     """The rows of ``docs``, with all their columns, that ``classify`` predicts as 1."""
     model = train(docs, labels, sample)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        from .workspace import batches_of
+    def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array(_scored(part.column(at).to_pylist(), model) >= accept))
 
-        values = [t if isinstance(t, str) else None for t in texts]
-        parts = [_scored(values[a:b], model) for a, b in batches_of(values)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    return docs.where(score("text") >= accept)
+    return map_slices(docs, keep, docs.schema)
