@@ -206,9 +206,9 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     stays.  An empty table stays empty.
     """
     found = materialise(near_duplicates(docs, percent), "near-duplicates")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where(~F.col("stays")).select(F.col("doc_id").alias("__id"))
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where(~F.col("stays")).select("doc_id")
     if gone.count() * 16 <= BROADCAST_LIMIT:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     repeated = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
