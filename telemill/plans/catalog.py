@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import alignment, cohort_queries, distribution_queries, payload_queries, program_queries, statistics_queries, table_queries  # noqa: E402, F401
+from . import alignment, cohort_queries, distribution_queries, payload_queries, program_queries, source_queries, statistics_queries, table_queries  # noqa: E402, F401

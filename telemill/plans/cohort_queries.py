@@ -78,13 +78,13 @@ def onset_cumulative(spark, sf_dir):
 
 @query(
     "A21 W6 D16 A22 W9",
-    "WITH c AS (SELECT o_orderstatus AS scope, o_custkey % 50 AS value, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT * FROM c UNION ALL SELECT 'ALL', value, sum(n)::BIGINT FROM c GROUP BY value), t AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC, value) AS rank, sum(n) OVER (PARTITION BY scope) AS total FROM b) SELECT scope, value, n, round(100 * n / total::DOUBLE, 6) AS share, rank::BIGINT AS rank, round(CASE WHEN value > 0 THEN 1 / sqrt(value) END, 6) AS floor FROM t WHERE rank <= 5",
+    "WITH c AS (SELECT l_returnflag AS scope, l_quantity::BIGINT AS value, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT * FROM c UNION ALL SELECT 'ALL', value, sum(n)::BIGINT FROM c GROUP BY value), t AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC, value) AS rank, sum(n) OVER (PARTITION BY scope) AS total FROM b) SELECT scope, value, n, round(100 * n / total::DOUBLE, 6) AS share, rank::BIGINT AS rank, round(CASE WHEN value > 0 THEN 1 / sqrt(value) END, 6) AS floor FROM t WHERE rank <= 5",
 )
 def topn_share_floor(spark, sf_dir):
     from telemill.functions.distributions import noise_floor
 
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_custkey") % 50).alias("v"))
-    out = stats.value_shares(rows, "o_orderstatus", "v", 5)
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("v"))
+    out = stats.value_shares(rows, "l_returnflag", "v", 5)
     return out.select("scope", "value", "n", F.round("share", 6).alias("share"), F.col("rank").cast("long").alias("rank"), F.round(noise_floor(F.col("value")), 6).alias("floor"))
 
 
@@ -116,10 +116,10 @@ def pivot_random_forward(spark, sf_dir):
     return p.select("status", F.round("forward", 4).alias("forward"), F.round("random", 4).alias("random"), F.round(F.col("forward") - F.col("random"), 4).alias("change"))
 
 
-@query("F11 F12 J10 A9", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R') AND o_totalprice IS NOT NULL AND o_custkey % 48 <= 40")
+@query("F11 F12 J10 A9", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R') AND o_totalprice IS NOT NULL AND (SELECT epoch_us(max(l_shipdate)) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) - epoch_us(o_orderdate) <= 48 * 86400000000")
 def avail_pool(spark, sf_dir):
-    flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1.0)).alias("sc_x"))
-    rows = table(spark, sf_dir, "orders").join(flags, "o_orderkey", "left").withColumn("age", (F.col("o_custkey") % 48).cast("double") * 1.2)
+    flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1.0)).alias("sc_x"), F.max("l_shipdate").alias("last"))
+    rows = table(spark, sf_dir, "orders").join(flags, "o_orderkey", "left").withColumn("age", times.age_hours(F.col("last"), F.col("o_orderdate")) / 24)
     return rows.where(cohorts.available(["sc_x"], ["o_totalprice"], F.col("age"))).select("o_orderkey")
 
 

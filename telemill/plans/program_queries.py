@@ -23,7 +23,7 @@ def connectedness_by_order(spark, sf_dir):
     return graphs.connectedness(pairs, ["l_orderkey"], "l_suppkey", "v").withColumn("connectedness", F.round("connectedness", 6))
 
 
-_EDGES = "e AS (SELECT o_custkey * 2 AS a, o_custkey * 2 + 2 * (o_orderkey % 3) AS b FROM orders WHERE o_orderkey % 7 < 2 AND o_orderkey % 3 > 0)"
+_EDGES = "e AS (SELECT r_regionkey::BIGINT AS a, 10 + n_nationkey::BIGINT AS b FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT 10 + c_nationkey::BIGINT, 100 + c_custkey FROM customer UNION ALL SELECT 10 + s_nationkey::BIGINT, 10000000 + s_suppkey FROM supplier)"
 
 
 @query(
@@ -31,8 +31,12 @@ _EDGES = "e AS (SELECT o_custkey * 2 AS a, o_custkey * 2 + 2 * (o_orderkey % 3)
     f"WITH RECURSIVE {_EDGES}, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT x, x FROM u UNION SELECT u.y, r.m FROM r JOIN u ON u.x = r.n WHERE r.m < u.y) SELECT n AS node, min(m) AS component FROM r GROUP BY 1",
 )
 def graph_components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 2 and o_orderkey % 3 > 0")
-    return graphs.components(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 2 * (F.col("o_orderkey") % 3)).alias("b")))
+    """Regions, nations, customers and suppliers; nations of one region hang on nothing above them."""
+    edge = lambda df, a, b: df.select(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    up = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region").where("r_name != 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = edge(up, F.col("r_regionkey"), F.col("n_nationkey") + 10)
+    edges = edges.unionByName(edge(table(spark, sf_dir, "customer"), F.col("c_nationkey") + 10, F.col("c_custkey") + 100))
+    return graphs.components(edges.unionByName(edge(table(spark, sf_dir, "supplier"), F.col("s_nationkey") + 10, F.col("s_suppkey") + 10_000_000)))
 
 
 def _programs(spark, sf_dir):

@@ -26,17 +26,17 @@ def base_filter(spark, sf_dir):
 
 @query(
     "J1 J3 J4 J7 P8 P10",
-    "SELECT o.o_orderkey, trim(c.c_custkey::VARCHAR) AS sensor_source_id, c.c_custkey IS NOT NULL AS sensor_merge_found, c.c_mktsegment FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o.o_custkey = c.c_custkey",
+    "SELECT o.o_orderkey, trim(c.c_custkey::VARCHAR) AS sensor_source_id, c.c_custkey IS NOT NULL AS sensor_merge_found, c.c_mktsegment FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o.o_custkey = c.c_custkey",
 )
 def sensor_left_merge_flagged(spark, sf_dir):
-    right = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").withColumn("o_orderkey", F.lit(-1))
+    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").withColumn("o_orderkey", F.lit(-1))
     out = merge.merge_sensors(table(spark, sf_dir, "orders"), right, "o_custkey", "c_custkey")
     return out.select("o_orderkey", "sensor_source_id", "sensor_merge_found", "c_mktsegment")
 
 
-@query("J7 J8", "SELECT count_if(c_custkey IS NOT NULL) AS matched, count_if(c_custkey IS NULL) AS unmatched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+@query("J7 J8", "SELECT count_if(c_custkey IS NOT NULL) AS matched, count_if(c_custkey IS NULL) AS unmatched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
 def merge_match_counts(spark, sf_dir):
-    right = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0")
+    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'")
     return merge.match_counts(merge.merge_sensors(table(spark, sf_dir, "orders"), right, "o_custkey", "c_custkey"))
 
 

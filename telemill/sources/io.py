@@ -68,6 +68,17 @@ def is_public(df: DataFrame) -> bool:
     return "device" in df.columns
 
 
+def load_dataset(spark: SparkSession, path: str, columns: list[str], row_id: str, device: str | None = None, without: list[str] = (), limit: int | None = None) -> DataFrame:
+    """The wanted columns that exist, each once, with the row id first; rows of some devices left out (null ones stay)."""
+    df = read(spark, path)
+    if row_id not in df.columns:
+        raise ValueError(f"no column {row_id}")
+    if device and without:
+        df = df.where(F.col(quoted(device)).isNull() | ~F.col(quoted(device)).isin(*without))
+    out = df.select(*[F.col(quoted(c)) for c in unique_names([row_id, *columns]) if c in df.columns])
+    return out.limit(limit) if limit else out
+
+
 def storable(df: DataFrame) -> DataFrame:
     """Columns without a type (all null) as strings, which Parquet can hold."""
     return df.withColumns({c: F.col(quoted(c)).cast("string") for c, t in df.dtypes if t == "void"})
