@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from .arrow import map_columns
 from .shingles import word_bounds
+from .spans import Spans
 
 #: Phrases of words whose places are counted, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -105,10 +106,8 @@ class FuzzyNotices:
                 if m := pattern.search(lower, a, b):  # the best of the stretch; others may stand on either side
                     found.append(Place(label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
                     open_ += [(x, y) for x, y in ((a, m.start()), (m.end(), b)) if x < y and (x, y) != (a, b)]
-        out: list[Place] = []
-        for p in sorted(found, key=lambda p: (p.edits / p.length, p.start, p.label)):
-            if all(p.end <= q.start or q.end <= p.start for q in out):
-                out.append(p)
+        taken = Spans()
+        out = [p for p in sorted(found, key=lambda p: (p.edits / p.length, p.start, p.label)) if taken.take(p.start, p.end)]
         return sorted(out, key=lambda p: (p.start, p.end, p.label))
 
 

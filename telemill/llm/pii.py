@@ -22,6 +22,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .arrow import map_columns, map_slices
 from .feistel import KeyedPermutation
+from .spans import Spans
 
 LOWER, UPPER, DIGIT, HEX = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
 #: Dates are permuted within these years.
@@ -236,14 +237,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the validated values in a text, in order; they don't overlap."""
     if not _WORTH.search(text):
         return []
-    taken: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []
+    taken = Spans()
     for kind, (pattern, valid, _) in KINDS.items():
         group = "v" if "v" in pattern.groupindex else 0
-        new = [(*m.span(group), kind) for m in pattern.finditer(text) if valid(m[group])]
-        if new and taken:
-            new = [n for n in new if all(n[1] <= t[0] or n[0] >= t[1] for t in taken)]
-        taken += new
-    return sorted(taken)
+        found += [(*m.span(group), kind) for m in pattern.finditer(text) if valid(m[group]) and taken.take(*m.span(group))]
+    return sorted(found)
 
 
 def replace(text: str, pseudonyms: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]:
