@@ -13,11 +13,21 @@ def _micros(c: Column) -> Column:
 
 
 def trailing_window(df: DataFrame, series: str, ts: str, value: str, seconds: int, prefix: str = "w") -> DataFrame:
-    """Per row, mean, min, max, sd and count of its series' values in the last ``seconds`` up to its own time."""
-    w = Window.partitionBy(series).orderBy(_micros(F.col(ts))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumns({
+    """Per row, mean, min, max, sd and count of its series' values in the last ``seconds`` up to its own time.
+
+    A series is dealt over slots of eight windows' length, and what lies in the last window of a slot is handed to the
+    next one too, so a long series isn't one task's work; an eighth of the rows is handed on.
+    """
+    step = seconds * 1_000_000
+    t = _micros(F.col(ts))
+    slot = F.floor(t / (8 * step))
+    both = F.when(t >= (slot + 1) * (8 * step) - step, F.array(slot, slot + 1)).otherwise(F.array(slot))
+    dealt = df.select("*", F.posexplode(both).alias("__copy", "__slot"))
+    w = Window.partitionBy(series, "__slot").orderBy(_micros(F.col(ts))).rangeBetween(-step, 0)
+    out = dealt.withColumns({
         f"{prefix}__mean": F.avg(value).over(w), f"{prefix}__min": F.min(value).over(w), f"{prefix}__max": F.max(value).over(w), f"{prefix}__sd": F.stddev_samp(value).over(w), f"{prefix}__count": F.count(value).over(w),
     })
+    return out.where("__copy = 0").drop("__copy", "__slot")
 
 
 def window_statistics(anchors: DataFrame, readings: DataFrame, on: list[str], anchor_id: str, anchor_ts: str, ts: str, value: str, seconds: int, prefix: str = "w") -> DataFrame:
@@ -39,14 +49,19 @@ def window_statistics(anchors: DataFrame, readings: DataFrame, on: list[str], an
 def latest_before(anchors: DataFrame, samples: DataFrame, on: list[str], anchor_id: str, anchor_ts: str, ts: str, value: str, hours: float) -> DataFrame:
     """As-of join: anchors with the latest sample not after them, unless it is older than ``hours`` (then null).
 
-    Both sides are united and sorted once within each key; the last sample so far is carried forward.  So the work
-    grows with the rows, not with pairs, however long the series are.  Of samples at one time the largest value counts.
+    Time is cut into slots of that age: what counts for an anchor lies in its own slot or is the last sample of the one
+    before, which is handed on.  Anchors and samples of a key and slot are united and sorted once, and the last sample
+    so far is carried forward.  So the work grows with the rows, not with pairs, and a long series is many tasks' work.
+    Of samples at one time the largest value counts.
     """
+    step = int(hours * 3_600_000_000)
     keep = [c for c in anchors.columns if c not in (*on, anchor_id, anchor_ts)]
-    a = anchors.select(*on, _micros(F.col(anchor_ts)).alias("__t"), F.lit(1).alias("__is"), F.struct(anchor_id, anchor_ts, *keep).alias("__row"))
-    s = samples.where(F.col(value).isNotNull()).select(*on, _micros(F.col(ts)).alias("__t"), F.lit(0).alias("__is"), F.struct(_micros(F.col(ts)).alias("t"), F.col(value).alias("v")).alias("__s"))
-    both = a.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("__t", "__is", F.col("__s.v")).rowsBetween(Window.unboundedPreceding, 0)
+    slot = F.floor(F.col("__t") / step).alias("__slot")
+    a = anchors.select(*on, _micros(F.col(anchor_ts)).alias("__t"), F.lit(1).alias("__is"), F.struct(anchor_id, anchor_ts, *keep).alias("__row")).select("*", slot)
+    s = samples.where(F.col(value).isNotNull()).select(*on, _micros(F.col(ts)).alias("__t"), F.struct(_micros(F.col(ts)).alias("t"), F.col(value).alias("v")).alias("__s")).select("*", slot)
+    handed = s.groupBy(*on, "__slot").agg(F.max("__s").alias("__s")).select(*on, F.col("__s.t").alias("__t"), "__s", (F.col("__slot") + 1).alias("__slot"))
+    both = a.unionByName(s.unionByName(handed).withColumn("__is", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*on, "__slot").orderBy("__t", "__is", F.col("__s.v")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__last", F.last("__s", ignorenulls=True).over(w)).where("__is = 1")
     age = (F.col("__t") - F.col("__last.t")) / F.lit(3.6e9)
     fresh = age <= hours

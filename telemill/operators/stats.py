@@ -57,9 +57,21 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))))
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2.0)
+def average_ranks(df: DataFrame, column: str, by: list[str], name: str, buckets: int = 1024) -> DataFrame:
+    """Ranks from 1 within groups of a numeric column without nulls; equal values share their mean rank.
+
+    Equal values are counted first.  A group's values are then dealt by size over buckets, whose counts tell how many
+    values lie before each; so no task sorts a whole group, however large it is.
+    """
+    values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
+    ends = values.groupBy(*by).agg(F.min(column).alias("__a"), F.max(column).alias("__b"))
+    place = F.when(F.col("__b") > F.col("__a"), F.floor((F.col(column) - F.col("__a")) / (F.col("__b") - F.col("__a")) * (buckets - 1))).otherwise(0)
+    values = values.join(ends, by).withColumn("__k", place).drop("__a", "__b")
+    before = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = values.groupBy(*by, "__k").agg(F.sum("__n").alias("__sum")).select(*by, "__k", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*by, "__k").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.join(sums, [*by, "__k"]).select(*by, column, (F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / 2.0).alias(name))
+    return df.join(ranked, [*by, column])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
