@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 #: Seeds of repeated splits.
 SEEDS = (42, 7, 123, 2024, 31337)
 
@@ -51,5 +53,5 @@ def forward_split(df: DataFrame, group: str, ts: str, share: float = 0.2) -> Dat
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
     first = F.min(seconds).over(Window.partitionBy(group))
     timed = df.withColumn("job_time", first)
-    cut = timed.agg(F.percentile("job_time", F.lit(1 - share)).alias("cut"))
-    return timed.join(F.broadcast(cut)).withColumn("is_test", F.coalesce(F.col("job_time") > F.col("cut"), F.lit(False)))
+    (cut,) = exact_quantiles(timed, "job_time", [1 - share])
+    return timed.withColumn("cut", F.lit(cut).cast("double")).withColumn("is_test", F.coalesce(F.col("job_time") > F.col("cut"), F.lit(False)))

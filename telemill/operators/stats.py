@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def half_open_bin(x: Column, edges: list[float]) -> Column:
     """Index of the bin [edge i, edge i+1) over inner edges: 0 below the first, len(edges) from the last on."""
@@ -27,12 +29,17 @@ def binned_means(df: DataFrame, x: str, y: str, value: str, x_edges: list[float]
     return g.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m")).select("x_bin", "y_bin", "n", F.when(F.col("n") >= least, F.col("m")).alias("mean"))
 
 
+def _literals(values: list[float | None]) -> Column:
+    """Distinct values as an array; none of them if there were no rows."""
+    return F.array(*[F.lit(v) for v in dict.fromkeys(values) if v is not None]).cast("array<double>")
+
+
 def median_trend(df: DataFrame, x: str, y: str, groups: int = 40, least: int = 20) -> DataFrame:
     """(bin, n, x_median, y_median) over bins of nearly equal counts (edge i-1 < x <= edge i), x clipped at 0."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.greatest(F.col(x), F.lit(0.0)).alias("x"), F.col(y).alias("y"))
     points = [k / (groups - 1) for k in range(groups)]
-    edges = rows.agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(p) for p in points]))).alias("edges"))
-    binned = rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x"))))
+    edges = _literals(exact_quantiles(rows, "x", points))
+    binned = rows.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col("x"))))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x_median"), F.median("y").alias("y_median")).where(F.col("n") >= least)
 
 
@@ -46,9 +53,9 @@ def elbow(trend: DataFrame) -> DataFrame:
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     """(bin, n, x_median, y_median) over quantile bins; the first has its lower edge, equal edges are one."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = rows.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges"))
-    k = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(x))), F.lit(1))
-    return rows.join(F.broadcast(edges)).withColumn("bin", k).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
+    edges = _literals(exact_quantiles(rows, x, [k / bins for k in range(bins + 1)]))
+    k = F.greatest(F.size(F.filter(edges, lambda e: e < F.col(x))), F.lit(1))
+    return rows.withColumn("bin", k).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -128,8 +135,8 @@ def rows_with_mode(df: DataFrame, value: str) -> DataFrame:
 
 def cap_at_quantile(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
     """``value`` no larger than its quantile."""
-    cap = df.agg(F.percentile(value, F.lit(q)).alias("__cap"))
-    return df.join(F.broadcast(cap)).withColumn(value, F.least(F.col(value), F.col("__cap"))).drop("__cap")
+    (cap,) = exact_quantiles(df, value, [q])
+    return df if cap is None else df.withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.col(value), F.lit(cap))))
 
 
 def daily(df: DataFrame, ts: str, value: str, least: int = 20, others: dict[str, str] | None = None) -> DataFrame:

@@ -215,3 +215,13 @@ def test_streaming_interval_join(spark, tmp_path):
     out = windows.drain(joined, "interval_join", "append", str(tmp_path / "cp"))
     expected = {(a, b) for a in range(20) for b in range(20) if a % 2 == b % 2 and 0 <= (a - b) * 60 <= 120}
     assert {tuple(x) for x in out.where("rid is not null").collect()} == expected
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_quantiles_by_passes_equal_direct_ones(spark, n):
+    from telemill.operators.quantiles import exact_quantiles
+
+    df = spark.range(n).select(F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 101) / 7.0).otherwise(F.lit(1e6)).alias("x")).unionByName(spark.range(1).select(F.lit(None).cast("double").alias("x")))
+    points = [0.0, 0.1, 0.25, 0.5, 0.8, 0.99, 1.0]
+    assert exact_quantiles(df, "x", points, direct=0) == pytest.approx(exact_quantiles(df, "x", points))
+    assert exact_quantiles(df.where("false"), "x", [0.5]) == [None]
