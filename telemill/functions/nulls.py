@@ -36,9 +36,8 @@ def is_true(c: Column) -> Column:
 def number(c: Column, tokens: tuple[str, ...] = NUMBER_TOKENS) -> Column:
     """The column as double; tokens, NaN and what isn't a number are null."""
     t = F.trim(c.cast("string"))
-    x = F.when(~t.isin(*tokens), F.expr("1")).isNotNull()
     d = t.try_cast("double")
-    return F.when(x & ~F.isnan(d), d)
+    return F.when(~t.isin(*tokens) & ~F.isnan(d), d)
 
 
 def unparsable(c: Column, tokens: tuple[str, ...] = NUMBER_TOKENS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -22,19 +22,17 @@ def pick_key(columns: list[str]) -> str:
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: str = "first") -> DataFrame:
-    """The first or last row of each key in a total order; ``none`` keeps all."""
+    """The first or last row of each key in a total order (ascending, nulls first); ``none`` keeps all.
+
+    An aggregation that combines before it shuffles, so a key with very many rows isn't one task's work.
+    """
     if keep == "none":
         return df
-    if keep == "last":
-        order = [_reverse(c) for c in order]
-    elif keep != "first":
+    if keep not in ("first", "last"):
         raise ValueError("keep is first, last or none")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
-
-
-def _reverse(c: Column) -> Column:
-    return c.desc()
+    pick = F.min_by if keep == "first" else F.max_by
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    return df.groupBy(*[F.col(quoted(k)).alias(f"__{k}") for k in keys]).agg(pick(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def mean_or_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

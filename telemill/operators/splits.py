@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +17,28 @@ SEEDS = (42, 7, 123, 2024, 31337)
 def group_holdout(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
     """``is_test``: the first ceil(share * groups) groups in the order of a hash with the seed; groups stay whole.
 
-    Only distinct groups are ordered, by a range partitioning with counts for each partition, so neither the driver nor
-    one task sees them all.
+    The hash at the cut is found by counting groups by ever longer beginnings of their hashes; each row is then decided
+    by its own.  Rows without a group are training rows.
     """
     key = F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed))), 256)
-    groups = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("__h", key)
-    n = groups.count()
-    test = int(-(-share * n // 1))
-    chosen = groups.orderBy("__h").limit(test).select(F.col(group), F.lit(True).alias("is_test"))
-    return df.join(chosen, group, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+    hashes = df.where(F.col(group).isNotNull()).select(group).distinct().select(key.alias("h"))
+    n = hashes.count()
+    cut = _nth_hash(hashes, math.ceil(share * n)) if n and share > 0 else ""
+    return df.withColumn("is_test", F.coalesce(F.when(F.col(group).isNotNull(), key) <= cut, F.lit(False)))
+
+
+def _nth_hash(hashes: DataFrame, n: int, few: int = 1000) -> str:
+    """The nth smallest of distinct hexadecimal hashes (column h); a count of 4096 numbers for each three digits."""
+    begin, before = "", 0
+    while True:
+        inside = hashes.where(F.col("h").startswith(begin))
+        for r in sorted(inside.groupBy(F.substring("h", len(begin) + 1, 3).alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()):
+            if before + r.c >= n:
+                begin += r.d
+                break
+            before += r.c
+        if r.c <= few:
+            return sorted(x.h for x in hashes.where(F.col("h").startswith(begin)).collect())[n - before - 1]
 
 
 def group_holdout_exact(groups: list, seed: int, share: float = 0.2) -> set:

@@ -89,6 +89,9 @@ def test_group_splits(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("g"))
     out = splits.group_holdout(df, "g", 7).groupBy("g").agg(F.count_distinct("is_test").alias("n"), F.first("is_test").alias("t"))
     assert out.where("n > 1").count() == 0 and out.where("t").count() == math.ceil(0.2 * 37)
+    hashes = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    assert splits._nth_hash(hashes, 700, 5) == sorted(r.h for r in hashes.collect())[699]
+    assert splits.group_holdout(df.where("false"), "g", 7).count() == 0
     assert len(splits.group_holdout_exact(list(range(11)), 42)) == 3
     folds = splits.group_folds({k: k + 1 for k in range(10)})
     assert set(folds.values()) == set(range(5))
