@@ -63,17 +63,17 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set) and signature (little-endian) of each row; both null for an empty set."""
+    """doc_id, text_hash, n_shingles, digest (of the set) and signature of each row; the last two null for an empty set."""
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "digest": [], "signature": []}
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "n_shingles": [], "digest": [], "signature": []}
         for s in shingle_sets(cols["text"]):
             out["n_shingles"].append(len(s))
             out["digest"].append(_digest(s) if len(s) else None)
             out["signature"].append(signature(s).astype("<u2").tobytes() if len(s) else None)
         return out
 
-    return map_columns(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def _key_rows(classes: DataFrame) -> DataFrame:
@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     null).  Repeated rows are linked rows; an empty table gives no rows; other columns of ``docs`` are ignored.
     """
     rows = materialise(sketch(docs), "sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("holder")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), holder, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # Families: what hangs together by shared keys.  Each key gives one link for each member, not one for each pair.
@@ -175,15 +176,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     family = materialise(family.join(classes, "node"), "family-members")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
-    wanted = family.join(sizes.select("family", blocks.alias("blocks")), "family").select("family", "blocks", "node", "rep", "digest", "signature")
+    wanted = family.join(sizes.select("family", blocks.alias("blocks")), "family").select("family", "blocks", "node", "holder", "digest", "signature")
 
-    # Their whole sets, from the texts; a text is found again by the id of one row of the class.
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    # Their whole sets, from the texts: a class is found again by the id and the hash of the text of one of its rows.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder.doc_id")) & (F.col("text_hash") == F.col("holder.text_hash")))
+    texts = texts.select("family", "blocks", "node", "digest", "signature", "text")
+    if rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        texts = texts.dropDuplicates(["node"])  # repeated rows
 
     def whole(cols: dict) -> dict:
         out: dict[str, list] = {k: [] for k in ("family", "blocks", "node", "signature", "hashes")}
         for k, s in enumerate(shingle_sets(cols["text"])):
-            if len(s) and _digest(s) == cols["digest"][k]:  # else another row with the same id
+            if len(s) and _digest(s) == cols["digest"][k]:  # else another text with the same hash
                 for name in ("family", "blocks", "node", "signature"):
                     out[name].append(cols[name][k])
                 out["hashes"].append(s.view(np.int64))

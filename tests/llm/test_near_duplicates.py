@@ -128,6 +128,16 @@ def test_near_duplicates_of_edge_cases(spark):
     assert minhash.representatives(repeated).count() == 1
 
 
+def test_rows_that_share_one_id_or_none(spark):
+    """Ids tell nothing apart here: work must not grow with the square of the rows that share one."""
+    texts = list(family_docs().values())[:60]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] + [(5, texts[0])] * 20
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id is None and r.n_shingles} == {5}
+    alone = minhash.near_duplicates(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    assert {(r.component_id, r.kept) for r in alone} == {(None, True)}
+
+
 # Lines
 
 
