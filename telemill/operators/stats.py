@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import DIRECT, exact_quantiles
 
 
 def half_open_bin(x: Column, edges: list[float]) -> Column:
@@ -65,27 +65,40 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, column: str, by: list[str], name: str, buckets: int = 1024) -> DataFrame:
-    """Ranks from 1 within groups of a numeric column without nulls; equal values share their mean rank.
+    """(by, column, name): for each distinct value its rank from 1 within its group, which equal values share as their mean.
 
-    Equal values are counted first.  A group's values are then dealt by size over buckets, whose counts tell how many
-    values lie before each; so no task sorts a whole group, however large it is.
+    Equal values of the numeric column are counted first (nulls are left out).  A group's values are then dealt by size
+    over buckets, whose counts tell how many values lie before each; so no task sorts a whole group, however large.
     """
-    values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
+    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
     ends = values.groupBy(*by).agg(F.min(column).alias("__a"), F.max(column).alias("__b"))
     place = F.when(F.col("__b") > F.col("__a"), F.floor((F.col(column) - F.col("__a")) / (F.col("__b") - F.col("__a")) * (buckets - 1))).otherwise(0)
     values = values.join(ends, by).withColumn("__k", place).drop("__a", "__b")
     before = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     sums = values.groupBy(*by, "__k").agg(F.sum("__n").alias("__sum")).select(*by, "__k", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*by, "__k").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.join(sums, [*by, "__k"]).select(*by, column, (F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / 2.0).alias(name))
-    return df.join(ranked, [*by, column])
+    rank = F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / 2.0
+    return values.join(sums, [*by, "__k"]).select(*by, column, rank.alias(name))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, n, rho): rank correlation of rows with both; equal values share their mean rank."""
+def spearman(df: DataFrame, x: str, y: str, by: list[str], direct: int = DIRECT) -> DataFrame:
+    """(by, n, rho): rank correlation of rows with both; equal values share their mean rank.
+
+    Groups of up to ``direct`` rows are sorted as they are; if one is larger, ``average_ranks`` deals them out.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = average_ranks(average_ranks(rows, "__x", by, "__rx"), "__y", by, "__ry")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= direct:
+        rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+        ranked = rows.select(*by, rank("__x").alias("__rx"), rank("__y").alias("__ry"))
+        return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    pairs = rows.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__w"))
+    ranked = pairs.join(average_ranks(rows, "__x", by, "__rx"), [*by, "__x"]).join(average_ranks(rows, "__y", by, "__ry"), [*by, "__y"])
+    a, b, w = F.col("__rx"), F.col("__ry"), F.col("__w").cast("double")
+    sums = ranked.groupBy(*by).agg(F.sum("__w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))])
+    n = F.col("n").cast("double")
+    cov, va, vb = F.col("ab") - F.col("a") * F.col("b") / n, F.col("aa") - F.col("a") * F.col("a") / n, F.col("bb") - F.col("b") * F.col("b") / n
+    return sums.select(*by, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -29,20 +29,21 @@ def base_filter(spark, sf_dir):
     "SELECT o.o_orderkey, trim(c.c_custkey::VARCHAR) AS sensor_source_id, c.c_custkey IS NOT NULL AS sensor_merge_found, c.c_mktsegment FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON o.o_custkey = c.c_custkey",
 )
 def sensor_left_merge_flagged(spark, sf_dir):
-    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").withColumn("o_orderkey", F.lit(-1))
+    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").select("c_custkey", "c_mktsegment", F.lit(-1).alias("o_orderkey"))
     out = merge.merge_sensors(table(spark, sf_dir, "orders"), right, "o_custkey", "c_custkey")
     return out.select("o_orderkey", "sensor_source_id", "sensor_merge_found", "c_mktsegment")
 
 
 @query("J7 J8", "SELECT count_if(c_custkey IS NOT NULL) AS matched, count_if(c_custkey IS NULL) AS unmatched FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
 def merge_match_counts(spark, sf_dir):
-    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'")
+    right = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").select("c_custkey")
     return merge.match_counts(merge.merge_sensors(table(spark, sf_dir, "orders"), right, "o_custkey", "c_custkey"))
 
 
 @query("J5 W10 T3 U8", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1")
 def dedup_first_by_key(spark, sf_dir):
-    out = merge.one_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = merge.one_per_key(rows, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")])
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey")
 
 

@@ -228,3 +228,9 @@ def test_quantiles_by_passes_equal_direct_ones(spark, n):
     points = [0.0, 0.1, 0.25, 0.5, 0.8, 0.99, 1.0]
     assert exact_quantiles(df, "x", points, direct=0) == pytest.approx(exact_quantiles(df, "x", points))
     assert exact_quantiles(df.where("false"), "x", [0.5]) == [None]
+
+
+def test_dealt_ranks_equal_direct_ones(spark):
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), (F.col("id") * 17 % 41).cast("double").alias("x"), (F.col("id") * F.col("id") % 59).cast("double").alias("y"))
+    a, b = (rows(stats.spearman(df, "x", "y", ["g"], direct), "g") for direct in (0, 10**6))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and [r[2] for r in a] == pytest.approx([r[2] for r in b])
