@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from telemill.operators import record_columns
 from telemill.plans import stages
