@@ -43,7 +43,6 @@ def features(texts: list[str | None]) -> np.ndarray:
     """(n, len(FEATURES)) statistics; a null text counts as an empty one, which has zeros."""
     raw = [(t or "").encode() for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
-    begins = np.concatenate(([0], np.cumsum(sizes)))
     buf = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     n, kinds = len(raw), 14
     doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
