@@ -126,6 +126,29 @@ class Stream:
         return out
 
 
+def clock(head: bytes) -> tuple[int, int] | None:
+    """(granules a second, granules before time 0) by a stream's first packet; None for an unknown kind."""
+    if head[:8] == SAMPLES and len(head) >= _SAMPLE_HEAD.size:
+        return _SAMPLE_HEAD.unpack_from(head)[4], 0
+    if head[:8] == b"OpusHead" and len(head) >= 12:
+        return 48_000, int.from_bytes(head[10:12], "little")
+    if head[:7] == b"\x01vorbis" and len(head) >= 16:
+        return int.from_bytes(head[12:16], "little"), 0
+    if head[:8] == b"Speex   " and len(head) >= 40:
+        return int.from_bytes(head[36:40], "little"), 0
+    return None
+
+
+def seconds(s: Stream) -> list[float | None]:
+    """When each packet ends: for sample streams to the packet, for others when its page ends; None if that is unknown."""
+    known = clock(s.packets[0]) if s.packets else None
+    if known is None or known[0] <= 0:
+        return [None] * len(s.packets)
+    rate, skipped = known
+    at = s.positions(lambda p: 0 if p[:8] == SAMPLES else len(p)) if s.packets[0][:8] == SAMPLES else s.granules
+    return [None if g < 0 else max(0, g - skipped) / rate for g in at]
+
+
 @dataclass
 class Parsed:
     streams: dict[int, Stream]
@@ -209,21 +232,21 @@ def demultiplex(df: DataFrame, media: str = "media", row_id: str = "doc_id") ->
     """One row for each logical stream of each value of the binary column ``media``.
 
     Columns: row_id, serial, head (first 8 bytes of its first packet), n_pages, n_packets, sizes (of packets), granules
-    (of the pages on which they ended), gaps (missing pages), ended, bad_pages and lost_bytes (of the whole value) and
-    data (its packets, joined).  A null or empty value, or one without any sound page, gives no row.
+    (of the pages on which they ended), seconds (at which they end; null where the stream's kind doesn't tell), gaps
+    (missing pages), ended, bad_pages and lost_bytes (of the whole value) and data (its packets, joined).  A null or empty value, or one without any sound page, gives no row.
     """
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("row_id", "serial", "head", "n_pages", "n_packets", "sizes", "granules", "gaps", "ended", "bad_pages", "lost_bytes", "data")}
+        out: dict[str, list] = {k: [] for k in ("row_id", "serial", "head", "n_pages", "n_packets", "sizes", "granules", "seconds", "gaps", "ended", "bad_pages", "lost_bytes", "data")}
         for key, value in zip(cols["row_id"], cols["media"], strict=True):
             parsed = parse(value or b"")
             for s in parsed.streams.values():
-                row = (key, s.serial, s.packets[0][:8] if s.packets else b"", s.pages, len(s.packets), [len(x) for x in s.packets], s.granules, s.gaps, s.ended, parsed.bad_pages, parsed.lost_bytes, b"".join(s.packets))
+                row = (key, s.serial, s.packets[0][:8] if s.packets else b"", s.pages, len(s.packets), [len(x) for x in s.packets], s.granules, seconds(s), s.gaps, s.ended, parsed.bad_pages, parsed.lost_bytes, b"".join(s.packets))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         return out
 
-    schema = "row_id long, serial long, head binary, n_pages long, n_packets long, sizes array<int>, granules array<long>, gaps int, ended boolean, bad_pages int, lost_bytes long, data binary"
+    schema = "row_id long, serial long, head binary, n_pages long, n_packets long, sizes array<int>, granules array<long>, seconds array<double>, gaps int, ended boolean, bad_pages int, lost_bytes long, data binary"
     return map_columns(df.selectExpr(f"cast(`{row_id}` as long) as row_id", f"`{media}` as media"), run, schema)
 
 

@@ -308,3 +308,14 @@ def test_recall_on_the_test_table(spark):
     want = brute_vectors(rows, 0.95)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op3_product_quantisation(spark, f"{DATA}/sf0.001").collect()}
     assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in want.values()) and all(got[k][0] <= want[k][0] for k in want)
+
+
+def test_vectors_without_ids_and_repeated_rows(spark):
+    a, b, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, a), (None, far), (4, a), (4, a), (9, b), (7, far), (8, None), (8, None)]
+    df = spark.createDataFrame([(k, v, "mine", "mine") for k, v in rows], "vec_id long, embedding array<float>, unit string, least string")
+    got = sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in vectors.near_duplicates(df).collect())
+    want = [(None, 3, 4, False), (None, 1, 7, False), (4, 3, 4, True), (4, 3, 4, True), (9, 3, 4, False), (7, 1, 7, True), (8, 0, 8, True), (8, 0, 8, True)]
+    assert got == sorted(map(str, want))
+    lonely = spark.createDataFrame([(None, a)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vectors.near_duplicates(lonely).collect()] == [(None, 0, None, True)]

@@ -53,6 +53,13 @@ def test_damage_is_found_and_skipped():
     assert ogg.parse(b"").pages == 0 and "error" in ogg.restore(b"OggS")
 
 
+def test_times_of_other_kinds():
+    opus = b"OpusHead\x01\x01" + (312).to_bytes(2, "little") + bytes(7)
+    vorbis = b"\x01vorbis" + bytes(5) + (44_100).to_bytes(4, "little")
+    p = ogg.parse(ogg.mux([(1, [opus, b"x"], [0, 312 + 48_000]), (2, [vorbis, b"y", b"z"], [0, 44_100, 88_200]), (3, [b"???", b"w"], [0, 5])]))
+    assert ogg.seconds(p.streams[1]) == [0.0, 1.0] and ogg.seconds(p.streams[2])[-1] == 2.0 and ogg.seconds(p.streams[3]) == [None, None]
+
+
 def expected_digest(text):
     raw = (text or "").encode()
     payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
@@ -75,6 +82,7 @@ def test_demultiplex_gives_the_stored_bytes_back(spark):
     for r in out:
         raw = (texts[r.row_id] or "").encode()
         head = r.sizes[0]
+        assert r.seconds == [k * 576 / 8000 for k in range(r.n_packets)]
         assert bytes(r.data)[head : head + len(raw)] == raw and r.ended and r.bad_pages == 0
 
 
