@@ -239,6 +239,20 @@ def test_line_dedup_of_edge_cases(spark):
     assert linededup.without_repeats(empty_docs(spark)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_one_id_or_none(spark):
+    """A line number applies only to the text in which it was found; equal lines of such rows are repeats too."""
+    a, b, c = (f"line {x} that is long enough to be looked at" for x in ("aaaaaaaa", "bbbbbbbb", "cccccccc"))
+    rows = [(3, a), (None, f"{a}\nfoo"), (None, f"{b}\nbar"), (5, c), (5, f"{c}\nnew"), (6, f"{b}\nonce"), (None, b), (None, b)]
+    copies = [(8, "a row that comes more than once\nx", k) for k in range(3)] + [(None, "a text without any id at all", k) for k in range(3)]
+    df = spark.createDataFrame([(*r, 0) for r in rows] + copies, "doc_id long, text string, other int")
+    out = linededup.without_repeats(df).collect()
+    got = Counter((r.doc_id, r.text) for r in out if r.doc_id != 5)
+    want = [(3, a), (None, "foo"), (None, "bar"), (6, f"{b}\nonce"), (None, ""), (None, "")]
+    want += [(8, copies[0][1]), (8, "x"), (8, "x"), (None, copies[3][1]), (None, ""), (None, "")]
+    assert got == Counter(want)
+    assert sorted(r.n_repeats for r in out if r.doc_id == 5) == [0, 1] and sorted(r.other for r in out if r.doc_id == 8) == [0, 1, 2]
+
+
 # Vectors
 
 
