@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
@@ -226,10 +226,57 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[Pseudonyms,
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), is_iban, _iban),
     "card": (re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)"), is_card, _card),
     "ip": (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), is_ip, _ip),
-    "date": (re.compile(rf"(?<![\w.+/-])(?:\d{{4}}([-/.])\d{{2}}\1\d{{2}}|\d{{2}}([-/.])\d{{2}}\2\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?![\w/-]|\.\d)"), is_date, _date),
+    "date": (re.compile(rf"(?<![\w.+/-])(?:\d{{4}}([-/.])\d{{2}}\1\d{{2}}|\d{{2}}([-/.])\d{{2}}\2\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?=T\d{{2}}:?\d{{2}}|(?![\w/-]|\.\d))"), is_date, _date),
     "ssn": (re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)"), is_ssn, _ssn),
     "phone": (re.compile(r"(?<![\w.+-])(?:(?:\+|(?<!\d )00)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), is_phone, _phone),
 }
+#: Lengths of IBANs, tried first; then all that a text allows.
+IBAN_SIZES = {country: int(size) for size, *countries in map(str.split, """15 NO|16 BE|18 DK FI FO GL NL|19 MK SI|20 AT BA EE KZ LT LU XK|21 CH HR LI LV|22 BG BH CR DE GB GE IE ME RS VA|23 AE GI IL IQ TL
+24 AD CZ ES MD PK RO SA SE SK TN VG|25 LY PT ST|26 IS TR|27 FR GR IT MC MR SM|28 AL AZ BY CY DO GT HU LB PL SV|29 BR PS QA UA|30 JO KW MU|31 MT SC""".replace("\n", "|").split("|")) for country in countries}
+_RUN, _GROUP = re.compile(r"(?:\d[ -]?){12,}\d"), re.compile(r"\d+")
+
+
+def _cards(text: str, accept: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Within a run of groups of digits, from each group on the longest stretch of whole groups that is accepted."""
+    for run in _RUN.finditer(text):
+        groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+        first = 0
+        if run.start() and text[run.start() - 1] in ".+-":
+            first = 1
+        last = len(groups) - (text[run.end() : run.end() + 1] == "." and text[run.end() + 1 : run.end() + 2].isdigit())
+        while first < last:
+            n, stops = 0, []
+            for k in range(first, last):
+                n += groups[k][1] - groups[k][0]
+                if n > 19:
+                    break
+                if n >= 13:
+                    stops.append(k)
+            start = groups[first][0]
+            first += 1
+            for k in reversed(stops):
+                if accept(start, groups[k][1]):
+                    yield start, groups[k][1]
+                    first = k + 1
+                    break
+
+
+def _shortened(kind: str, text: str, accept: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Matches of a pattern, each up to the last end of a group at which it is accepted; else from the next start."""
+    pattern, at = KINDS[kind][0], 0
+    while m := pattern.search(text, at):
+        start, stop = m.span()
+        stops = [k for k in range(stop, start + 1, -1) if k == stop or (text[k - 1].isalnum() and not text[k].isalnum())]
+        if size := kind == "iban" and IBAN_SIZES.get(text[start : start + 2]):
+            stops.sort(key=lambda k: len(_iban_parts(text[start:k])) != size)
+        at = start + 1
+        for k in stops:
+            if (k == stop or pattern.fullmatch(text, start, k)) and accept(start, k):
+                yield start, k
+                at = k
+                break
+
+
 _WORTH = re.compile(r"[0-9@]")
 
 
@@ -240,8 +287,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     taken = Spans()
     for kind, (pattern, valid, _) in KINDS.items():
-        group = "v" if "v" in pattern.groupindex else 0
-        found += [(*m.span(group), kind) for m in pattern.finditer(text) if valid(m[group]) and taken.take(*m.span(group))]
+        accept = lambda a, b, valid=valid: valid(text[a:b]) and taken.take(a, b)
+        if kind == "card":
+            places = _cards(text, accept)
+        elif kind in ("iban", "phone"):
+            places = _shortened(kind, text, accept)
+        else:
+            places = (p for m in pattern.finditer(text) if accept(*(p := m.span("v" if "v" in pattern.groupindex else 0))))
+        found += [(*p, kind) for p in places]
     return sorted(found)
 
 

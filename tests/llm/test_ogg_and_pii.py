@@ -126,6 +126,25 @@ def test_what_is_not_valid_stays(text):
     assert pii.replace(f"a {text} b", P) == (f"a {text} b", [])
 
 
+@pytest.mark.parametrize(
+    ("kind", "text", "value"),
+    [
+        ("card", "4111 1111 1111 1111 12", "4111 1111 1111 1111"),
+        ("card", "4111111111111111 123", "4111111111111111"),
+        ("card", "item 7 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        ("card", "12-4111-1111-1111-1111-12", "4111-1111-1111-1111"),
+        ("iban", "ES9121000418450200051332 EUR", "ES9121000418450200051332"),
+        ("iban", "AT61 1904 3002 3457 3201 BIC", "AT61 1904 3002 3457 3201"),
+        ("iban", "AB12 CDEF AT61 1904 3002 3457 3201", "AT61 1904 3002 3457 3201"),
+        ("date", "2024-01-05T10:00:00Z", "2024-01-05"),
+        ("phone", "+1 988 555 2485 1234 5678", "+1 988 555 2485 1234"),
+    ],
+)
+def test_values_beside_other_numbers_and_words(kind, text, value):
+    at = text.index(value)
+    assert pii.find(text) == [(at, at + len(value), kind)]
+
+
 def test_secrets():
     text = 'password=e3b3ed3cc8548923d6 token = "0641917ea4e9feb9cda83477b57ac2654884f485" token = wordless'
     new, places = pii.replace(text, P)
