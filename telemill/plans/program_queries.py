@@ -70,6 +70,16 @@ def simulate_ideal_seeded(spark, sf_dir):
     return circuits.with_ideal(rows, "program", "shots", "s_suppkey", "logical").drop("program")
 
 
+@query("Q10 Q11 Q12 Q13")
+def simulate_wide_programs(spark, sf_dir):
+    """Programs of 17 to 20 qubits, the sizes of the devices, with a measurement and a reset before other steps."""
+    n = F.col("n_nationkey") % 4 + 17
+    chain = F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.format_string("cx q[%d],q[%d];", (k - 1).cast("int"), k.cast("int"))), " ")
+    program = F.concat(F.lit("OPENQASM 2.0; qreg q["), n.cast("string"), F.lit("]; creg c["), n.cast("string"), F.lit("]; h q[0]; measure q[0] -> c[0]; reset q[0]; h q[0]; "), chain, F.lit(" measure q -> c;"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", program.alias("program"), F.lit(100).alias("shots"))
+    return circuits.with_ideal(rows, "program", "shots", "n_nationkey", "native").drop("program")
+
+
 @query("M5 M6 M8 M9 M10 M11 M12 M19 F16")
 def gbt_tier_ablation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 110_000).alias("target"))

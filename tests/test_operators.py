@@ -156,6 +156,26 @@ def test_ideal_probabilities():
     assert sum(circuits.sample(circuits.parse(BELL), 100, circuits.row_seed(42, "P_0", "logical")).values()) == 100
 
 
+def test_wide_programs_and_steps_after_measurements():
+    run = lambda text: circuits.probabilities(circuits.parse(text))
+    half = pytest.approx(0.5)
+    chain = " ".join(f"cx q[{k}],q[{k + 1}];" for k in range(19))
+    ghz = f"qreg q[20]; creg c[20]; h q[0]; {chain} measure q -> c;"
+    assert run(ghz) == {"0" * 20: half, "1" * 20: half}
+    assert set(circuits.sample(circuits.parse(ghz), 100, 1)) == {"0" * 20, "1" * 20}
+    assert run("qreg q[70]; creg c[70]; x q[69]; measure q -> c;") == {"1" + "0" * 69: pytest.approx(1.0)}
+    assert sum(circuits.sample(circuits.parse("qreg q[18]; creg c[18]; h q; measure q -> c;"), 50, 1).values()) == 50
+    assert run("qreg q[1]; creg c[2]; h q[0]; measure q[0] -> c[0]; x q[0]; measure q[0] -> c[1];") == {"01": half, "10": half}
+    assert run("qreg q[2]; creg c[2]; h q[0]; cx q[0],q[1]; reset q[0]; measure q -> c;") == {"00": half, "10": half}
+    assert run("qreg q[1]; creg c[1]; x q[0]; reset q[0]; x q[0]; measure q -> c;") == {"1": pytest.approx(1.0)}
+    once = "qreg q[2]; creg a[1]; creg b[1]; h q[0]; measure q[0] -> a[0]; if(a==1) x q[1]; measure q[1] -> b[0];"
+    assert run(once) == run(circuits.canonical(circuits.parse(once))) == {"00": half, "11": half}
+    drawn = circuits.sample(circuits.parse(once), 1000, 3)
+    assert set(drawn) == {"00", "11"} and sum(drawn.values()) == 1000 and 400 < drawn["00"] < 600
+    with pytest.raises(circuits.ProgramError):
+        run("qreg q[1]; creg c[1]; if(c>0) x q[0]; measure q -> c;")
+
+
 def test_structure_and_simulation_as_columns(spark):
     df = spark.createDataFrame([("a", BELL, "100"), ("b", "junk", "0"), ("c", None, None)], "id string, t string, shots string")
     out = {r.id: r for r in circuits.with_structure(df, "t", "s").collect()}
