@@ -67,7 +67,7 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_repeats", "text")
+    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), equal=1).select("doc_id", "n_lines", "n_repeats", "text")
 
 
 @query

@@ -239,6 +239,16 @@ def test_line_dedup_of_edge_cases(spark):
     assert linededup.without_repeats(empty_docs(spark)).count() == 0
 
 
+def test_equal_lines_of_any_length_are_repeats(spark, tmp_path):
+    """Short lines repeat equal ones only; blank lines stay."""
+    from telemill.llm.queries import op9_segment_line_dedup
+
+    texts = {1: "And ornd.\n\nx\na line that is long enough", 2: " And ornd.\r\n\nAnd ornd,\nx", 3: "x\n \nx\na line that is long enougH\nAnd ornd,"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_repeats) for r in op9_segment_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (texts[1], 0), 2: ("\nAnd ornd,", 2), 3: (" ", 4)}
+
+
 def test_line_dedup_of_rows_that_share_one_id_or_none(spark):
     """A line number applies only to the text in which it was found; equal lines of such rows are repeats too."""
     a, b, c = (f"line {x} that is long enough to be looked at" for x in ("aaaaaaaa", "bbbbbbbb", "cccccccc"))
