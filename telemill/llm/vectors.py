@@ -27,10 +27,10 @@ from .workspace import materialise
 #: Rows at most on which centres and code words are fitted, chosen by a hash; lists have LIST_ROWS rows on average.
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES = 16, 256
-#: A list is probed if a partner within the distance may lie in it along the line to its centre, were its offset in
-#: that direction at most this share of the distance.  1 would be exact for any data; offsets of real pairs spread
-#: over all directions, of which one is a small part.
-REACH = 0.35
+#: A list is probed if the vector is within this share of the distance of the plane halfway to the list's centre.  The
+#: distances of two vectors of a pair from the plane between their lists add up to the distance at most, and a pair is
+#: found if one of them probes the other's list, so half (and a little for rounding) loses nothing.
+REACH = 0.5001
 #: Subspaces that are summed for all codes; the others only where these don't exceed the bound already.
 EARLY = 8
 BLOCK = 1024

@@ -325,6 +325,22 @@ def test_codes_never_lose_a_pair():
         assert np.linalg.norm(x[i] - back[j]) <= np.sqrt(0.1) + error[j] + 1e-9
 
 
+def test_probes_never_lose_a_pair():
+    """Close vectors that vary in few directions, in all lists that they are dealt to."""
+    rng = np.random.default_rng(11)
+    for dims in (1, 2, 3):
+        ends, base = rng.normal(size=(dims, 64)), rng.normal(size=64)
+        x = base + rng.uniform(-2, 2, size=(800, dims)) @ ends
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        radius = np.sqrt(2 * (1 - 0.95))
+        home, probes = vectors.fit(x, 24).nearest(x, radius)
+        reached = np.zeros((len(x), home.max() + 1), dtype=bool)
+        for k, p in enumerate(probes):
+            reached[k, p[p <= home.max()]] = True
+        seen = reached[:, home]
+        assert (seen | seen.T)[x @ x.T >= 0.95].all()
+
+
 def test_recall_on_the_test_table(spark):
     from telemill.llm.queries import op3_product_quantisation
 
