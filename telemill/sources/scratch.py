@@ -10,11 +10,18 @@ from pyspark.sql import SparkSession
 _local: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset the warehouse, or on one machine a temporary folder."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="telemill-")
+    return _local[app]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = _local.setdefault(app, "") or tempfile.mkdtemp(prefix="telemill-")
-        _local[app] = where
-    return f"{where.rstrip('/')}/telemill/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/telemill/{name}-{uuid.uuid4().hex}"
