@@ -25,8 +25,17 @@ def linked_within(members: DataFrame, payload: list[str], compare: Callable[[dic
         "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *payload
     )
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    schema = "a long, b long"
+    return _map_sorted(dealt, ["family", "i", "j"], lambda group, columns: compare(columns, group[1], group[2]), "a long, b long")
+
+
+def map_groups(df: DataFrame, by: list[str], fn: Callable[[tuple, dict], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``fn`` makes of the columns of each group (whose size the caller bounds)."""
+    return _map_sorted(df.repartition(*by).sortWithinPartitions(*by), by, fn, schema)
+
+
+def _map_sorted(df: DataFrame, by: list[str], fn: Callable[[tuple, dict], list[tuple]], schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    others = [c for c in df.columns if c not in by]
 
     def values(column: pa.Array) -> list:
         if pa.types.is_list(column.type):
@@ -39,15 +48,14 @@ def linked_within(members: DataFrame, payload: list[str], compare: Callable[[dic
         last: tuple | None = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = dict(zip(["node", "own", *payload], map(list, zip(*held, strict=True)), strict=True))
+            columns = dict(zip(others, map(list, zip(*held, strict=True)), strict=True))
             held.clear()
-            if found := compare(columns, last[1], last[2]):
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
+            if found := fn(last, columns):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            groups = zip(*(batch[c].to_pylist() for c in ("family", "i", "j")), strict=True)
-            rows = zip(*(values(batch[c]) for c in ("node", "own", *payload)), strict=True)
+            groups = zip(*(batch[c].to_pylist() for c in by), strict=True)
+            rows = zip(*(values(batch[c]) for c in others), strict=True)
             for group, row in zip(groups, rows, strict=True):
                 if last is not None and last != group:
                     yield from flush()
@@ -56,7 +64,7 @@ def linked_within(members: DataFrame, payload: list[str], compare: Callable[[dic
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 class Connected:

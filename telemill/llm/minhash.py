@@ -3,7 +3,8 @@
 A document's signature has SYMBOLS minima of its shingle set, 16 bits of each.  Two signatures differ in at most LIMIT
 symbols; cut into CHUNKS chunks, one chunk then differs in at most ``LIMIT // CHUNKS`` = 1 symbol (pigeonhole).  All
 one-symbol errors are enumerated by leaving out each symbol of each chunk: every such pair shares a key of a chunk, the
-left-out place and the other symbols.  So all pairs within LIMIT meet, whatever else.
+left-out place and the other symbols.  So all pairs within LIMIT meet, whatever else.  A key gives one link for each of
+its members, and of the members that one task has only one is shuffled.
 
 What meets hangs together in families, for which one row a member is enough.  A family's members are then compared in
 blocks of bounded size: pairs within LIMIT are confirmed on whole shingle sets, inside the task, and only links that
@@ -16,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns
 from .blocks import Connected, linked_within
 from .components import components
+from .meetings import Pairs, distinct, runs, shared_keys
 from .shingles import mix, shingle_sets
-from .workspace import BROADCAST_LIMIT, materialise
+from .workspace import marks, materialise, renamed, split_by_marks
 
 SYMBOLS, CHUNKS, LIMIT = 40, 10, 19
 WIDTH = SYMBOLS // CHUNKS
@@ -57,8 +60,6 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
 
 def _digest(hashes: np.ndarray) -> bytes:
     """128 bits that tell sets apart: those of equal sets are equal."""
-    import xxhash
-
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
@@ -76,18 +77,32 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
-def _key_rows(classes: DataFrame) -> DataFrame:
-    """(key, node, n) for each key of each class of equal sets."""
+def _key_pairs(part: pa.RecordBatch) -> Pairs:
+    """(key, node) for each key of each class of equal sets."""
+    keys = keys_of(np.frombuffer(b"".join(part["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS))
+    return mix(keys.ravel().view(np.uint64)), np.repeat(part["node"].to_numpy(), SYMBOLS).view(np.uint64)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct links from the smallest node of each key to its others, and the keys with their smallest nodes."""
+    keys, nodes = distinct(keys, nodes)
+    begins, ends = runs(keys)
+    centre = np.repeat(nodes[begins], ends - begins)
+    other = nodes != centre
+    a, b = distinct(centre[other], nodes[other])
+    return a, b, keys[begins], nodes[begins]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = keys_of(np.frombuffer(b"".join(part["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS))
-                columns = [keys.ravel(), np.repeat(part["node"].to_numpy(), SYMBOLS), np.repeat(part["n"].to_numpy(), SYMBOLS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "n"])
 
-    return classes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long")
+def _combined(keys: np.ndarray, nodes: np.ndarray) -> Pairs:
+    """Each key with its smallest node; each link that this leaves out has a key of its own instead."""
+    a, b, keys, least = _stars(keys, nodes)
+    own = mix(mix(a) + b)
+    return np.concatenate((keys, own, own)), np.concatenate((least, a, b))
+
+
+def _met(keys: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
+    a, b, _, _ = _stars(keys, nodes)
+    return {"a": a.view(np.int64), "b": b.view(np.int64)}
 
 
 def _shared_counts(rows: list[np.ndarray], cols: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -155,24 +170,20 @@ def links(columns: dict, i: int, j: int, percent: int = 75) -> list[tuple[int, i
     return connected.links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, digest.
+def _found(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest and first, the first row of its component.
 
-    Documents are linked when their shingle sets have ``100 * intersection >= percent * union``; sets are linked if
-    they are equal.  A null or wordless text has an empty set, which links with nothing.  component_id is the smallest
-    doc_id (not null, if there is one) that can be reached; kept tells whether that is the row's own (null equals
-    null).  Repeated rows are linked rows; an empty table gives no rows; other columns of ``docs`` are ignored.
+    first is a struct of last (doc_id is null), doc_id and text_hash, by which rows are ordered; it is null for rows
+    with an empty set.
     """
     rows = materialise(sketch(docs), "sketches")
     holder = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("holder")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), holder, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = rows.where("digest is not null").groupBy("digest").agg(holder, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    # Families: what hangs together by shared keys.  Each key gives one link for each member, not one for each pair.
-    keys = _key_rows(classes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("key", "center")
-    meet = _key_rows(classes).join(shared, "key").where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    family = components(meet, "families").withColumnRenamed("component", "family")
+    # Families: what hangs together by shared keys.
+    met = shared_keys(classes.select("node", "signature"), _key_pairs, classes.count() * SYMBOLS, _combined, _met, "a long, b long")
+    family = components(met, "families").withColumnRenamed("component", "family")
     family = materialise(family.join(classes, "node"), "family-members")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
@@ -180,6 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # Their whole sets, from the texts: a class is found again by the id and the hash of the text of one of its rows.
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts, _ = split_by_marks(texts, F.xxhash64(texts["doc_id"], texts["text_hash"]), marks(family, F.xxhash64("holder.doc_id", "holder.text_hash")))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder.doc_id")) & (F.col("text_hash") == F.col("holder.text_hash")))
     texts = texts.select("family", "blocks", "node", "digest", "signature", "text")
     if rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
@@ -196,24 +208,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     members = map_columns(texts, whole, "family long, blocks int, node long, signature binary, hashes array<long>")
     found = components(linked_within(members, ["signature", "hashes"], lambda c, i, j: links(c, i, j, percent)), "components")
-    named = classes.select("node", "rep", "digest").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
+    linked = classes.select("node", "holder", "digest").join(found, "node", "left")
+    alone = linked.where("component is null").select("digest", F.col("holder").alias("first"))
+    linked = linked.where("component is not null")
+    first = linked.groupBy("component").agg(F.min("holder").alias("first"))
+    named = linked.join(first, "component").select("digest", "first").unionByName(alone)
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest")
+    none = F.lit(None).cast(named.schema["first"].dataType).alias("first")
+    return out.where("digest is not null").join(named, "digest").select(*out.columns, "first").unionByName(out.where("digest is null").select("*", none))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, digest.
+
+    Documents are linked when their shingle sets have ``100 * intersection >= percent * union``; sets are linked if
+    they are equal.  A null or wordless text has an empty set, which links with nothing.  component_id is the smallest
+    doc_id (not null, if there is one) that can be reached; kept tells whether that is the row's own (null equals
+    null).  Repeated rows are linked rows; an empty table gives no rows; other columns of ``docs`` are ignored.
+    """
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _found(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, with all their columns, less all but one document of each group of near-duplicates.
+    """The rows of ``docs``, with all their columns, less all but the first row of each group of near-duplicates.
 
-    An id is a document: it stays if one of its rows is a group's first, and of rows with its id and equal texts one
-    stays.  An empty table stays empty.
+    First is the row with the smallest id (null at last), of such with equal ids that with the smallest hash of its
+    text, and of rows with equal ids and texts any one.  A row with a null or wordless text stays.  An empty table
+    stays empty.
     """
-    found = materialise(near_duplicates(docs, percent), "near-duplicates")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where(~F.col("stays")).select("doc_id")
-    if gone.count() * 16 <= BROADCAST_LIMIT:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    found = materialise(_found(docs, percent).where("digest is not null"), "near-duplicates")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
+    rows = materialise(rows.where("not stays or n > 1"), "not-first")
+    hits, rest = split_by_marks(docs, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])), marks(rows, F.xxhash64("doc_id", "text_hash")))
+    rows, of = renamed(rows)
+    same = hits["doc_id"].eqNullSafe(of["doc_id"]) & (F.xxhash64(hits["text"]) == of["text_hash"])
+    left = rest.unionByName(hits.join(rows, same, "left_anti"))
+    repeated = rows.where(of["stays"])
+    if not repeated.limit(1).count():
+        return left
+    return left.unionByName(hits.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

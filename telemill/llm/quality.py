@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns, map_slices
-from .shingles import substring_hashes, word_bounds
+from .shingles import word_bounds, word_hashes
 
 #: At most so many labelled rows are fetched to fit the model; chosen by a hash of the id.
 SAMPLE = 20_000
@@ -57,7 +57,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     length = (ends - starts).astype(float)
     words = np.bincount(owner, minlength=n)
     per_word = lambda w: np.bincount(owner, weights=w, minlength=n) / np.maximum(words, 1)
-    hashes = substring_hashes(_CASE[buf], starts, ends)
+    hashes = word_hashes(_CASE[buf], starts, ends)
     same = np.zeros(len(starts))
     same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     longest = np.zeros(n)

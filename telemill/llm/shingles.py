@@ -1,8 +1,8 @@
 """Distinct hashed word shingles of texts, computed for many texts at once in numpy.
 
 Words are what is left between bytes 0x20 and 0x09-0x0D after lower-casing A-Z; as UTF-8 uses none of these bytes
-within a character, this works on bytes.  A word's hash is a polynomial over its bytes (taken from prefix sums), mixed;
-a shingle's hash is a linear form over its words' hashes, mixed again; all in 64 bits.
+within a character, this works on bytes.  A word of up to 8 bytes is hashed one to one from its bytes as a number, a
+longer one by xxh3; a shingle's hash is a linear form over its words' hashes, mixed again; all in 64 bits.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 WORDS = 5
 _BASE = 0x9E6C63D0876A9A47
@@ -26,6 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_SIZES = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse for i below n, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
@@ -58,20 +64,42 @@ def word_bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefixes:
-    """Prefix sums of a buffer, from which the hash of any of its substrings takes constant time."""
+    """Prefix sums of a buffer, from which the hash of any of its substrings takes constant time.
+
+    As polynomials modulo 2**64 collide for some texts (whatever the base), these hashes only find candidates.
+    """
 
     def __init__(self, buf: np.ndarray):
-        up, self.down = _power_tables(len(buf) + 1)
+        self.up, self.down = _power_tables(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], out=self.sums[1:])
+
+    def polynomials(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the substrings from starts to ends; they depend on the bytes and the length alone."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mix(self.polynomials(starts, ends) + (ends - starts).astype(np.uint64) * _LENGTH)
+
+    def joined(self, starts: np.ndarray, ends: np.ndarray, more: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hashes of the substrings from starts to ends followed by those from more to stops."""
+        first = ends - starts
+        both = self.polynomials(starts, ends) + self.polynomials(more, stops) * self.up[first]
+        return mix(both + (first + stops - more).astype(np.uint64) * _LENGTH)
 
 
-def substring_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefixes(buf).hashes(starts, ends)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words from starts to ends; of words of equal length up to 8 bytes no two are equal."""
+    size = ends - starts
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    short = np.minimum(size, 8)
+    out = mix((eight[starts] & _FIRST_BYTES[short]) ^ _SIZES[short])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -83,7 +111,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
         return
     buf, begins = lower_bytes(texts)
     starts, ends = word_bounds(_IN_WORD[buf])
-    hashes = substring_hashes(buf, starts, ends)
+    hashes = word_hashes(buf, starts, ends)
     first = np.searchsorted(starts, begins)
     factors = mix(np.arange(1, words + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     n = len(hashes)

@@ -1,32 +1,26 @@
 """Shared storage for intermediate tables, and small helpers that all operators use.
 
 Lineage is cut by writing a Parquet table below the folder named by ``spark.checkpoint.dir``, which every executor can
-read: a lost executor never takes an intermediate result with it.  Only where that setting is absent (unit tests on
-one machine) a temporary folder is used.
+read: a lost executor never takes an intermediate result with it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Largest number of bytes that an operator hands to every executor; above it, it takes the shuffling way.
-BROADCAST_LIMIT = 32 << 20
+from telemill.sources.io import quoted
+from telemill.sources.scratch import shared_folder
 
-_local: dict[str, str] = {}
+#: Bits of a bitmap of keys that is handed to every executor, whatever the number of keys.
+MARKS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one temporary folder per application where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="telemill-")
-    return _local[app]
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +31,48 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with names that no other table has, and its columns by their old names."""
+    tag = uuid.uuid4().hex
+    out = df.select(*[F.col(c).alias(f"{c}_{tag}") for c in df.columns])
+    return out, {c: F.col(f"{c}_{tag}") for c in df.columns}
+
+
+def marks(keys: DataFrame, key: Column, bits: int = MARKS) -> DataFrame:
+    """(word, bits) of a bitmap in which the place of each key is set: ``bits / 64`` rows at most.
+
+    A key whose place isn't set is not among the keys; one whose place is set probably is.  The more keys there are, the
+    less the bitmap leaves out, but it never grows.
+    """
+    place = F.pmod(key, F.lit(bits))
+    words = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def split_by_marks(df: DataFrame, key: Column, words: DataFrame, bits: int = MARKS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key has its place set, and the others; neither is shuffled."""
+    place = F.pmod(key, F.lit(bits))
+    words, word = renamed(words)
+    joined = df.join(F.broadcast(words), F.shiftright(place, 6) == word["word"], "left")
+    hit = F.coalesce(F.getbit(word["bits"], place.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    columns = [df[quoted(c)] for c in df.columns]
+    return joined.where(hit).select(*columns), joined.where(~hit).select(*columns)
+
+
+def bitmap(words: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """The bitmap of ``marks`` as an array of bytes (``bits / 8`` of them)."""
+    got = words.toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(array: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the (signed 64-bit) keys have their place set."""
+    place = np.mod(keys, len(array) * 8)
+    return (array[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all tables that ``materialise`` has left in the shared folder; results that still read them are lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/telemill")

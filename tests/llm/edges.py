@@ -1,6 +1,6 @@
 """A documents table that holds every awkward case, and one with clashing extra columns."""
 
-CLASHES = ["node", "key", "family", "n", "h1", "repeats", "component", "score", "pii", "n_lines", "label", "shard", "row_no", "digest", "__id", "size", "length", "list"]
+CLASHES = ["node", "key", "family", "n", "h1", "repeats", "component", "score", "pii", "n_lines", "label", "shard", "row_no", "digest", "__id", "size", "length", "list", "word", "bits", "bucket", "data", "g", "side"]
 
 
 def edge_rows():

@@ -222,11 +222,53 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
         assert (r.text, r.n_lines, r.n_repeats) == ("\n".join(keep), len(lines), len(lines) - len(keep))
 
 
-def test_line_dedup_by_shuffles_gives_the_same(spark, monkeypatch):
+def test_line_dedup_by_shuffles_gives_the_same(spark):
     docs = small(spark, DATA)
     once = sorted(tuple(r) for r in linededup.without_repeats(docs).select("doc_id", "text", "n_repeats").collect())
-    monkeypatch.setattr(linededup, "BROADCAST_LIMIT", 0)
-    assert once == sorted(tuple(r) for r in linededup.without_repeats(docs).select("doc_id", "text", "n_repeats").collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert once == sorted(tuple(r) for r in linededup.without_repeats(docs).select("doc_id", "text", "n_repeats").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 60])
+def test_line_dedup_below_hot_keys(spark, monkeypatch, cell):
+    """Lines of which most share a segment, or two, are found by the rest of them, in whatever cells they meet."""
+    monkeypatch.setattr(linededup, "HOT_ROWS", 20)
+    monkeypatch.setattr(linededup, "CELL", cell)
+    rng = random.Random(12)
+    texts, k = {}, 0
+    for head, tail in (("all of these lines begin alike: ", ""), ("", " is what these lines end with"), ("a beginning that is common, ", ", and an end that is common")):
+        pool = ["".join(rng.choice("abcdefghij") for _ in range(18)) for _ in range(60)]
+        for _ in range(150):
+            x = list(rng.choice(pool))
+            for _ in range(rng.choice((0, 1, 2, 3))):
+                at = rng.randrange(len(x))
+                x[at : at + rng.choice((0, 1))] = rng.choice(("", "z", "y"))
+            texts[k] = f"{head}{''.join(x)}{tail}"
+            k += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = linededup._lines(df, 2, 20, 20)
+    assert len(linededup._hot(table)[1][0]) > 3
+    dropped = brute_lines(texts, 2, 20)
+    assert {r.doc_id for r in linededup.without_repeats(df).collect() if r.n_repeats} == {k for k, _ in dropped} and len(dropped) < len(texts) - 100
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_texts_whose_polynomials_collide(spark):
+    """Polynomial hashes modulo 2**64 are equal for a Thue-Morse word and its complement, whatever the base."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: word, 2: word[:-1] + "c", 3: other}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_repeats) for r in linededup.without_repeats(df).collect()}
+    assert got == {1: (word, 0), 2: ("", 1), 3: (other, 0)}
+    assert [(r.doc_id, r.component_id) for r in minhash.near_duplicates(df.where("doc_id != 2")).orderBy("doc_id").collect()] == [(1, 1), (3, 3)]
 
 
 def test_line_dedup_of_edge_cases(spark):
