@@ -52,14 +52,18 @@ class ArrayPermutation:
 
 
 class KeyedPermutation:
-    """Permutes single integers over 0..n-1 under a secret key and a tweak; n is arbitrary (no 64-bit bound)."""
+    """Permutes single integers over 0..n-1 under a secret key and a tweak; n is arbitrary."""
 
     def __init__(self, n: int, key: bytes, tweak: str, rounds: int = 8):
         self.n, self.w, self.rounds = n, half_bits(n), rounds
-        self.base = hashlib.blake2b(tweak.encode() + n.to_bytes(40, "little"), key=key[:64], digest_size=32).digest()
+        self.bytes = max(20, (self.w + 7) // 8)
+        size = max(40, (n.bit_length() + 7) // 8)
+        self.base = hashlib.blake2b(tweak.encode() + n.to_bytes(size, "little"), key=key[:64], digest_size=32).digest()
 
     def _round(self, r: int, half: int) -> int:
-        raw = hashlib.blake2b(half.to_bytes(20, "little"), key=self.base, salt=bytes([r]), digest_size=20).digest()
+        raw = hashlib.blake2b(half.to_bytes(self.bytes, "little"), key=self.base, salt=bytes([r]), digest_size=min(self.bytes, 64)).digest()
+        if self.bytes > 64:
+            raw = hashlib.shake_256(raw).digest(self.bytes)
         return int.from_bytes(raw, "little") & ((1 << self.w) - 1)
 
     def _once(self, x: int, order) -> int:

@@ -9,6 +9,7 @@ with, and no value keeps its own: the permutation is a keyed cycle (permute, ste
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
 from collections.abc import Callable, Iterator
@@ -31,13 +32,20 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
+#: Characters of a value that are permuted as one number.
+WHOLE = 128
+
+
 class Pseudonyms:
     """Pseudonyms of single values under one key."""
 
     def __init__(self, key: bytes):
         self.key = key
         self._cycle = lru_cache(maxsize=512)(lambda n, tweak: KeyedPermutation(n, key, tweak))
-        self.value = lru_cache(maxsize=50_000)(self._value)
+        self._remembered = lru_cache(maxsize=50_000)(self._value)
+
+    def value(self, kind: str, text: str) -> str:
+        return self._remembered(kind, text) if len(text) <= WHOLE else self._value(kind, text)
 
     def number(self, x: int, n: int, tweak: str) -> int:
         """Another number below n (the same if n is 1); one to one for each n and tweak."""
@@ -47,7 +55,20 @@ class Pseudonyms:
         return p.invert((p(x) + 1) % n)
 
     def characters(self, text: str, alphabets: list[str], tweak: str) -> str:
-        """``text`` with each character replaced within the alphabet of its place."""
+        """``text`` with each character replaced within the alphabet of its place.
+
+        What is longer than WHOLE is replaced in pieces, the first under a tweak of all others, each other under one of
+        the new piece before it: still one to one, as the pieces can be put back from the second on.
+        """
+        if len(text) > WHOLE:
+            cuts = range(0, len(text), WHOLE // 2)
+            before = hashlib.blake2b(text[WHOLE // 2 :].encode(), key=self.key[:64]).hexdigest()
+            out = []
+            for k in cuts:
+                piece, rule = text[k : k + WHOLE // 2], alphabets[k : k + WHOLE // 2]
+                out.append(self.characters(piece, rule, f"{tweak}:{len(text)}:{k}:{before}"))
+                before = hashlib.blake2b((before + out[-1]).encode() if k else out[-1].encode(), key=self.key[:64]).hexdigest()
+            return "".join(out)
         n = x = 1
         x = 0
         for c, a in zip(text, alphabets, strict=True):
@@ -221,7 +242,7 @@ _any: Callable[[str], bool] = lambda text: True
 #: Kind: pattern (group v or all of it), validation, pseudonym; earlier kinds win where places overlap.
 KINDS: dict[str, tuple[re.Pattern, Callable[[str], bool], Callable[[Pseudonyms, str], str]]] = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"), _any, _email),
-    "secret": (re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<v>(?=[^\s"']*[0-9])[A-Za-z0-9_+/.~-]{6,}[A-Za-z0-9])"""), _any, _secret),
+    "secret": (re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<v>[A-Za-z0-9_+/.~-]{6,}[A-Za-z0-9])"""), _any, _secret),
     "access_key": (re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _any, _access_key),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), is_iban, _iban),
     "card": (re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?!\d|[.-]\d)"), is_card, _card),
@@ -277,6 +298,20 @@ def _shortened(kind: str, text: str, accept: Callable[[int, int], bool]) -> Iter
                 break
 
 
+_DIGIT_OR_END = re.compile(r"""[0-9\s"']|\Z""")
+
+
+def _secrets(text: str, accept: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Values with a digit, in them or after them before the next blank or quote."""
+    stop = -1
+    for m in KINDS["secret"][0].finditer(text):
+        start, end = m.span("v")
+        if stop < start:
+            stop = _DIGIT_OR_END.search(text, start).start()
+        if text[stop : stop + 1].isdigit() and accept(start, end):
+            yield start, end
+
+
 _WORTH = re.compile(r"[0-9@]")
 
 
@@ -290,6 +325,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         accept = lambda a, b, valid=valid: valid(text[a:b]) and taken.take(a, b)
         if kind == "card":
             places = _cards(text, accept)
+        elif kind == "secret":
+            places = _secrets(text, accept)
         elif kind in ("iban", "phone"):
             places = _shortened(kind, text, accept)
         else:

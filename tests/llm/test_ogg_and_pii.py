@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from edges import clashing_docs, edge_docs, edge_rows, empty_docs, small
 
@@ -96,6 +97,79 @@ def test_permutations_are_one_to_one(n):
     assert sorted(ArrayPermutation(n, 3)(range(n)).tolist()) == list(range(n))
 
 
+def plain_feistel(n, key, tweak, x):
+    """The keyed permutation of 0..n-1 step by step, written down from its description."""
+    bits = 1
+    while 4**bits < n:
+        bits += 1
+    base = hashlib.blake2b(tweak.encode() + n.to_bytes(40, "little"), key=key, digest_size=32).digest()
+    while True:
+        left, right = divmod(x, 2**bits)
+        for r in range(8):
+            word = hashlib.blake2b(right.to_bytes(20, "little"), key=base, salt=bytes([r]), digest_size=20).digest()
+            left, right = right, left ^ int.from_bytes(word, "little") % 2**bits
+        x = left * 2**bits + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [2, 9, 10, 99, 1000, 4097])
+def test_pseudonyms_of_numbers_equal_a_table(n):
+    table = [plain_feistel(n, b"key", "t", x) for x in range(n)]
+    assert sorted(table) == list(range(n))
+    place = {y: x for x, y in enumerate(table)}
+    p = pii.Pseudonyms(b"key")
+    assert [p.number(x, n, "t") for x in range(n)] == [place[(table[x] + 1) % n] for x in range(n)]
+
+
+@pytest.mark.parametrize("size", [7, 34, 64, 120, 128, 129, 200, 4096, 60_000])
+def test_values_of_any_length(size):
+    rng = random.Random(size)
+    mixed = "a1" + "".join(rng.choice("abcXYZ019_+") for _ in range(size - 4)) + "Q7"
+    plain = "0a" + "".join(rng.choice("0123456789abcdef") for _ in range(size - 2))
+    p = pii.Pseudonyms(b"key")
+    for value in (mixed, plain):
+        new, places = pii.replace(f"x token={value} y", p)
+        assert [k for _, _, k in places] == ["secret"] and new.startswith("x token=") and new.endswith(" y")
+        out = new[8:-2]
+        assert len(out) == size and out != value
+        kinds = lambda t: ["9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in t]
+        assert kinds(out) == kinds(value) if value is mixed else set(out) <= set("0123456789abcdef")
+        assert pii.replace(f"also token={value} here", p)[0] == f"also token={out} here"
+        for k in (0, size // 2, size - 1):
+            other = value[:k] + ("2" if value[k] != "2" else "3") + value[k + 1 :]
+            assert p.characters(other, ["0123456789"] * size if other.isdigit() else [pii.HEX + pii.LOWER + pii.UPPER + "_+"] * size, "t") != p.characters(value, [pii.HEX + pii.LOWER + pii.UPPER + "_+"] * size, "t")
+
+
+def test_long_values_are_permuted_one_to_one(monkeypatch):
+    monkeypatch.setattr(pii, "WHOLE", 4)
+    p = pii.Pseudonyms(b"key")
+    every = [f"{k:05d}" for k in range(3**5)]
+    texts = ["".join("xyz"[int(c)] for c in np.base_repr(k, 3).zfill(5)) for k in range(len(every))]
+    new = [p.characters(t, ["xyz"] * 5, "t") for t in texts]
+    assert sorted(new) == sorted(texts) and all(a != b for a, b in zip(texts, new, strict=True))
+
+
+def test_long_hosts_and_repeated_keywords_end_soon():
+    import time
+
+    host = ".".join("ab" + "c9" * 28 for _ in range(30)) + ".example.com"
+    new, places = pii.replace(f"mail some.one@{host} now", P)
+    assert [k for _, _, k in places] == ["email"] and len(new) == len(host) + 18 and host not in new
+    began = time.time()
+    for text in ("token=" * 40_000, "token=" * 40_000 + "1", "password=" + "_" * 200_000, "secret: " * 20_000 + "x", "a@" + "b." * 50_000 + "1", "1-" * 60_000, "+1 " * 40_000):
+        pii.replace(text, P)
+    assert time.time() - began < 20
+
+
+def test_pseudonym_query_on_long_values(spark):
+    values = ["password=" + "aB3" * 400, "token=" + "0f" * 48, "some.one@" + "a" * 60 + "." + "b" * 60 + ".com"]
+    df = spark.createDataFrame([(k, f"see {v} there") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df, b"key").collect()}
+    for k, v in enumerate(values):
+        assert got[k].n_pii == 1 and v not in got[k].text and len(got[k].text) == len(v) + 10
+
+
 P = pii.Pseudonyms(b"key")
 
 
