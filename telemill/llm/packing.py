@@ -40,20 +40,20 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (uint32) under the text of a ``tokenizers`` byte-level BPE file.
 
     Where ids are in the order of merges, as in that file, ranks alone define the merges, and the ids come from
-    tiktoken, which is several times faster and gives the same ids; texts it can't take, and other files, go through
-    ``tokenizers`` itself.  Names of special tokens in a text are ordinary text.
+    tiktoken, which is several times faster and gives the same ids; texts it can't take, such that hold the name of an
+    added token, and other files, go through ``tokenizers`` itself, as it is.
     """
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(vocabulary)
-    own.encode_special_tokens = True
 
     def plain(text: str) -> np.ndarray:
         return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    model = json.loads(vocabulary)["model"]
+    file = json.loads(vocabulary)
+    model, added = file["model"], [t["content"] for t in file.get("added_tokens", [])]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+    if file.get("normalizer") or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
         return plain
     import tiktoken
 
@@ -62,12 +62,14 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def quick(text: str) -> np.ndarray:
+        if any(name in text for name in added):
+            return plain(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:  # its matcher gives up on some very long runs: a panic, which is no Exception
+            if type(e).__name__ != "PanicException" and not isinstance(e, (ValueError, RuntimeError)):
                 raise
-            return plain(text)  # its matcher gives up on some very long runs
+            return plain(text)
 
     return quick
 

@@ -84,7 +84,10 @@ def test_plan_uses_as_few_sequences_as_step_by_step():
 
 
 def check_packing(rows, texts, capacity):
-    encode = packing.encoder(open(BPE, encoding="utf-8").read())
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    encode = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     filled = {}
     for r in rows:
         filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -126,7 +129,6 @@ def test_ids_equal_those_of_tokenizers_for_every_character():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
     encode = packing.encoder(open(BPE, encoding="utf-8").read())
     texts = ["".join(f"{a}{chr(c)}{b}" for c in range(at, min(at + 4096, sys.maxunicode + 1)) if not 0xD800 <= c < 0xE000) for at in range(0, sys.maxunicode + 1, 4096) for a, b in (("", ""), ("a", " "), (" ", "1"))]
     texts += [t for _, t in edge_rows() if t] + ["<|endoftext|>", "  \n\n \t x", "it's we'll I'D", " " * 5000, "\n" * 3000 + "a"]
@@ -134,6 +136,16 @@ def test_ids_equal_those_of_tokenizers_for_every_character():
         assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_equal_those_of_tokenizers_for_a_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    encode = packing.encoder(open(BPE, encoding="utf-8").read())
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("text").collect()]
+    assert all(encode(t).tolist() == e.ids for t, e in zip(texts, own.encode_batch(texts, add_special_tokens=False), strict=True))
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 # Pieces
 
 
@@ -167,6 +179,69 @@ def test_paths_come_in_falling_order(model):
     assert scores == sorted(scores, reverse=True)
 
 
+def plain_forward(m, s):
+    """Best and second best score of a part, over all pieces, without the tree."""
+    kept = [[0.0]] + [[] for _ in s]
+    longest = max(map(len, m.scores))
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - longest), j):
+            w = m.scores.get(s[i:j], m.unknown if j == i + 1 else None)
+            if w is not None:
+                kept[j] += [x + w for x in kept[i]]
+        kept[j] = sorted(kept[j], reverse=True)[:2]
+    return kept[-1]
+
+
+def test_parts_learnt_together_equal_a_plain_pass(model):
+    rng = random.Random(7)
+    parts = {"▁" * rng.randrange(3) + "".join(rng.choice("abcdeinrst.,1①é") for _ in range(rng.randrange(1, 60))) for _ in range(300)}
+    model.forget()
+    model.learn(sorted(parts))
+    for p in parts:
+        k = model.number[p]
+        want = plain_forward(model, p)
+        score, loss, back = model.figures[:, k]
+        assert score == want[0] and loss == (want[0] - want[1] if len(want) > 1 else np.inf) and back == 1
+        ids = np.frombuffer(model.packed[k], "<u4").tolist()
+        assert model.raw(model.packed[k]).decode() == p
+        if "①" not in p:
+            assert sum(model.scores[model.text[i]] for i in ids) == score
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "".join(random.Random(8).choice("abcdefghij") for _ in range(200_000)), "日" * 50_000])
+def test_long_texts_without_blanks(model, text):
+    import time
+
+    model.forget()
+    began = time.time()
+    got, whole = model.checked(model.split([text])[0], 4)
+    assert time.time() - began < 30 and whole and len({ids for _, ids in got}) == len(got)
+    assert len(got) == (1 if text[0] == "日" else 4)
+    scores = [s for s, _ in got]
+    want = plain_forward(model, "▁" + text[:2000])
+    short = [s for s, _ in model.segment(text[:2000], 4)]
+    assert short[: len(want)] == want and scores == sorted(scores, reverse=True)
+
+
+def test_paths_of_a_bounded_queue_equal_all_paths(model):
+    rng = random.Random(9)
+    for _ in range(100):
+        s = "".join(rng.choice("abeinst") for _ in range(rng.randrange(1, 14)))
+        every = [score for score, _ in model.paths(s)]
+        got = list(model.paths(s, 6))
+        assert [score for score, _ in got] == every[:6] and len({tuple(p) for _, p in got}) == len(got)
+
+
+def test_merged_ids_are_those_of_the_library(spark):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, "Hello world, tokenisation lattices"), (2, None), (3, "")]
+    out = pieces.merged(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.ids for r in out} == {k: lib.encode(t or "") for k, t in rows}
+
+
 def test_decoding_equals_the_library(model):
     import sentencepiece
 
