@@ -97,14 +97,15 @@ def column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, n_distinct, least and largest as numbers, and coverage: one pass, then turned to one row a column."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for k, c in enumerate(columns):
-        x = F.col(quoted(c))
-        aggs += [F.count(x).alias(f"n{k}"), F.count_distinct(x).alias(f"d{k}"), F.min(x).cast("double").alias(f"a{k}"), F.max(x).cast("double").alias(f"b{k}")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n"), F.col(f"d{k}").alias("n_distinct"), F.col(f"a{k}").alias("least"), F.col(f"b{k}").alias("largest"), F.try_divide(F.col(f"n{k}").cast("double"), F.col("rows")).alias("coverage")) for k, c in enumerate(columns)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """column, n, n_distinct, least and largest as numbers, and coverage.
+
+    One long pass: each row gives a row for each column, equal values of a column are counted before they are shuffled.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("text"), F.col(quoted(c)).try_cast("double").alias("number")) for c in columns])
+    values = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "text").agg(F.count(F.lit(1)).alias("rows"), F.min("number").alias("number"))
+    some = F.col("text").isNotNull()
+    out = values.groupBy("column").agg(F.sum(F.when(some, F.col("rows")).otherwise(0)).alias("n"), F.count("text").alias("n_distinct"), F.min("number").alias("least"), F.max("number").alias("largest"), F.sum("rows").alias("rows"))
+    return out.select("column", "n", "n_distinct", "least", "largest", F.try_divide(F.col("n").cast("double"), F.col("rows")).alias("coverage"))
 
 
 def degenerate_columns(df: DataFrame, columns: list[str], exempt: list[str] = (), sparse: float = 0.01) -> list[tuple[str, str]]:
@@ -203,24 +204,22 @@ def blocked_names(columns: list[str], pattern: str) -> list[str]:
     return [c for c in columns if re.search(pattern, c, re.I)]
 
 
-def carried_forward(df: DataFrame, channels: list[str], least_rows: int = 100, least_channels: int = 5, share: float = 0.9) -> DataFrame:
+def carried_forward(df: DataFrame, channel: str, prefix: str, least_rows: int = 100, least_channels: int = 5, share: float = 0.9) -> DataFrame:
     """Whether channels hold single carried values rather than windows of readings: one row.
 
-    A channel (of columns __count, __min, __max) is suspect if every positive count is 1, or if least and largest are
-    equal in every row that isn't all zero; it is judged if it has ``least_rows`` such rows.
+    ``df`` has a row for each channel and window, with columns <prefix>__count, __min and __max.  A channel is suspect
+    if every positive count is 1, or if least and largest are equal in every window that isn't all zero; it is judged
+    if it has ``least_rows`` such windows.
     """
-    out = []
-    for ch in channels:
-        n, a, b = (F.col(quoted(f"{ch}__{s}")) for s in ("count", "min", "max"))
-        seen = a.isNotNull() & b.isNotNull() & ~((a == 0) & (b == 0))
-        rows = F.count_if(seen)
-        out.append(F.struct(F.lit(ch).alias("channel"), (F.count_if(n > 0) >= least_rows).alias("counted"), (F.count_if((n > 0) & (n != 1)) == 0).alias("single"), (rows >= least_rows).alias("judged"), (F.count_if(seen & (a != b)) == 0).alias("flat")))
-    wide = df.agg(F.array(*out).alias("c"))
-    share_of = lambda flag, of: F.try_divide(F.size(F.filter("c", lambda x: x[of] & x[flag])).cast("double"), F.size(F.filter("c", lambda x: x[of])).cast("double"))
-    enough = lambda of: F.size(F.filter("c", lambda x: x[of])) >= least_channels
-    counted, flat = share_of("single", "counted"), share_of("flat", "judged")
-    bad = (enough("counted") & (counted >= share)) | (enough("judged") & (flat >= share))
-    return wide.select(counted.alias("share_single"), flat.alias("share_flat"), F.coalesce(bad, F.lit(False)).alias("carried_forward"))
+    n, a, b = (F.col(quoted(f"{prefix}__{s}")) for s in ("count", "min", "max"))
+    seen = a.isNotNull() & b.isNotNull() & ~((a == 0) & (b == 0))
+    by = df.where(F.col(channel).isNotNull()).groupBy(channel).agg(
+        (F.count_if(n > 0) >= least_rows).alias("counted"), (F.count_if((n > 0) & (n != 1)) == 0).alias("single"), (F.count_if(seen) >= least_rows).alias("judged"), (F.count_if(seen & (a != b)) == 0).alias("flat")
+    )
+    sums = by.agg(*[F.count_if(F.col(of)).alias(of) for of in ("counted", "judged")], F.count_if(F.col("counted") & F.col("single")).alias("single"), F.count_if(F.col("judged") & F.col("flat")).alias("flat"))
+    single, flat = (F.try_divide(F.col(x).cast("double"), F.col(of).cast("double")) for x, of in (("single", "counted"), ("flat", "judged")))
+    bad = ((F.col("counted") >= least_channels) & (single >= share)) | ((F.col("judged") >= least_channels) & (flat >= share))
+    return sums.select(single.alias("share_single"), flat.alias("share_flat"), F.coalesce(bad, F.lit(False)).alias("carried_forward"))
 
 
 def zero_filled(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,50 +1,69 @@
-"""Exact quantiles of a whole column, without one task that holds it."""
+"""Ranks and exact quantiles of columns and of groups, without one task that holds all values of a group."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which Spark's own exact percentile, which holds all distinct values at once, is used.
-DIRECT = 5_000_000
-PARTS = 256
+#: Buckets over which a group's distinct values are dealt: SIDE coarse ones of SIDE each.
+SIDE = 32
+
+
+def _bucket(edges: Column, x: Column) -> Column:
+    """How many edges of a sorted array lie below x, in two short searches."""
+    coarse = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.get(edges, i * SIDE))
+    first = F.greatest(F.size(F.filter(coarse, lambda e: e < x)) - 1, F.lit(0)) * SIDE
+    return first + F.size(F.filter(F.slice(edges, first + 1, SIDE), lambda e: e < x))
 
 
-def exact_quantiles(df: DataFrame, column: str, points: list[float], direct: int = DIRECT) -> list[float | None]:
-    """Linearly interpolated quantiles of the values that aren't null; None for each point without values.
+def ranked(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, x, n, before, total): each distinct value of a group as a double, its rows, those of smaller values, and all.
 
-    Beyond ``direct`` rows, each pass counts the values in equal parts of the intervals that still hold a wanted rank,
-    and keeps those parts; a few passes, each one combinable aggregation with at most PARTS rows an interval, find them.
+    Values are counted first, which combines equal ones before they are shuffled; nulls are left out.  The distinct ones
+    are dealt by approximate quantiles of their group, so that no task sorts a whole group, and the buckets' sums tell
+    what lies before each.  A null in ``by`` is a group of its own.
     """
-    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n, least, largest = rows.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(points)
-    if n <= direct:
-        return list(rows.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in points]))).first()[0])
-    at = [p * (n - 1) for p in points]
-    wanted = {r for a in at for r in (math.floor(a), math.ceil(a))}
-    found: dict[int, float] = {}
-    open_: list[tuple[float, float, int]] = [(least, largest, 0)]  # least and largest value, values before them
-    while open_:
-        starts, ends = (F.array(*[F.lit(float(i[k])) for i in open_]) for k in (0, 1))
-        k = F.size(F.filter(starts, lambda s: s <= F.col("x"))) - 1
-        inside = rows.withColumn("k", k).where((F.col("k") >= 0) & (F.col("x") <= F.get(ends, F.greatest("k", F.lit(0)))))
-        a, b = F.get(starts, F.col("k")), F.get(ends, F.col("k"))
-        part = F.when(b > a, F.least(F.floor((F.col("x") - a) / (b - a) * PARTS), F.lit(PARTS - 1))).otherwise(0)
-        counts = inside.groupBy("k", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
-        before = {i: start for i, (_, _, start) in enumerate(open_)}
-        closer = []
-        for r in sorted(counts, key=lambda r: (r.k, r.part)):
-            first, last = before[r.k], before[r.k] + r.n - 1
-            before[r.k] += r.n
-            ranks = [w for w in wanted if first <= w <= last and w not in found]
-            if r.a == r.b or r.n == 2:
-                found |= {w: r.a if w == first else r.b for w in ranks}
-            elif ranks:
-                closer.append((r.a, r.b, first))
-        open_ = sorted(closer)
-    value = lambda low, high, x: found[low] if low == high else (high - x) * found[low] + (x - low) * found[high]
-    return [value(math.floor(a), math.ceil(a), a) for a in at]
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("x"))
+    keys = [f"__g{k}" for k in range(len(by))] or ["__g"]
+    named = rows.select(*([F.col(c).alias(k) for k, c in zip(keys, by, strict=True)] if by else [F.lit(0).alias("__g")]), "x")
+    counted = named.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+    points = F.array(*[F.lit(k / (SIDE * SIDE)) for k in range(SIDE * SIDE)])
+    groups = counted.groupBy(*keys).agg(F.percentile_approx("x", points, F.lit(10_000)).alias("__edges"), F.sum("n").alias("total"))
+    right = groups.select(*[F.col(k).alias(f"{k}r") for k in keys], "__edges", "total")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
+    dealt = counted.join(right, same).withColumn("__k", _bucket(F.col("__edges"), F.col("x"))).select(*keys, "x", "n", "total", "__k")
+    sums = dealt.groupBy(*keys, "__k").agg(F.sum("n").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"{k}r") for k in keys], F.col("__k").alias("__kr"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, "__k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    out = dealt.join(sums, [*same, F.col("__k") == F.col("__kr")]).withColumn("before", before)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=False)], "x", "n", "before", "total")
+
+
+def group_quantiles(df: DataFrame, column: str, points: list[float], by: list[str], name: str = "quantiles") -> DataFrame:
+    """(by, name): linearly interpolated quantiles, as an array, of each group that has values."""
+    r = ranked(df, column, by)
+    place = F.transform(F.array(*[F.lit(float(p)) for p in points]), lambda p: p * (F.col("total") - 1))
+    inside = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))
+    here = F.transform(place, lambda a: F.struct(a.alias("at"), F.when(inside(F.floor(a)), F.col("x")).alias("low"), F.when(inside(F.ceil(a)), F.col("x")).alias("high")))
+    wanted = F.exists(place, lambda a: inside(F.floor(a)) | inside(F.ceil(a)))
+    found = r.where(wanted).select(*by, F.posexplode(here).alias("__p", "__h")).groupBy(*by, "__p").agg(F.max("__h.at").alias("at"), F.max("__h.low").alias("low"), F.max("__h.high").alias("high"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.floor("at") + 1 - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__p"), value.alias("__v")))), lambda s: s["__v"])
+    return found.groupBy(*by).agg(packed.alias(name)) if by else found.agg(packed.alias(name))
+
+
+def exact_quantiles(df: DataFrame, column: str, points: list[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of all values that aren't null; None for each point without values."""
+    row = group_quantiles(df, column, points, []).first()
+    return list(row[0]) if row[0] else [None] * len(points)
+
+
+def with_medians(groups: DataFrame, rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """``groups`` (one row a group) with the median of each column under its new name."""
+    for column, name in columns.items():
+        found = group_quantiles(rows, column, [0.5], by, "__q")
+        right = found.select(*[F.col(c).alias(f"__{k}r") for k, c in enumerate(by)], F.get("__q", F.lit(0)).alias(name))
+        groups = groups.join(right, [F.col(c).eqNullSafe(F.col(f"__{k}r")) for k, c in enumerate(by)], "left").drop(*[f"__{k}r" for k in range(len(by))])
+    return groups

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import DIRECT, exact_quantiles
+from .quantiles import exact_quantiles, ranked, with_medians
 
 
 def half_open_bin(x: Column, edges: list[float]) -> Column:
@@ -40,7 +40,8 @@ def median_trend(df: DataFrame, x: str, y: str, groups: int = 40, least: int = 2
     points = [k / (groups - 1) for k in range(groups)]
     edges = _literals(exact_quantiles(rows, "x", points))
     binned = rows.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col("x"))))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x_median"), F.median("y").alias("y_median")).where(F.col("n") >= least)
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return with_medians(counts, binned, ["bin"], {"x": "x_median", "y": "y_median"})
 
 
 def elbow(trend: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def quantile_bins(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     edges = _literals(exact_quantiles(rows, x, [k / bins for k in range(bins + 1)]))
     k = F.greatest(F.size(F.filter(edges, lambda e: e < F.col(x))), F.lit(1))
-    return rows.withColumn("bin", k).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
+    binned = rows.withColumn("bin", k)
+    return with_medians(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")), binned, ["bin"], {x: "x_median", y: "y_median"})
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -64,38 +66,22 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))))
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str], name: str, buckets: int = 1024) -> DataFrame:
-    """(by, column, name): for each distinct value its rank from 1 within its group, which equal values share as their mean.
-
-    Equal values of the numeric column are counted first (nulls are left out).  A group's values are then dealt by size
-    over buckets, whose counts tell how many values lie before each; so no task sorts a whole group, however large.
-    """
-    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
-    ends = values.groupBy(*by).agg(F.min(column).alias("__a"), F.max(column).alias("__b"))
-    place = F.when(F.col("__b") > F.col("__a"), F.floor((F.col(column) - F.col("__a")) / (F.col("__b") - F.col("__a")) * (buckets - 1))).otherwise(0)
-    values = values.join(ends, by).withColumn("__k", place).drop("__a", "__b")
-    before = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    sums = values.groupBy(*by, "__k").agg(F.sum("__n").alias("__sum")).select(*by, "__k", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*by, "__k").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / 2.0
-    return values.join(sums, [*by, "__k"]).select(*by, column, rank.alias(name))
+def average_ranks(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
+    """(by, column, name): for each distinct value its rank from 1 within its group, which equal values share as their mean."""
+    return ranked(df, column, by).select(*by, F.col("x").alias(column), (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str], direct: int = DIRECT) -> DataFrame:
-    """(by, n, rho): rank correlation of rows with both; equal values share their mean rank.
-
-    Groups of up to ``direct`` rows are sorted as they are; if one is larger, ``average_ranks`` deals them out.
-    """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= direct:
-        rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-        ranked = rows.select(*by, rank("__x").alias("__rx"), rank("__y").alias("__ry"))
-        return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, n, rho): rank correlation of rows with both; equal values share their mean rank."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     pairs = rows.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__w"))
-    ranked = pairs.join(average_ranks(rows, "__x", by, "__rx"), [*by, "__x"]).join(average_ranks(rows, "__y", by, "__ry"), [*by, "__y"])
-    a, b, w = F.col("__rx"), F.col("__ry"), F.col("__w").cast("double")
-    sums = ranked.groupBy(*by).agg(F.sum("__w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))])
+    ranks = pairs
+    for c in ("__x", "__y"):
+        r = average_ranks(rows, c, by, f"{c}r")
+        right = r.select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(by)], F.col(c).alias("__v"), f"{c}r")
+        ranks = ranks.join(right, [*[F.col(k).eqNullSafe(F.col(f"__b{i}")) for i, k in enumerate(by)], F.col(c) == F.col("__v")]).drop("__v", *[f"__b{i}" for i in range(len(by))])
+    a, b, w = F.col("__xr"), F.col("__yr"), F.col("__w").cast("double")
+    sums = ranks.groupBy(*by).agg(F.sum("__w").alias("n"), *[F.sum(w * v).alias(k) for k, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))])
     n = F.col("n").cast("double")
     cov, va, vb = F.col("ab") - F.col("a") * F.col("b") / n, F.col("aa") - F.col("a") * F.col("a") / n, F.col("bb") - F.col("b") * F.col("b") / n
     return sums.select(*by, "n", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("rho"))
@@ -104,10 +90,11 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], direct: int = DIRECT)
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, slope, intercept, r, share_above, median_x, median_y) of rows with both."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.groupBy(*by).agg(
+    fitted = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(F.col(x), F.col(y)).alias("r"),
-        F.avg((F.col(y) > F.col(x)).cast("double")).alias("share_above"), F.median(x).alias("median_x"), F.median(y).alias("median_y"),
+        F.avg((F.col(y) > F.col(x)).cast("double")).alias("share_above"),
     )
+    return with_medians(fitted, rows, by, {x: "median_x", y: "median_y"})
 
 
 def category_correlation(df: DataFrame, features: dict[str, str], targets: list[str], by: list[str]) -> DataFrame:
@@ -160,12 +147,15 @@ def daily(df: DataFrame, ts: str, value: str, least: int = 20, others: dict[str,
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("sd"), F.stddev_pop(value).alias("sd_pop"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.stddev_pop(value).alias("sd_pop"))
+    return with_medians(out, df, by, {value: "median"})
 
 
 def class_shares(df: DataFrame, cls: str, value: str, by: list[str]) -> DataFrame:
     """(by, n, median, share0, share1, share2) in percent."""
-    return df.where(F.col(cls).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), *[(100.0 * F.avg((F.col(cls) == k).cast("double"))).alias(f"share{k}") for k in range(3)])
+    rows = df.where(F.col(cls).isNotNull())
+    shares = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[(100.0 * F.avg((F.col(cls) == k).cast("double"))).alias(f"share{k}") for k in range(3)])
+    return with_medians(shares, rows, by, {value: "median"})
 
 
 def transitions(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:

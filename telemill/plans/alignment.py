@@ -55,12 +55,10 @@ _CHANNELS = "w AS (SELECT event_type, event_id, min(value) OVER x AS a, max(valu
 
 
 @query(
-    "V12 V13",
+    "V12",
     f"WITH {_CHANNELS}, c AS (SELECT event_type, count_if(n > 0) >= 100 AS counted, count_if(n > 0 AND n <> 1) = 0 AS single, count_if(a IS NOT NULL AND NOT (a = 0 AND b = 0)) >= 100 AS judged, count_if(a IS NOT NULL AND NOT (a = 0 AND b = 0) AND a <> b) = 0 AS flat FROM w GROUP BY 1) SELECT round(count_if(counted AND single) / nullif(count_if(counted), 0)::DOUBLE, 6) AS share_single, round(count_if(judged AND flat) / nullif(count_if(judged), 0)::DOUBLE, 6) AS share_flat, coalesce((count_if(counted) >= 5 AND count_if(counted AND single) / nullif(count_if(counted), 0)::DOUBLE >= 0.9) OR (count_if(judged) >= 5 AND count_if(judged AND flat) / nullif(count_if(judged), 0)::DOUBLE >= 0.9), false) AS carried_forward FROM c",
 )
 def carried_forward_detector(spark, sf_dir):
     e = align.trailing_window(table(spark, sf_dir, "events"), "event_type", "ts", "value", 2 * 3600)
-    kinds = [r[0] for r in e.select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]  # channels: a handful of columns
-    wide = e.select(*[F.when(F.col("event_type") == k, F.col(f"w__{s}")).alias(f"ch{i}__{s}") for i, k in enumerate(kinds) for s in ("count", "min", "max")])
-    out = quality.carried_forward(wide, [f"ch{i}" for i in range(len(kinds))])
+    out = quality.carried_forward(e, "event_type", "w")
     return out.select(F.round("share_single", 6).alias("share_single"), F.round("share_flat", 6).alias("share_flat"), "carried_forward")

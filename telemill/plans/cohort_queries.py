@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import times
 from telemill.operators import cohorts, splits, stats
+from telemill.operators.quantiles import with_medians
 
 from .catalog import query, table
 
@@ -45,14 +46,20 @@ def selection_funnel(spark, sf_dir):
 )
 def coverage_by_group_month_rollup(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("device"), times.month(F.col("l_shipdate")).alias("month"), "l_orderkey", "l_returnflag", "l_quantity")
-    g = li.groupingSets([["device", "month"], ["device"]], "device", "month").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey").alias("jobs"), F.round(100.0 * F.avg((F.col("l_returnflag") != "N").cast("double")), 1).alias("sensor_share"), F.median("l_quantity").alias("median_age")
-    )
-    return g.withColumn("month", F.coalesce("month", F.lit("all")))
+    # Jobs by month first: what is left for the totals is a few numbers a job or a month.
+    jobs = li.groupBy("device", "month", "l_orderkey").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("l_returnflag") != "N").alias("flagged"))
+    months = jobs.groupBy("device", "month").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("jobs"), F.sum("flagged").alias("flagged"))
+    totals = months.groupBy("device").agg(F.sum("rows").alias("rows"), F.sum("flagged").alias("flagged"))
+    distinct = jobs.groupBy("device", "l_orderkey").agg(F.lit(1).alias("one")).groupBy("device").agg(F.count(F.lit(1)).alias("jobs"))
+    months = with_medians(months, li, ["device", "month"], {"l_quantity": "median_age"})
+    totals = with_medians(totals.join(distinct, "device"), li, ["device"], {"l_quantity": "median_age"})
+    share = F.round(100.0 * F.col("flagged") / F.col("rows"), 1).alias("sensor_share")
+    columns = ["device", "month", "rows", "jobs", share, "median_age"]
+    return months.select(*columns).unionByName(totals.withColumn("month", F.lit("all")).select(*columns))
 
 
 @query(
-    "A9 A10 A11 U5 S26",
+    "A9 A10 A11 U5",
     "WITH w AS (SELECT strftime(ts, '%Y-%m') AS month, avg((event_type = 'click')::INT) AS a, avg((value IS NOT NULL)::INT) AS b, avg((value > 50)::INT) AS c FROM events GROUP BY 1) SELECT month, 'click' AS channel, round(a, 6) AS share FROM w UNION ALL SELECT month, 'value', round(b, 6) FROM w UNION ALL SELECT month, 'high', round(c, 6) FROM w",
 )
 def channel_month_presence(spark, sf_dir):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from telemill.operators import circuits, graphs, models, splits
+from telemill.sources.scratch import scratch
 from telemill.streaming import windows
 
 from .catalog import query, table
@@ -96,9 +95,12 @@ def leave_one_device_out(spark, sf_dir):
     return spark.createDataFrame(rows, "test_device string, r2 double, mae double, rmse double, n_train long, n_test long, n_features long")
 
 
-@query("J15", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS largest FROM events GROUP BY ALL")
+_DAYS = "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS largest FROM events GROUP BY 1, 2"
+
+
+@query("J15", f"SELECT * FROM ({_DAYS}) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def streaming_tumbling_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     events = windows.file_stream(spark, sf_dir, "events.parquet", schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    out = windows.drain(windows.tumbling(events, "ts", "event_type", "value", "1 day"), f"tumbling_{uuid.uuid4().hex}")
+    out = windows.drain(windows.tumbling(events, "ts", "event_type", "value", "1 day"), scratch(spark, "tumbling"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "largest")

@@ -28,11 +28,13 @@ def windows_before(anchors: DataFrame, readings: DataFrame, on: str, anchor_ts:
     return a.join(r, (F.col(f"a.{on}") == F.col(f"r.{on}")) & near, "left_outer")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its result as a table (for tests and small results)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
+def drain(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there into Parquet files, and read these.
+
+    Append mode: a window is written once, when the watermark has passed its end, and its state is dropped.  So windows
+    that end after the latest reading less the allowed lateness aren't there yet; they follow with later data.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    q = writer.option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,8 +61,11 @@ def test_contract_rows(spark):
 
 
 def test_carried_forward(spark):
-    df = spark.range(200).select(*[c for k in range(5) for c in (F.lit(1).alias(f"c{k}__count"), F.col("id").alias(f"c{k}__min"), F.col("id").alias(f"c{k}__max"))])
-    assert quality.carried_forward(df, [f"c{k}" for k in range(5)]).first().carried_forward is True
+    df = spark.range(1000).select((F.col("id") % 5).alias("channel"), F.lit(1).alias("w__count"), F.col("id").alias("w__min"), F.col("id").alias("w__max"))
+    assert quality.carried_forward(df, "channel", "w").first().carried_forward is True
+    windows_ = df.withColumns({"w__count": F.lit(3), "w__max": F.col("w__min") + 1})
+    assert quality.carried_forward(windows_, "channel", "w").first().carried_forward is False
+    assert quality.carried_forward(df.where("false"), "channel", "w").first().carried_forward is False
 
 
 def test_column_rules():
@@ -235,22 +239,42 @@ def test_streaming_interval_join(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     r = s.select("k", F.col("ts").alias("rts"), F.col("id").alias("rid"))
     joined = windows.windows_before(s.select("id", "k", "ts"), r, "k", "ts", "rts", 120).select("id", "rid")
-    out = windows.drain(joined, "interval_join", "append", str(tmp_path / "cp"))
+    out = windows.drain(joined, str(tmp_path / "out"))
     expected = {(a, b) for a in range(20) for b in range(20) if a % 2 == b % 2 and 0 <= (a - b) * 60 <= 120}
     assert {tuple(x) for x in out.where("rid is not null").collect()} == expected
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
-def test_quantiles_by_passes_equal_direct_ones(spark, n):
-    from telemill.operators.quantiles import exact_quantiles
+def test_quantiles_equal_sorted_values(spark, n):
+    from telemill.operators.quantiles import exact_quantiles, group_quantiles
 
-    df = spark.range(n).select(F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 101) / 7.0).otherwise(F.lit(1e6)).alias("x")).unionByName(spark.range(1).select(F.lit(None).cast("double").alias("x")))
+    values = spark.range(n).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 101) / 7.0).otherwise(F.lit(1e6)).alias("x"))
+    df = values.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("g"), F.lit(None).cast("double").alias("x")))
     points = [0.0, 0.1, 0.25, 0.5, 0.8, 0.99, 1.0]
-    assert exact_quantiles(df, "x", points, direct=0) == pytest.approx(exact_quantiles(df, "x", points))
+    plain = np.array([r.x for r in values.collect()])
+    assert exact_quantiles(df, "x", points) == pytest.approx(np.quantile(plain, points).tolist())
     assert exact_quantiles(df.where("false"), "x", [0.5]) == [None]
+    got = {r.g: r.quantiles for r in group_quantiles(df, "x", points, ["g"]).collect()}
+    groups = {}
+    for r in values.collect():
+        groups.setdefault(r.g, []).append(r.x)
+    assert set(got) == set(groups) and all(got[g] == pytest.approx(np.quantile(v, points).tolist()) for g, v in groups.items())
 
 
-def test_dealt_ranks_equal_direct_ones(spark):
+def test_quantiles_of_one_large_skewed_group(spark):
+    from telemill.operators.quantiles import group_quantiles
+
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.exp(F.col("id") % 2003 / 40.0)).alias("x"), F.lit(None).cast("string").alias("g"))
+    plain = np.array([r.x for r in df.select("x").collect()])
+    (r,) = group_quantiles(df, "x", [0.1, 0.5, 0.999], ["g"]).collect()
+    assert r.g is None and r.quantiles == pytest.approx(np.quantile(plain, [0.1, 0.5, 0.999]).tolist())
+
+
+def test_rank_correlation_equals_plain_ranks(spark):
+    import pandas as pd
+
     df = spark.range(400).select((F.col("id") % 3).alias("g"), (F.col("id") * 17 % 41).cast("double").alias("x"), (F.col("id") * F.col("id") % 59).cast("double").alias("y"))
-    a, b = (rows(stats.spearman(df, "x", "y", ["g"], direct), "g") for direct in (0, 10**6))
-    assert [r[:2] for r in a] == [r[:2] for r in b] and [r[2] for r in a] == pytest.approx([r[2] for r in b])
+    frame = pd.DataFrame([r.asDict() for r in df.collect()])
+    want = {g: (len(f), f.x.rank().corr(f.y.rank())) for g, f in frame.groupby("g")}
+    got = {r.g: (r.n, r.rho) for r in stats.spearman(df, "x", "y", ["g"]).collect()}
+    assert set(got) == set(want) and all(got[g][0] == want[g][0] and got[g][1] == pytest.approx(want[g][1]) for g in want)
