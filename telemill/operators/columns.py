@@ -67,6 +67,7 @@ def drops(columns: list[str], unwanted: list[str], extra: list[str] = (), keep:
     return present, [c for c in wanted if c not in set(columns)], [c for c in dict.fromkeys(columns) if c not in set(present)]
 
 
+#: Groups of the published columns, by name.
 GROUPS = (
     ("identifier", r"^(job_id|circuit_id|device)$"),
     ("time", r"_hour_utc$|^timestamp_"),
