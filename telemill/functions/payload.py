@@ -48,7 +48,7 @@ def detect_format(text: Column) -> Column:
 
 def clean_includes(text: Column) -> Column:
     """A program without include lines, with one header line."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?im)^\s*include\s+\"[^\"]*\"\s*;\s*\n?", ""), r"(?im)^\s*OPENQASM\s+[\d.]+\s*;\s*\n?", "")
+    body = F.regexp_replace(F.regexp_replace(text, r"(?im)^[ \t]*include\s+\"[^\"]*\"\s*;[ \t]*\r?\n?", ""), r"(?im)^[ \t]*OPENQASM\s+[\d.]+\s*;[ \t]*\r?\n?", "")
     return F.concat(F.when(source_syntax(text) == "qasm3", "OPENQASM 3.0;\n").otherwise("OPENQASM 2.0;\n"), body)
 
 

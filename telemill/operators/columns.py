@@ -103,6 +103,23 @@ def calibration_name(path: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "_")
 
 
+def release_name(column: str, published: bool, names: dict[str, str] | None = None) -> str:
+    """The name under which a column is published: its own in a published data set, else that of the mapping."""
+    return column if published else (names or {}).get(column, column)
+
+
+def drop_set(columns: list[str], results: list[str], programs: list[str], extra: list[str] = (), protected: list[str] = (), keep: list[str] = ()) -> list[str]:
+    """Result, program and extra columns that are there, less protected and kept ones, in the order of the columns."""
+    unwanted = {*results, *programs, *extra} - {*protected, *keep}
+    return [c for c in columns if c in unwanted]
+
+
+def device_features(columns: list[str], device: str, base: tuple[str, ...] = TIER3, prefixes: dict[str, tuple[str, ...]] = DEVICE_PREFIXES) -> list[str]:
+    """Program columns that are there, then the device's own sensor and calibration columns."""
+    sensors, calibration = device_columns(columns, device, prefixes)
+    return [*[c for c in base if c in columns], *sensors, *calibration]
+
+
 def device_columns(columns: list[str], device: str, prefixes: dict[str, tuple[str, ...]] = DEVICE_PREFIXES) -> tuple[list[str], list[str]]:
     """(sensor, calibration) columns of a device, by prefix."""
     own = [c for c in columns if c.startswith(prefixes[device])]

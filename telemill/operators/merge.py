@@ -80,3 +80,9 @@ def first_success(candidates: list[tuple[str, Column]]) -> tuple[Column, Column,
     value = F.coalesce(*[c for _, c in candidates])
     name = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in candidates])
     return value, name, F.coalesce(name != candidates[0][0], F.lit(False))
+
+
+def attempts(candidates: list[tuple[str, Column]]) -> Column:
+    """How many candidates were tried: up to the first that isn't null, or all."""
+    first = F.coalesce(*[F.when(c.isNotNull(), k) for k, (_, c) in enumerate(candidates, 1)], F.lit(len(candidates)))
+    return first.cast("long")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.distributions import distance_class
 from telemill.functions.nulls import number
 
-from .columns import check_no_metadata
+from .columns import check_no_metadata, common_columns, sensor_category
 from .quality import covered_columns
-from .stats import regression_scores
+from .stats import modal_value, regression_scores
 
 
 @dataclass
@@ -97,6 +97,95 @@ def repeated(df: DataFrame, split, seeds, tiers: dict[str, list[str]], target: s
     return [r | {"split_seed": s} for s in seeds for r in ablation(split(df, s), tiers, target, baseline, **settings)]
 
 
+def cross_validated(df: DataFrame, fold: str, folds: int, features: list[str], target: str, kind: str = "gbt", **settings) -> list[dict]:
+    """Scores on each fold (0 to folds - 1) of models of the other ones; give it training rows only."""
+    out = []
+    for k in range(folds):
+        _, m = fit_and_score(df.where(F.col(fold) != k), df.where(F.col(fold) == k), features, target, kind, **settings)
+        out.append({"fold": k, **m.rounded()})
+    return out
+
+
+def window_ablation(windows: dict[int, DataFrame], base: list[str], target: str, kind: str = "gbt", **settings) -> list[dict]:
+    """Scores of the features that all window lengths have, for each length, and their gain over the base tier.
+
+    The base tier doesn't depend on the windows, so it is fitted once, on the first length's split (column is_test).
+    """
+    common = [c for c in common_columns([d.columns for d in windows.values()]) if c not in (*base, target, "is_test")]
+    numbers = [c for c in common if dict(next(iter(windows.values())).dtypes)[c] in ("double", "float")]
+    out, floor = [], None
+    for length, df in windows.items():
+        train, test = df.where(~F.col("is_test")), df.where("is_test")
+        if floor is None:
+            floor = fit_and_score(train, test, base, target, kind, **settings)[1].rounded()["r2"]
+        m = fit_and_score(train, test, [*base, *numbers], target, kind, **settings)[1].rounded()
+        out.append({"window": length, **m, "delta_r2": None if m["r2"] is None or floor is None else round(m["r2"] - floor, 4)})
+    return out
+
+
+def robust_in_largest(df: DataFrame, bucket: str, features: list[str], target: str, kind: str = "gbt", least: float = 0.85, **settings) -> dict:
+    """Scores within the rows of the most frequent bucket (the smallest of equals), and whether R2 holds there."""
+    (row,) = modal_value(df, bucket).collect()
+    rows = df.where(F.col(bucket) == row[0])
+    _, m = fit_and_score(rows.where(~F.col("is_test")), rows.where("is_test"), features, target, kind, **settings)
+    return {"bucket": row[0], "rows": row["n"], **m.rounded(), "robust": m.r2 is not None and m.r2 >= least}
+
+
+def class_shift(df: DataFrame, lower: list[str], higher: list[str], target: str, kind: str = "gbt", **settings) -> DataFrame:
+    """Test rows with the distance classes (target_class, lower_class, higher_class) that two tiers predict."""
+    train, test = df.where(~F.col("is_test")), df.where("is_test")
+    out = test
+    for name, features in (("lower", lower), ("higher", higher)):
+        model, m = fit_and_score(train, test, features, target, kind, **settings)
+        out = predicted(model, train, out, features, f"{name}_class")
+        out = out.withColumn(f"{name}_class", distance_class(F.col(f"{name}_class")))
+    return out.withColumn("target_class", distance_class(F.col(target)))
+
+
+def predicted(model, train: DataFrame, df: DataFrame, features: list[str], name: str) -> DataFrame:
+    """``df`` with a model's prediction; missing features are filled as in training."""
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = filled(df.withColumns({f"__was_{c}": F.col(c) for c in features}), features, medians(train, features))
+    assembled = VectorAssembler(inputCols=[*features, *[f"{c}__missing" for c in features]], outputCol="__x").transform(ready)
+    scored = model.transform(assembled).withColumn(name, F.col("__p"))
+    return scored.select(*[F.col(f"__was_{c}").alias(c) if c in features else F.col(c) for c in df.columns], name)
+
+
+def shuffled(df: DataFrame, key: str, columns: list[str], seed: int, buckets: int = 256) -> DataFrame:
+    """Adds <column>__shuffled: values of another row, one to one.
+
+    Rows stand in the order of a hash within one of 256 hash buckets, and each takes the next one's values, the last
+    the first one's; so no task sorts all rows.
+    """
+    h = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
+    rows = df.withColumns({"__h": h, "__b": F.substring(h, 1, 2)})
+    w = Window.partitionBy("__b").orderBy(F.substring("__h", 3, 62), key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The value inside a struct, so that a missing one is handed on as missing.
+    new = {f"{c}__shuffled": F.coalesce(F.lead(F.struct(c)).over(w), F.first(F.struct(c)).over(whole))[c] for c in columns}
+    return rows.withColumns(new).drop("__h", "__b")
+
+
+def permutation_importance(model, train: DataFrame, test: DataFrame, key: str, features: list[str], target: str, seed: int = 42, by: list[str] = ()) -> DataFrame:
+    """(by, feature, category, importance, rank): how much the mean absolute error grows with a feature's values shuffled."""
+    mixed = shuffled(test.where(F.col(target).isNotNull()), key, features, seed)
+    scored = predicted(model, train, mixed, features, "__base")
+    error = lambda c: F.abs(F.col(target) - F.col(c))
+    for f in features:
+        turned = scored.withColumns({f"__keep_{f}": F.col(f), f: F.col(f"{f}__shuffled")})
+        scored = predicted(model, train, turned, features, f"__with_{f}").withColumn(f, F.col(f"__keep_{f}")).drop(f"__keep_{f}")
+    wide = scored.groupBy(*by).agg(*[(F.avg(error(f"__with_{f}")) - F.avg(error("__base"))).alias(f"i{k}") for k, f in enumerate(features)])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"i{k}").alias("importance")) for k, f in enumerate(features)])
+    long = wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.feature", sensor_category(F.col("r.feature")).alias("category"), "r.importance")
+    return long.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "feature")))
+
+
+def with_device_columns(df: DataFrame, device: str, names: list[str]) -> DataFrame:
+    """A column of 0 and 1 for each device, by which a linear model tells devices apart."""
+    return df.withColumns({f"is_{k}": F.coalesce((F.col(device) == n).cast("double"), F.lit(0.0)) for k, n in enumerate(names)})
+
+
 def importance(model, features: list[str]) -> list[tuple[str, float]]:
     """(feature, share of the gain) of tree models, largest first."""
     weights = model.featureImportances.toArray()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from telemill.functions.nulls import ROW_TOKENS, SUCCESS_TOKENS, is_blank, is_true, text_of, unparsable
 from telemill.sources.io import quoted
 
-from .columns import CHANNEL
+from .columns import CHANNEL, DEVICE_PREFIXES
 
 AT_ONCE = 100
 
@@ -240,14 +240,50 @@ def check_bundle(files: set[str], required: set[str], optional: set[str] = froze
     return [f"missing {f}" for f in sorted(required - files)] + [f"unexpected {f}" for f in sorted(files - required - optional)]
 
 
-def check_portal_record(record: dict) -> list[str]:
-    """What a portal record lacks: title, license, and texts that still have to be filled in."""
+def check_portal_record(record: dict, title: str | None = None, license: str | None = None) -> tuple[list[str], list[str]]:
+    """(failures, warnings) of a portal record: its title and license, and texts that still have to be filled in."""
     out = [f"no {k}" for k in ("title", "license") if not record.get(k)]
-    return out + [f"fill in {k}" for k, v in sorted(record.items()) if isinstance(v, str) and "FILL-IN" in v]
+    out += [f"another {k}" for k, v in (("title", title), ("license", license)) if v and record.get(k) and str(record[k]).lower() != v.lower()]
+    return out, [f"fill in {k}" for k, v in sorted(record.items()) if isinstance(v, str) and "FILL-IN" in v]
 
 
-def check_dictionary(columns: list[str], described: list[str]) -> list[str]:
-    return [f"not described: {c}" for c in columns if c not in described] + [f"described but absent: {c}" for c in described if c not in columns] + (["order differs"] if set(columns) == set(described) and columns != described else [])
+def check_dictionary(columns: list[str], described: list[dict], internal: str | None = None) -> list[str]:
+    """What is wrong with a data dictionary: rows of column, description, source, group and device_scope."""
+    names = [r["column"] for r in described]
+    out = [f"not described: {c}" for c in columns if c not in names] + [f"described but absent: {c}" for c in names if c not in columns]
+    out += ["order differs"] if set(columns) == set(names) and columns != names else []
+    for field in ("description", "source", "group", "device_scope"):
+        out += [f"no {field}: {r['column']}" for r in described if not str(r.get(field) or "").strip()]
+    out += [f"unresolved source: {r['column']}" for r in described if re.search(r"[?]|unknown", str(r.get("source") or ""))]
+    return out + [f"internal document: {r['column']}" for r in described if internal and re.search(internal, str(r.get("description") or ""))]
+
+
+def check_stated_counts(stated: dict[str, dict[str, object]], found: dict[str, object]) -> list[str]:
+    """What documents (a manifest, file metadata, a README) say of counts against what was found."""
+    return [f"{where}: {what} is {v}, not {found[what]}" for where, facts in stated.items() for what, v in facts.items() if what in found and str(v).replace(",", "") != str(found[what])]
+
+
+def validate_release(df: DataFrame, found: dict[str, list[str]], device: str = "device", job: str = "job_id", key: str = "circuit_id", time: list[Column] = (), domain: dict[str, Column] | None = None) -> DataFrame:
+    """(check, violations, ok) of a data set to be published.
+
+    ``found`` has what checks of names and documents found, by the check's name; the others are read off the data.
+    """
+    spark = df.sparkSession
+    sensors = {c: d for c in df.columns for d, prefixes in DEVICE_PREFIXES.items() if c.startswith(prefixes)}
+    names = {**found, "channels complete": incomplete_channels(df.columns), "published names": [c for c in sensors if not re.fullmatch(r"(sc|ion)_\w+", c)], "completion anchor": [] if has_anchor(df.columns) else ["none"]}
+    extremes = {c for c in df.columns if (m := CHANNEL.match(c)) and m["statistic"] in ("min", "max", "sd")}
+    facts = column_facts(df, df.columns)
+    names["no empty columns"] = [c for c, f in facts.items() if not f["count"]]
+    names["no single-valued columns"] = [c for c, f in facts.items() if f["count"] and f["min"] == f["max"] and c != "status" and c not in extremes]
+    driver = spark.createDataFrame([(n, len(v), not v) for n, v in names.items()], "check string, violations long, ok boolean")
+    checks = channel_checks(df.columns) | device_scope(sensors, device) | (domain or {})
+    if time:
+        checks["times in order"] = in_order(*time)
+    zeros = zero_filled(df, list(sensors)).where("suspect").agg(F.count(F.lit(1)).alias("n"))
+    enough = max(3, len(sensors) // 10)
+    zeros = zeros.select(F.lit("not filled with zeros").alias("check"), F.when(F.col("n") >= enough, F.col("n")).otherwise(0).alias("violations"), (F.col("n") < enough).alias("ok"))
+    jobs = df.where(F.col(job).isNull()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{job} there").alias("check"), F.col("n").alias("violations"), (F.col("n") == 0).alias("ok"))
+    return reduce(DataFrame.unionByName, [driver, contract(df, checks), unique(df, key), zeros, jobs])
 
 
 def check_rows_kept(before: int, after: int) -> None:

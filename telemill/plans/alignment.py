@@ -21,7 +21,7 @@ def window_5h_sensor_agg(spark, sf_dir):
 
 
 @query(
-    "W8 M17",
+    "W8",
     "SELECT event_id, round(avg(value) OVER w, 6) AS mean, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW)",
 )
 def trailing_window_2h(spark, sf_dir):

@@ -25,8 +25,19 @@ def query(covers: str, oracle: str | None = None):
     return register
 
 
+#: Queries that fit models, which a fast run leaves out.
+NEEDS_MODEL = {"gbt_tier_ablation", "leave_one_device_out", "feature_importance", "cross_validation", "repeated_splits", "restricted_robustness", "window_ablation", "class_shift_of_tiers", "permutation_importance", "tier1_models"}
+
+
+def chosen(only: list[str] = (), fast: bool = False) -> list[str]:
+    """Names of the queries to run, in order; an unknown name is an error."""
+    if unknown := [n for n in only if n not in QUERIES]:
+        raise ValueError(f"no query {', '.join(unknown)}")
+    return [n for n in QUERIES if (not only or n in only) and not (fast and n in NEEDS_MODEL)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import alignment, cohort_queries, distribution_queries, payload_queries, program_queries, source_queries, statistics_queries, table_queries  # noqa: E402, F401
+from . import alignment, cohort_queries, distribution_queries, model_queries, payload_queries, program_queries, record_queries, source_queries, statistics_queries, table_queries  # noqa: E402, F401

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemill.functions import payload
+from telemill.functions import distributions, payload
+from telemill.functions.nulls import PAYLOAD_TOKENS, is_blank
+from telemill.operators import merge
 from telemill.sources import blobs
 
 from .catalog import query, table
@@ -33,22 +35,93 @@ def batch_mismatch_flag(spark, sf_dir):
     return out.where("batch_index = 0").select("conv_id", F.col("batch_mismatch").alias("mismatch"), F.col("batch_size").cast("long").alias("batch_size"))
 
 
+#: A cell of each format, and its name.
+_CELLS = (
+    ("   ", "empty"), ('["a", "b"]', "json_list"), ("['a', 'b']", "py_list"), ("[a; b]", "bracketed_unknown"), ('{"qasm": "x"}', "json_dict"), ("{'qasm': 'x'}", "py_dict"), ("{qasm}", "braced_unknown"),
+    ("gASVBAAAAAAAAA", "b64_pickle_like"), ("OPENQASM 3.0; qubit q;", "qasm3_direct"), ("OPENQASM 2.0; qreg q[1];", "qasm2_direct"), ("qubit[2] q;", "qasm3_like"), ("qreg q[2];", "qasm2_like"), ("plain words", "other_string"),
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @query(
     "Q1 Q2 B10 F19",
-    "WITH t AS (SELECT 'd' AS kind, doc_id AS id, text AS x FROM documents UNION ALL SELECT 'p', page_id, html FROM pages UNION ALL SELECT 'e', event_id, props FROM events) SELECT kind, CASE WHEN trim(x) = '' THEN 'empty' WHEN kind = 'e' THEN 'json_dict' ELSE 'other_string' END AS format, count(*) AS n FROM t GROUP BY ALL",
+    "SELECT c.format, count(*) AS n FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{name}')" for k, (_, name) in enumerate(_CELLS)) + ") AS c(k, format) ON doc_id % 13 = k GROUP BY 1 UNION ALL SELECT 'json_dict of events', count(*) FROM events",
 )
 def format_detect(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("x")) for k, t, c in (("d", "documents", "text"), ("p", "pages", "html"), ("e", "events", "props"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select("kind", payload.detect_format(F.col("x")).alias("format")).groupBy("kind", "format").agg(F.count(F.lit(1)).alias("n"))
+    """A cell of each of the 13 formats for each document, and the events' own."""
+    text = F.get(F.array(*[F.lit(t) for t, _ in _CELLS]), (F.col("doc_id") % 13).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(payload.detect_format(text).alias("format"))
+    events = table(spark, sf_dir, "events").select(F.concat(payload.detect_format(F.col("props")), F.lit(" of events")).alias("format"))
+    return docs.unionByName(events).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A message of each category; then one that isn't known and one that is empty.
+_MESSAGES = (
+    ("empty circuit text", "empty_text"), ("list payload found", "unexpected_list_payload"), ("batch mismatch in row", "row_batch_mismatch"), ("parse error: qasm2: bad token", "qasm2_parse_error"), ("parse error: qasm3: bad token", "qasm3_parse_error"),
+    ("cannot parse", "parse_error"), ("dag could not be built", "dag_build_error"), ("something else", "other_error"), ("", None),
+)
 
 
-@query("Q26 B3", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'empty_text' WHEN doc_id % 4 = 1 THEN 'qasm2_parse_error' WHEN doc_id % 4 = 2 THEN 'parse_error' END AS category, source AS program FROM documents")
+@query(
+    "Q26",
+    "SELECT doc_id, m.category, CASE WHEN length(m.message || repeat('.', (n_chars % 400)::INT)) > 240 THEN substr(m.message || repeat('.', (n_chars % 400)::INT), 1, 237) || '...' ELSE m.message || repeat('.', (n_chars % 400)::INT) END AS message FROM documents JOIN (VALUES "
+    + ", ".join(f"({k}, {_quoted(t)}, {_quoted(c) if c else 'NULL'})" for k, (t, c) in enumerate(_MESSAGES))
+    + ") AS m(k, message, category) ON doc_id % 9 = k",
+)
 def error_categories(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    message = F.when(k == 0, "text is empty").when(k == 1, "QASM2: bad token").when(k == 2, "cannot parse")
-    wrapped = F.to_json(F.struct(F.col("source").alias("program")))
-    return table(spark, sf_dir, "documents").select("doc_id", payload.error_category(message).alias("category"), payload.wrapped_program(wrapped).alias("program"))
+    """Messages of every category, some of them too long to be kept whole."""
+    message = F.get(F.array(*[F.lit(t) for t, _ in _MESSAGES]), (F.col("doc_id") % 9).cast("int"))
+    long = F.concat(message, F.repeat(F.lit("."), (F.col("n_chars") % 400).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", payload.error_category(message).alias("category"), payload.shorten(long).alias("message"))
+
+
+_KEYS = ", ".join(_quoted(k) for k in payload.PROGRAM_KEYS)
+
+
+@query(
+    "B3 B4 H8",
+    f"SELECT doc_id, source AS program, '{{\"00\":' || (doc_id % 7 + 1) || '}}' AS counts, ([{_KEYS}])[(doc_id % 14 + 1)::INT] AS key FROM documents",
+)
+def wrapped_payloads(spark, sf_dir):
+    """Programs under each of the 14 keys, a worse key beside them, some encoded twice; counts as the only item of a list."""
+    keys = F.array(*[F.lit(k) for k in payload.PROGRAM_KEYS])
+    at = (F.col("doc_id") % 14).cast("int")
+    later = F.coalesce(F.get(keys, at + 1), F.lit("none"))
+    wrapped = F.to_json(F.map_from_arrays(F.array(later, F.get(keys, at)), F.array(F.lit("worse"), F.col("source"))))
+    twice = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), F.replace(wrapped, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(wrapped)
+    counts = F.format_string('[{"0 0": %d, "00": "1.0"}]', F.col("doc_id") % 7)
+    return table(spark, sf_dir, "documents").select("doc_id", payload.wrapped_program(twice).alias("program"), distributions.counts_json(distributions.counts(counts)).alias("counts"), F.get(keys, at).alias("key"))
+
+
+@query(
+    "Q5",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'OPENQASM 2.0;' || chr(10) || 'qreg q[' || (doc_id % 5 + 1) || '];' ELSE 'OPENQASM 3.0;' || chr(10) || 'qubit[' || (doc_id % 5 + 1) || '] q;' END AS program FROM documents",
+)
+def includes_for_retry(spark, sf_dir):
+    """One header line and no includes, whatever stood there."""
+    n = (F.col("doc_id") % 5 + 1).cast("string")
+    two = F.concat(F.when(F.col("doc_id") % 4 == 0, "OPENQASM 2.0;\n").otherwise(""), F.lit('include "qelib1.inc";\n  include "stdgates.inc";\n'), F.lit("qreg q["), n, F.lit("];"))
+    three = F.concat(F.lit('OPENQASM 3;\ninclude "stdgates.inc";\nqubit['), n, F.lit("] q;"))
+    return table(spark, sf_dir, "documents").select("doc_id", payload.clean_includes(F.when(F.col("doc_id") % 2 == 0, two).otherwise(three)).alias("program"))
+
+
+@query(
+    "B11 H2 Q27 Q29",
+    "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS aligned, CASE WHEN doc_id % 2 = 0 THEN 'best' WHEN doc_id % 7 <> 0 THEN 'norm' END AS source_col, coalesce(doc_id % 2 <> 0 AND doc_id % 7 <> 0, false) AS used_fallback, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS attempts, CASE WHEN doc_id % 2 <> 0 AND doc_id % 7 = 0 THEN 'empty_text' END AS error_category FROM documents",
+)
+def row_alignment(spark, sf_dir):
+    """Whether a row's payloads belong together; which candidate text is used, after how many attempts, and what fails."""
+    k = F.col("doc_id")
+    kinds = [F.when(k % 4 == 0, "list").otherwise("single"), F.lit("single")]
+    results = [F.lit(None).cast("map<string,bigint>"), distributions.counts(F.when(k % 5 == 0, " NaN ").otherwise('{"0": 1}'))]
+    texts = [("best", F.when(k % 2 == 0, "x").otherwise(" nan ")), ("norm", F.when(k % 7 != 0, "y").otherwise("  "))]
+    usable = [(n, F.when(~is_blank(c, PAYLOAD_TOKENS), c)) for n, c in texts]
+    value, source, fallback = merge.first_success(usable)
+    error = payload.error_category(F.when(value.isNull(), "empty text"))
+    return table(spark, sf_dir, "documents").select("doc_id", payload.aligned_row(k % 3 == 0, kinds, results).alias("aligned"), source.alias("source_col"), fallback.alias("used_fallback"), merge.attempts(usable).alias("attempts"), error.alias("error_category"))
 
 
 @query(

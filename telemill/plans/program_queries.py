@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from telemill.operators import circuits, graphs, models, splits
+from telemill.operators import circuits, graphs, merge, models, splits
 from telemill.sources.scratch import scratch
 from telemill.streaming import windows
 
@@ -55,11 +55,33 @@ def circuit_features(spark, sf_dir):
     return out.select("conv_id", "turn", "logical.parse_ok", *[f"logical.{c}" for c in ("n_qubits", "size", "n_1q_gates", "n_2q_gates", "n_measure", "component_count", "depth")], F.round("logical.twoq_ratio", 6).alias("twoq_ratio"))
 
 
-@query("Q20 Q12 Q9 Q14")
+_GATES = "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations), c AS (SELECT conv_id, turn, count(*) AS n, count_if(length(w) % 3 = 0) AS h, count_if(length(w) % 3 = 1) AS x, count_if(length(w) % 3 = 2) AS z FROM w GROUP BY ALL)"
+
+
+@query(
+    "Q20 Q22",
+    f"{_GATES} SELECT conv_id, turn, (greatest(h + 2 * x, z) - greatest(h + x, z))::DOUBLE AS delta_depth, x::DOUBLE AS delta_size, 0::DOUBLE AS delta_n_1q_gates, x::DOUBLE AS delta_n_2q_gates, 0::DOUBLE AS delta_n_measure, 0::DOUBLE AS delta_n_qubits, x::DOUBLE AS delta_swap_count, round((greatest(h + 2 * x, z) + 1) / (greatest(h + x, z) + 1)::DOUBLE, 6) AS ratio_depth, round((n + x + 4) / (n + 4)::DOUBLE, 6) AS ratio_gate_overhead, CASE WHEN x > 0 THEN 2.0::DOUBLE END AS ratio_twoq_overhead, NULL::DOUBLE AS ratio_swap_overhead FROM c",
+)
 def circuit_comparison(spark, sf_dir):
-    both = _programs(spark, sf_dir).withColumn("native_program", F.replace("program", F.lit("cx q[0],q[1]; "), F.lit("h q[1]; cz q[0],q[1]; h q[1]; ")))
+    """Each two-qubit gate of a program is followed by a swap on the other side."""
+    both = _programs(spark, sf_dir).withColumn("native_program", F.replace("program", F.lit("cx q[0],q[1]; "), F.lit("cx q[0],q[1]; swap q[0],q[1]; ")))
     out = circuits.with_structure(circuits.with_structure(both, "program", "logical"), "native_program", "native")
-    return out.select("conv_id", "turn", *[c.alias(n) for n, c in circuits.comparison().items()])
+    return out.select("conv_id", "turn", *[(F.round(c, 6) if n.startswith("ratio") else c).alias(n) for n, c in circuits.comparison().items()])
+
+
+@query(
+    "Q9 Q10 Q12 Q13 Q14",
+    "WITH s AS (SELECT s_suppkey, (s_suppkey % 5 * 100)::INT AS shots, lpad(bin(s_suppkey % 32), 5, '0') AS bits FROM supplier) SELECT s_suppkey, CASE WHEN shots > 0 THEN '{\"' || bits || '\": ' || shots || '}' END AS ideal_result_logical, CASE WHEN shots > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS logical_sim_status, CASE WHEN shots = 0 THEN 'ProgramError: shots must be positive' END AS logical_sim_error FROM s",
+)
+def simulate_certain_programs(spark, sf_dir):
+    """Programs with one possible outcome, the key's last five bits; no shots fail."""
+    k = F.col("s_suppkey")
+    gates = [F.when(F.shiftright(k, i).bitwiseAND(F.lit(1)) == 1, f"x q[{i}]; ").otherwise(f"cx q[{i}],q[{(i + 1) % 5}]; " if i == 4 else "") for i in range(5)]
+    program = F.concat(F.lit("OPENQASM 2.0; qreg q[5]; creg c[5]; "), *gates, F.lit("measure q -> c;"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(None).cast("string").alias("best"), program.alias("program"), (k % 5 * 100).alias("shots"))
+    text, _, _ = merge.first_success([("best", F.col("best")), ("program", F.col("program"))])
+    out = circuits.with_ideal(rows.withColumn("text", text), "text", "shots", "s_suppkey", "logical")
+    return out.select("s_suppkey", "ideal_result_logical", "logical_sim_status", "logical_sim_error")
 
 
 @query("Q10 Q11 Q12 Q13")
@@ -79,7 +101,7 @@ def simulate_wide_programs(spark, sf_dir):
     return circuits.with_ideal(rows, "program", "shots", "n_nationkey", "native").drop("program")
 
 
-@query("M5 M6 M8 M9 M10 M11 M12 M19 F16")
+@query("M6 M9 M11 M12 F16")
 def gbt_tier_ablation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 110_000).alias("target"))
     li = splits.group_holdout(li.withColumn("l_orderkey", F.col("l_orderkey")), "l_orderkey", 42)

@@ -83,7 +83,7 @@ def class_transition(spark, sf_dir):
     return out.select("device", "from", *[F.round(c, 6).alias(c) for c in ("to0", "to1", "to2")])
 
 
-@query("D18 M22", f"WITH {_CLASSES} SELECT device, count(*) AS n, round(100 * avg((a <> b)::INT), 6) AS changed, round(100 * avg((b < a)::INT), 6) AS improved, round(100 * avg((b > a)::INT), 6) AS worsened FROM c GROUP BY 1")
+@query("D18", f"WITH {_CLASSES} SELECT device, count(*) AS n, round(100 * avg((a <> b)::INT), 6) AS changed, round(100 * avg((b < a)::INT), 6) AS improved, round(100 * avg((b > a)::INT), 6) AS worsened FROM c GROUP BY 1")
 def class_change_summary(spark, sf_dir):
     out = stats.transition_summary(_classes(spark, sf_dir), "a", "b", ["device"])
     return out.select("device", "n", *[F.round(c, 6).alias(c) for c in ("changed", "improved", "worsened")])
@@ -116,13 +116,13 @@ def delta_vs_baseline(spark, sf_dir):
     return _split_rows(spark, sf_dir).select("device", "tier", "seed", F.round("r2", 6).alias("r2"), F.round("delta", 6).alias("delta"))
 
 
-@query("A14 A15 M14 A32", f"WITH {_SPLITS} SELECT device, tier, count(delta) AS n, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, CASE WHEN tier = 'N' THEN '' WHEN avg(delta) - stddev_samp(delta) > 0 OR avg(delta) + stddev_samp(delta) < 0 THEN 'yes' ELSE 'no' END AS resolved FROM d GROUP BY device, tier")
+@query("A14 A15 A32", f"WITH {_SPLITS} SELECT device, tier, count(delta) AS n, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, CASE WHEN tier = 'N' THEN '' WHEN avg(delta) - stddev_samp(delta) > 0 OR avg(delta) + stddev_samp(delta) < 0 THEN 'yes' ELSE 'no' END AS resolved FROM d GROUP BY device, tier")
 def split_summary_resolved(spark, sf_dir):
     out = stats.split_summary(_split_rows(spark, sf_dir), ["device", "tier"], "delta", F.col("tier") == "N")
     return out.select("device", "tier", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "resolved")
 
 
-@query("F15 M16 A22", "WITH m AS (SELECT l_quantity AS q FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, q LIMIT 1) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_quantity = (SELECT q FROM m)")
+@query("F15 A22", "WITH m AS (SELECT l_quantity AS q FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, q LIMIT 1) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_quantity = (SELECT q FROM m)")
 def modal_rows(spark, sf_dir):
     return stats.rows_with_mode(table(spark, sf_dir, "lineitem"), "l_quantity").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
 

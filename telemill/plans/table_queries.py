@@ -113,7 +113,7 @@ def channel_bool_and(spark, sf_dir):
     return spark.createDataFrame(found, "column string, reason string")
 
 
-@query("P12 P13 P14 P15", "SELECT * FROM (VALUES ('job_id', 'id', 'identifier'), ('sc_cryo_t__mean', 'feature', 'sensor'), ('QB1_t1_time', 'feature', 'calibration'), ('native_depth', 'feature', 'circuit'), ('hellinger_native', 'target', 'target')) AS v(\"column\", action, \"group\")")
+@query("P12 P13", "SELECT * FROM (VALUES ('job_id', 'id', 'identifier'), ('sc_cryo_t__mean', 'feature', 'sensor'), ('QB1_t1_time', 'feature', 'calibration'), ('native_depth', 'feature', 'circuit'), ('hellinger_native', 'target', 'target')) AS v(\"column\", action, \"group\")")
 def column_classifier(spark, sf_dir):
     names = ["job_id", "sc_cryo_t__mean", "QB1_t1_time", "native_depth", "hellinger_native"]
     rows = [(c, action, columns.group_of(c)) for c, action, _ in columns.decide(names)]
@@ -129,7 +129,7 @@ def name_normalisers(spark, sf_dir):
 
 
 @query(
-    "V5 V6 V7 V8 V9 V10 V11 V18 V19",
+    "V5 V6 V7 V8",
     "SELECT 'discount in 0..1' AS \"check\", count_if(NOT (l_discount >= 0 AND l_discount <= 1)) AS violations, count_if(NOT (l_discount >= 0 AND l_discount <= 1)) = 0 AS ok FROM lineitem UNION ALL SELECT 'day resolution', count_if(date_trunc('day', l_shipdate) <> l_shipdate), count_if(date_trunc('day', l_shipdate) <> l_shipdate) = 0 FROM lineitem UNION ALL SELECT 'flag domain', count_if(l_returnflag NOT IN ('A', 'N')), count_if(l_returnflag NOT IN ('A', 'N')) = 0 FROM lineitem UNION ALL SELECT 'o_orderkey unique', (count(*) - count(DISTINCT o_orderkey))::BIGINT, count(*) = count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 's_suppkey dense', (CASE WHEN min(s_suppkey) <> 1 THEN 1 ELSE 0 END + abs(max(s_suppkey) - count(DISTINCT s_suppkey)))::BIGINT, min(s_suppkey) = 1 AND max(s_suppkey) = count(DISTINCT s_suppkey) FROM supplier",
 )
 def contract_report(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from pathlib import PurePosixPath
@@ -163,6 +162,60 @@ def result_document(payload: dict, seed: int) -> str:
     return json.dumps({**payload, "seed": seed}, indent=2, sort_keys=True, default=str)
 
 
+def write_document(spark: SparkSession, text: str, path: str) -> None:
+    """A text as the only file of a folder, which any file system that Spark knows can hold."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> str:
+    """The text that ``write_document`` wrote; documents are small (a result, a list, a manifest)."""
+    (row,) = spark.read.text(path, wholetext=True).collect()
+    return row.value.removesuffix("\n")
+
+
+def save_result(spark: SparkSession, payload: dict, seed: int, base: str, name: str, pool: str | None = None) -> str:
+    """Write a result with its seed into its pool's folder; gives the path."""
+    path = results_path(base, name, pool)
+    write_document(spark, result_document(payload, seed), path)
+    return path
+
+
+def window_paths(arguments: list[str]) -> dict[int, str]:
+    """``MINUTES=PATH`` arguments as a dictionary in the order of minutes."""
+    out = {}
+    for a in arguments:
+        minutes, found, path = a.partition("=")
+        if not found or not path or not minutes.strip().isdigit():
+            raise ValueError(f"not MINUTES=PATH: {a!r}")
+        out[int(minutes)] = path
+    return dict(sorted(out.items()))
+
+
+def arguments(argv: list[str]) -> dict:
+    """Flags that all drivers share: seed, only, fast, list, windows, and a pool, which also redirects results."""
+    import argparse
+
+    p = argparse.ArgumentParser(add_help=False)
+    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--pool")
+    p.add_argument("--results", default="results")
+    p.add_argument("--only", nargs="*", default=[])
+    p.add_argument("--fast", action="store_true")
+    p.add_argument("--list", action="store_true")
+    p.add_argument("--windows", nargs="*", default=[])
+    got = vars(p.parse_args(argv))
+    return got | {"windows": window_paths(got["windows"]), "folder": results_path(got["results"], "", got["pool"]).rstrip("/")}
+
+
+def column_report(decisions: list[tuple[str, str, str]], counts: dict[str, int]) -> str:
+    """What became of every column and why, how many values it has, and how many columns each action took, as JSON."""
+    actions: dict[str, int] = {}
+    for _, action, _ in decisions:
+        actions[action] = actions.get(action, 0) + 1
+    rows = [{"column": c, "action": a, "reason": r, "values": counts.get(c)} for c, a, r in decisions]
+    return json.dumps({"actions": actions, "columns": rows}, indent=2, sort_keys=True)
+
+
 def results_path(base: str, name: str, pool: str | None = None) -> str:
     return f"{base}_{pool}/{name}" if pool else f"{base}/{name}"
 
@@ -172,15 +225,21 @@ def markdown_table(columns: list[str], rows: list[tuple]) -> str:
     return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in [columns, ["---"] * len(columns), *rows]) + "\n"
 
 
-def file_checksum(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(1 << 20):
-            h.update(part)
-    return h.hexdigest()
-
-
-def parquet_metadata(path: str) -> dict[str, str]:
-    import pyarrow.parquet as pq
-
-    return {k.decode(): v.decode("utf-8", "replace") for k, v in (pq.read_schema(path).metadata or {}).items()}
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(name, nbytes, sha256) of files, read by the executors; a file must fit into memory."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("nbytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def parquet_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key-value metadata of a Parquet file's footer, from any file system; rows aren't read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    if fs.getFileStatus(where).isDirectory():
+        where = next(f.getPath() for f in fs.listStatus(where) if f.getPath().getName().endswith(".parquet"))
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+    try:
+        return dict(reader.getFileMetaData().getKeyValueMetaData())
+    finally:
+        reader.close()
