@@ -88,6 +88,8 @@ class Stream:
     #: What has been read of a packet that goes on on the next page; None: no packet is open.
     partial: bytes | None = None
     number: int = -1
+    #: How many streams with this serial number came before.
+    link: int = 0
 
     def take(self, flags: int, granule: int, number: int, lacing: bytes, body: bytes) -> None:
         self.pages += 1
@@ -140,18 +142,22 @@ def clock(head: bytes) -> tuple[int, int] | None:
 
 
 def seconds(s: Stream) -> list[float | None]:
-    """When each packet ends: for sample streams to the packet, for others when its page ends; None if that is unknown."""
+    """When each packet ends; None if that is unknown.
+
+    Of sample streams every packet's duration is known; of others a page tells only when its last packet ends.
+    """
     known = clock(s.packets[0]) if s.packets else None
     if known is None or known[0] <= 0:
         return [None] * len(s.packets)
     rate, skipped = known
-    at = s.positions(lambda p: 0 if p[:8] == SAMPLES else len(p)) if s.packets[0][:8] == SAMPLES else s.granules
+    at = s.positions(lambda p: 0 if p[:8] == SAMPLES else len(p)) if s.packets[0][:8] == SAMPLES else [-1 if later else g for g, later in zip(s.granules, s.later, strict=True)]
     return [None if g < 0 else max(0, g - skipped) / rate for g in at]
 
 
 @dataclass
 class Parsed:
-    streams: dict[int, Stream]
+    #: By serial number; of chained streams with one number those after the first by (number, 1), (number, 2) and so on.
+    streams: dict[int | tuple[int, int], Stream]
     pages: int
     bad_pages: int
     lost_bytes: int
@@ -159,6 +165,8 @@ class Parsed:
 
 def parse(data: bytes) -> Parsed:
     out = Parsed({}, 0, 0, 0)
+    now: dict[int, Stream] = {}
+    links: dict[int, int] = {}
     at, n = 0, len(data)
     while at + 27 <= n:
         if data[at : at + 4] != CAPTURE:
@@ -178,7 +186,10 @@ def parse(data: bytes) -> Parsed:
             at += 4
             continue
         out.pages += 1
-        out.streams.setdefault(serial, Stream(serial)).take(flags, granule, number, lacing, data[at + 27 + count : stop])
+        if flags & FIRST or serial not in now:  # a beginning always opens a new logical stream
+            link = links[serial] = links.get(serial, -1) + 1
+            now[serial] = out.streams[(serial, link) if link else serial] = Stream(serial, link=link)
+        now[serial].take(flags, granule, number, lacing, data[at + 27 + count : stop])
         at = stop
     out.lost_bytes += n - at
     return out
@@ -231,22 +242,22 @@ def restore(media: bytes) -> dict:
 def demultiplex(df: DataFrame, media: str = "media", row_id: str = "doc_id") -> DataFrame:
     """One row for each logical stream of each value of the binary column ``media``.
 
-    Columns: row_id, serial, head (first 8 bytes of its first packet), n_pages, n_packets, sizes (of packets), granules
+    Columns: row_id, serial, link (streams with this serial number before it, as chained files have), head (first 8 bytes of its first packet), n_pages, n_packets, sizes (of packets), granules
     (of the pages on which they ended), seconds (at which they end; null where the stream's kind doesn't tell), gaps
     (missing pages), ended, bad_pages and lost_bytes (of the whole value) and data (its packets, joined).  A null or empty value, or one without any sound page, gives no row.
     """
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("row_id", "serial", "head", "n_pages", "n_packets", "sizes", "granules", "seconds", "gaps", "ended", "bad_pages", "lost_bytes", "data")}
+        out: dict[str, list] = {k: [] for k in ("row_id", "serial", "link", "head", "n_pages", "n_packets", "sizes", "granules", "seconds", "gaps", "ended", "bad_pages", "lost_bytes", "data")}
         for key, value in zip(cols["row_id"], cols["media"], strict=True):
             parsed = parse(value or b"")
             for s in parsed.streams.values():
-                row = (key, s.serial, s.packets[0][:8] if s.packets else b"", s.pages, len(s.packets), [len(x) for x in s.packets], s.granules, seconds(s), s.gaps, s.ended, parsed.bad_pages, parsed.lost_bytes, b"".join(s.packets))
+                row = (key, s.serial, s.link, s.packets[0][:8] if s.packets else b"", s.pages, len(s.packets), [len(x) for x in s.packets], s.granules, seconds(s), s.gaps, s.ended, parsed.bad_pages, parsed.lost_bytes, b"".join(s.packets))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         return out
 
-    schema = "row_id long, serial long, head binary, n_pages long, n_packets long, sizes array<int>, granules array<long>, seconds array<double>, gaps int, ended boolean, bad_pages int, lost_bytes long, data binary"
+    schema = "row_id long, serial long, link int, head binary, n_pages long, n_packets long, sizes array<int>, granules array<long>, seconds array<double>, gaps int, ended boolean, bad_pages int, lost_bytes long, data binary"
     return map_columns(df.selectExpr(f"cast(`{row_id}` as long) as row_id", f"`{media}` as media"), run, schema)
 
 

@@ -54,6 +54,21 @@ def test_damage_is_found_and_skipped():
     assert ogg.parse(b"").pages == 0 and "error" in ogg.restore(b"OggS")
 
 
+def test_chained_streams_with_one_serial_number():
+    one, two = [b"head", b"a" * 300, b"b"], [b"head", b"c", b"d" * 600, b"e"]
+    chained = ogg.mux([(7, one, [0, 1, 2])]) + ogg.mux([(7, two, [0, 1, 2, 3])])
+    p = ogg.parse(chained)
+    assert [(s.serial, s.link, s.packets, s.gaps, s.ended) for s in p.streams.values()] == [(7, 0, one, 0, True), (7, 1, two, 0, True)]
+    x = ogg.store(b"some text")
+    assert [s.gaps for s in ogg.parse(x + x).streams.values()] == [0] * 4
+
+
+def test_only_the_last_packet_of_a_page_has_its_time():
+    vorbis = b"\x01vorbis" + bytes(5) + (100).to_bytes(4, "little")
+    s = ogg.parse(ogg.mux([(2, [vorbis, b"y", b"z", b"w"], [0, 100, 200, 300])])).streams[2]
+    assert ogg.seconds(s) == [0.0, None, None, 3.0]
+
+
 def test_times_of_other_kinds():
     opus = b"OpusHead\x01\x01" + (312).to_bytes(2, "little") + bytes(7)
     vorbis = b"\x01vorbis" + bytes(5) + (44_100).to_bytes(4, "little")
