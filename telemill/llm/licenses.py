@@ -2,8 +2,9 @@
 
 Fuzzy search works in two steps.  A notice that may have k errors is cut into k + 1 pieces; whatever the errors, one
 piece stands unchanged in the text (pigeonhole), so one pass of an Aho-Corasick automaton over all pieces of all
-notices finds every place that can hold one.  There the ``regex`` library looks for the whole notice with at most k
-insertions, deletions and substitutions, which proves the match and gives its span and number of errors.
+notices finds every place that can hold one.  A bit-parallel pass over these stretches leaves the ends at which at most
+k errors are possible.  There the ``regex`` library looks for the whole notice with at most k insertions, deletions and
+substitutions, which proves the match and gives its span and number of errors.
 """
 
 from __future__ import annotations
@@ -58,6 +59,33 @@ def errors_allowed(notice: str) -> int:
     return max(1, len(notice) // 12)
 
 
+def possible_ends(notice: str, text: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
+    """Runs of neighbouring places (first, last) in a..b where something at most ``most`` edits from the notice may end.
+
+    The columns of the table of distances of all that ends at a place, as bit vectors of their differences.
+    """
+    letters: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        letters[c] = letters.get(c, 0) | 1 << i
+    full, last = (1 << len(notice)) - 1, 1 << (len(notice) - 1)
+    up, down, score = full, 0, len(notice)
+    runs: list[tuple[int, int]] = []
+    for place, c in enumerate(text[a:b], a + 1):
+        match = letters.get(c, 0)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = (down | ~(diagonal | up)) & full, diagonal & up
+        score += bool(right & last) - bool(left & last)
+        vertical = match | down
+        right, left = right << 1, left << 1
+        up, down = (left | ~(vertical | right)) & full, right & vertical & full
+        if score <= most:
+            if runs and runs[-1][1] == place - 1:
+                runs[-1] = (runs[-1][0], place)
+            else:
+                runs.append((place, place))
+    return runs
+
+
 class FuzzyNotices:
     """Finds ``notices`` in lower-cased texts; ``errors`` gives the bound for each."""
 
@@ -99,8 +127,11 @@ class FuzzyNotices:
         """Places in order.  Of places that overlap, the one with the smaller share of errors stands (then the first)."""
         found: list[Place] = []
         for i, stretches in self.windows(lower).items():
-            notice, label, _, pattern = self.notices[i]
-            open_ = [(a, min(b, len(lower))) for a, b in stretches]
+            notice, label, k, pattern = self.notices[i]
+            open_ = []
+            for a, b in stretches:
+                b = min(b, len(lower))
+                open_ += [(max(a, first - len(notice) - k), last) for first, last in possible_ends(notice, lower, a, b, k)]
             while open_:
                 a, b = open_.pop()
                 if m := pattern.search(lower, a, b):  # the best of the stretch; others may stand on either side

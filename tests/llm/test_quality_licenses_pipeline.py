@@ -147,6 +147,33 @@ def test_seeds_lose_nothing_against_a_search_of_the_whole_text():
     assert [(p.start, p.edits) for p in two] == [(0, 1), (23, 0)]
 
 
+def test_possible_ends_equal_the_table_of_distances():
+    rng = random.Random(5)
+    for _ in range(300):
+        notice = "".join(rng.choice("abc ") for _ in range(rng.randrange(3, 12)))
+        text = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60)))
+        most, a = rng.randrange(0, 3), rng.randrange(0, 5)
+        row = list(range(len(notice) + 1))
+        want = []
+        for j, c in enumerate(text[a:], a + 1):
+            diagonal, row[0] = row[0], 0
+            for i, x in enumerate(notice, 1):
+                diagonal, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, diagonal + (x != c))
+            if row[-1] <= most:
+                want.append(j)
+        runs = licenses.possible_ends(notice, text, a, len(text), most)
+        assert [j for x, y in runs for j in range(x, y + 1)] == want and all(x[1] + 1 < y[0] for x, y in zip(runs[:-1], runs[1:], strict=True))
+
+
+def test_stretches_full_of_seeds_end_soon():
+    import time
+
+    fuzzy, began = licenses.FuzzyNotices(), time.time()
+    assert fuzzy.find("redistribution and use in source and " * 5000) == []
+    assert len(fuzzy.find("all rights reserved. " * 5000)) == 5000
+    assert time.time() - began < 30
+
+
 def test_scan_of_edge_cases(spark):
     out = {r.doc_id: r for r in licenses.scan(clashing_docs(spark)).collect()}
     assert (out[3].n_words, out[3].labels, out[3].score) == (0, "", 0.0)
