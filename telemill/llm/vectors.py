@@ -1,10 +1,13 @@
 """Near-duplicate vectors: inverted lists with product-quantised residuals, and exact cosine.
 
 Unit vectors are dealt to coarse lists; within a list, what is left of a vector after its list's centre is cut into
-subspaces, each replaced by the nearest of 256 code words.  Every vector then probes the lists that can hold partners
-and scans their codes: distances come from a table of inner products with the code words (the query itself isn't
-quantised).  A code is passed on unless its distance, less the code's own error, proves that the vectors are too far
-apart, so quantisation loses nothing; what passes is decided by cosine in double precision.
+subspaces, each replaced by the nearest of 256 code words.  Every vector then probes the lists that can hold partners,
+as its code alone: there, tables of inner products of each resident vector (which isn't quantised) with all code words
+give its distances by look-up and sum.  A probe is passed on unless these, less the code's own error, prove that it is too
+far from all residents, so quantisation loses nothing.  Only for probes that pass whole vectors are fetched, and cosine
+in double precision decides.
+
+Rows travel as packed arrays, thousands to a row.
 """
 
 from __future__ import annotations
@@ -20,20 +23,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .arrow import map_columns
-from .blocks import Connected
+from .blocks import Connected, map_groups
 from .components import components
+from .shingles import mix
 from .workspace import materialise
 
-#: Rows at most on which centres and code words are fitted, chosen by a hash; lists have LIST_ROWS rows on average.
+#: Rows at most on which centres and code words are fitted, chosen by a hash; lists have LIST_ROWS rows on average, as
+#: long as there are no more than MOST_LISTS (their centres are handed to every executor).
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES = 16, 256
 #: A list is probed if the vector is within this share of the distance of the plane halfway to the list's centre.  The
 #: distances of two vectors of a pair from the plane between their lists add up to the distance at most, and a pair is
 #: found if one of them probes the other's list, so half (and a little for rounding) loses nothing.
 REACH = 0.5001
-#: Subspaces that are summed for all codes; the others only where these don't exceed the bound already.
-EARLY = 8
-BLOCK = 1024
+#: Residents of a list, and probes, that are compared in one task.
+BLOCK, PROBES = 1024, 8192
 
 
 @dataclass
@@ -123,59 +127,92 @@ def _distinct(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFram
     return rows, materialise(classes.withColumn("node", F.monotonically_increasing_id()), "unit-classes")
 
 
-def _scan(index: Index, columns: dict, cosine: float) -> tuple[list[tuple[int, int]], dict[int, int]]:
+def _packed(node: np.ndarray, **fields: np.ndarray) -> bytes:
+    """Arrays of equal length as bytes, one after the other; ``_unpacked`` takes their types and widths again."""
+    return b"".join([np.int64(len(node)).tobytes(), node.astype("<i8").tobytes(), *[np.ascontiguousarray(x).tobytes() for x in fields.values()]])
+
+
+def _unpacked(data: bytes, fields: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    out, at = {"node": np.frombuffer(data, "<i8", n, 8)}, 8 + 8 * n
+    for name, kind, width in fields:
+        x = np.frombuffer(data, kind, n * width, at)
+        out[name] = x.reshape(n, width) if width > 1 else x
+        at += x.nbytes
+    return out
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+class Layout:
+    """What packed rows hold: residents with their vectors and the lists that they probe (as bits), probes with codes."""
+
+    def __init__(self, dims: int, lists: int, subspaces: int):
+        self.bits = -(-lists // 8)
+        self.residents = [("copies", "<i8", 1), ("unit", "<f8", dims), ("reach", "u1", self.bits)]
+        self.probes = [("home", "<i4", 1), ("least", "<f4", 1), ("codes", "u1", subspaces)]
+        # One dimension or list keeps its axis.
+        self.shape = {"unit": dims, "reach": self.bits, "codes": subspaces}
+
+    def read(self, data: list[bytes], probes: bool) -> dict[str, np.ndarray]:
+        out = _joined([_unpacked(d, self.probes if probes else self.residents) for d in data])
+        return {k: x.reshape(len(x), self.shape[k]) if k in self.shape else x for k, x in out.items()}
+
+
+def _near_probes(index: Index, here: int, residents: dict, probes: dict) -> np.ndarray:
+    """Which probes may be near a resident of the list.
+
+    With |x| = 1, |x - q|**2 is 1 + |q|**2 - 2 x.q, and x.q for a coded q is x.(its home's centre) and a sum of inner
+    products of x with code words, which come from one table for each resident.  ``least`` is what a pair must reach.
+    """
+    x, node = residents["unit"], residents["node"]
+    parts = index.parts(x)
+    tables = [np.ascontiguousarray((words @ parts[:, m].T).astype(np.float32)) for m, words in enumerate(index.words)]
+    centres = (index.centres @ x.T).astype(np.float32)
+    order = np.argsort(node)
+    out = np.empty(len(probes["node"]), dtype=bool)
+    step = max(64, (1 << 19) // len(x))
+    for at in range(0, len(out), step):
+        q = slice(at, at + step)
+        product = centres[probes["home"][q]]
+        for m, table in enumerate(tables):
+            product += table[probes["codes"][q, m]]
+        # A resident is no partner of itself.
+        place = np.minimum(np.searchsorted(node, probes["node"][q], sorter=order), len(node) - 1)
+        mine = order[place]
+        same = np.flatnonzero((node[mine] == probes["node"][q]) & (probes["home"][q] == here))
+        product[same, mine[same]] = -2
+        out[q] = (product >= probes["least"][q][:, None]).any(axis=1)
+    return out
+
+
+def _exact(residents: dict, node: np.ndarray, unit: np.ndarray, copies: np.ndarray, home: np.ndarray, cosine: float) -> tuple[list[tuple[int, int]], dict[int, int]]:
     """Spanning links, and how many rows each vector is linked with, that one task's group finds.
 
     A pair of which both vectors probe the other's list is found twice; it counts for the vector that probed.  If only
     one of them does, its find counts for both.
     """
-    role = np.array(columns["role"])
-    x = np.frombuffer(b"".join(columns["unit"]), dtype=np.float64).reshape(len(role), -1)
-    node, copies, home = (np.array(columns[c]) for c in ("node", "copies", "home"))
-    base, query = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    connected = Connected(node)
-    counts = np.zeros(len(role), dtype=np.int64)
-    if not len(base) or not len(query):
-        return [], {}
-    first: dict[int, int] = {}
-    same = np.array([first.setdefault(int(n), k) for k, n in enumerate(node)])
-    here = int(columns["list"][0])
-    radius = np.sqrt(max(0.0, 2 - 2 * cosine))
-    codes = np.frombuffer(b"".join(columns["codes"][k] for k in base), dtype=np.uint8).reshape(len(base), -1)
-    error = np.sqrt(((index.residuals(x[base], home[base]) - index.decode(codes)) ** 2).sum(axis=1))
-    bound = (radius + error) ** 2 + 1e-9
-    centre = index.centres[here]
-    norms = (index.words**2).sum(axis=2)
-    probed = np.zeros((len(base), len(index.centres)), dtype=bool)
-    for k, b in enumerate(base):
-        probed[k, columns["probes"][b]] = True
+    both, place = np.unique(np.concatenate((residents["node"], node)), return_inverse=True)
+    base, query = place[: len(residents["node"])], place[len(residents["node"]) :]
+    connected = Connected(both)
+    counts = np.zeros(len(both), dtype=np.int64)
+    x = residents["unit"]
     for at in range(0, len(query), 256):
-        q = query[at : at + 256]
-        parts = index.parts(x[q] - centre)
-        # Squared distances of what is left of each query to all code words, by subspace.
-        tables = (parts**2).sum(axis=2)[:, :, None] + norms[None] - 2 * np.einsum("qmd,mkd->qmk", parts, index.words, optimize=True)
-        distance = np.take(tables[:, 0], codes[:, 0], axis=1)
-        for m in range(1, min(EARLY, codes.shape[1])):
-            distance += np.take(tables[:, m], codes[:, m], axis=1)
-        a, b = np.nonzero((distance <= bound[None, :]) & (node[q][:, None] != node[base][None, :]))
-        rest = distance[a, b]
-        for m in range(EARLY, codes.shape[1]):
-            rest += tables[a, m, codes[b, m]]
-        near = rest <= bound[b]
-        a, b = a[near], b[near]
-        if not len(a):
-            continue
-        a, k = q[a], b
-        b = base[k]
-        good = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-        a, b, k = a[good], b[good], k[good]
-        np.add.at(counts, a, copies[b])
-        one_way = ~probed[k, home[a]]
-        np.add.at(counts, b[one_way], copies[a[one_way]])
-        new = connected.label[same[a]] != connected.label[same[b]]
-        for i, j in zip(same[a[new]].tolist(), same[b[new]].tolist(), strict=True):
+        q = np.arange(at, min(at + 256, len(query)))
+        a, b = np.nonzero(unit[q] @ x.T >= cosine - 1e-9)
+        a = q[a]
+        good = (np.einsum("ij,ij->i", unit[a], x[b]) >= cosine) & (query[a] != base[b])
+        a, b = a[good], b[good]
+        np.add.at(counts, query[a], residents["copies"][b])
+        back = residents["reach"][b, home[a] >> 3] >> (home[a] & 7).astype(np.uint8) & 1
+        one_way = back == 0
+        np.add.at(counts, base[b[one_way]], copies[a[one_way]])
+        new = connected.label[query[a]] != connected.label[base[b]]
+        for i, j in zip(query[a[new]].tolist(), base[b[new]].tolist(), strict=True):
             connected.join(i, j)
-    return connected.links, _summed(node, counts)
+    return connected.links, _summed(both, counts)
 
 
 def _summed(node: np.ndarray, counts: np.ndarray) -> dict[int, int]:
@@ -222,60 +259,88 @@ def _search(classes: DataFrame, cosine: float, size: int) -> tuple[DataFrame, Da
     index = fit(sample, min(MOST_LISTS, -(-total // LIST_ROWS), len(sample)))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     shared = classes.sparkSession.sparkContext.broadcast(index)
+    lists = len(index.centres)
+    layout = Layout(sample.shape[1], lists, len(index.words))
+    residents_at_once, probes_at_once = BLOCK, PROBES
 
     def deal(cols: dict) -> dict:
-        """A row for the list in which a vector stands (role 0), and one for each list that it probes (role 1)."""
+        """Per list of a slice, its residents (role 0) and the vectors that probe it (role 1), packed."""
         x = np.frombuffer(b"".join(cols["unit"]), dtype=np.float64).reshape(len(cols["unit"]), -1)
+        node, copies = np.array(cols["node"], dtype=np.int64), np.array(cols["copies"], dtype=np.int64)
         home, probes = shared.value.nearest(x, radius)
-        codes = shared.value.encode(shared.value.residuals(x, home))
-        out: dict[str, list] = {k: [] for k in ("list", "role", "node", "copies", "home", "unit", "codes", "probes")}
-        for k, node in enumerate(cols["node"]):
-            common = (node, cols["copies"][k], int(home[k]), cols["unit"][k])
-            for row in [(int(home[k]), 0, *common, codes[k].tobytes(), probes[k]), *((int(p), 1, *common, b"", probes[k][:0]) for p in probes[k])]:
-                for name, v in zip(out, row, strict=True):
+        residual = shared.value.residuals(x, home)
+        codes = shared.value.encode(residual)
+        coded = shared.value.decode(codes)
+        error = np.sqrt(((residual - coded) ** 2).sum(axis=1))
+        # The least inner product of a unit vector with the coded one at which the two may be near, less what rounding may take.
+        least = ((1 + ((coded + shared.value.centres[home]) ** 2).sum(axis=1) - (radius + error) ** 2) / 2 - 1e-4).astype("<f4")
+        reached = np.zeros((len(x), 8 * layout.bits), dtype=np.uint8)
+        who, to = np.repeat(np.arange(len(x)), [len(p) for p in probes]), np.concatenate(probes)
+        reached[who, to] = 1
+        reach = np.packbits(reached, axis=1, bitorder="little")
+        out: dict[str, list] = {k: [] for k in ("list", "role", "n", "data")}
+        for role, rows, at in ((0, np.arange(len(x)), home), (1, who, to)):
+            order = np.argsort(at, kind="stable")
+            names, begins = np.unique(at[order], return_index=True)
+            for k, a, b in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+                r = rows[order[a:b]]
+                data = _packed(node[r], copies=copies[r], unit=x[r], reach=reach[r]) if role == 0 else _packed(node[r], home=home[r].astype("<i4"), least=least[r], codes=codes[r])
+                for name, v in zip(out, (k, role, len(r), data), strict=True):
                     out[name].append(v)
         return out
 
-    schema = "list int, role int, node long, copies long, home int, unit binary, codes binary, probes array<int>"
-    dealt = map_columns(classes.select("node", "copies", "unit"), deal, schema)
-    # Two numbers for each list: bounded by MOST_LISTS.
-    held = dealt.groupBy("list").agg(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("bases"), F.sum("role").alias("queries"))
-    blocks = held.select("list", F.greatest(F.ceil(F.col("bases") / BLOCK), F.lit(1)).cast("int").alias("base_blocks"), F.greatest(F.ceil(F.col("queries") / BLOCK), F.lit(1)).cast("int").alias("query_blocks"))
-    dealt = dealt.join(F.broadcast(blocks), "list")
-    own = F.when(F.col("role") == 0, F.pmod(F.xxhash64("node"), F.col("base_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("query_blocks"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("query_blocks")).otherwise(F.col("base_blocks")) - 1))
-    dealt = dealt.withColumns({"own": own, "other": other})
-    i, j = (F.when(F.col("role") == r, F.col("own")).otherwise(F.col("other")) for r in (0, 1))
-    dealt = dealt.select("list", i.alias("i"), j.alias("j"), "role", "node", "copies", "home", "unit", "codes", "probes").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
-    out_schema = "a long, b long, n long"
-    arrow = to_arrow_schema(_parse_datatype_string(out_schema))
-    names = ["list", "role", "node", "copies", "home", "unit", "codes", "probes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows: list[tuple] = []
-        last: tuple | None = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            links, counts = _scan(shared.value, dict(zip(names, map(list, zip(*held_rows, strict=True)), strict=True)), cosine)
-            held_rows.clear()
-            if links or counts:
-                a = [x for x, _ in links] + list(counts)
-                b = [y for _, y in links] + [None] * len(counts)
-                n = [None] * len(links) + list(counts.values())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], schema=arrow)
+    dealt = materialise(map_columns(classes.select("node", "copies", "unit"), deal, "list int, role int, n long, data binary"), "vector-lists")
+    # Two numbers for each list, of which there are MOST_LISTS at most.
+    held = dealt.groupBy("list").agg(F.sum(F.when(F.col("role") == 0, F.col("n")).otherwise(0)).alias("residents"), F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)).alias("probes"))
+    cells = {r["list"]: (-(-r["residents"] // residents_at_once), -(-r["probes"] // probes_at_once)) for r in held.collect()}
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each packed row's vectors by the block that a hash of their node gives, for all blocks of the other role."""
         for batch in batches:
-            groups = zip(*(batch[c].to_pylist() for c in ("list", "i", "j")), strict=True)
-            at, flat = batch["probes"].offsets.to_numpy(), batch["probes"].values.to_numpy()
-            plain = [batch[c].to_pylist() for c in names[:-1]]
-            probes = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
-            for group, row in zip(groups, zip(*plain, probes, strict=True), strict=True):
-                if last is not None and last != group:
-                    yield from flush()
-                last = group
-                held_rows.append(row)
-        if held_rows:
-            yield from flush()
-
-    found = materialise(dealt.mapInArrow(run, out_schema), "vector-links")
+            for here, role, data in zip(batch["list"].to_pylist(), batch["role"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                own, others = cells[here][role], cells[here][1 - role]
+                if not others:
+                    continue
+                whole = layout.read([data], bool(role))
+                block = (mix(whole["node"].view(np.uint64)) % np.uint64(own)).astype(np.int64)
+                for k in range(own) if own > 1 else (0,):
+                    use = np.flatnonzero(block == k)
+                    if not len(use):
+                        continue
+                    part = data if own == 1 else _packed(whole["node"][use], **{n: x[use] for n, x in whole.items() if n != "node"})
+                    for j in range(others):
+                        i, j2 = (k, j) if role == 0 else (j, k)
+                        yield pa.RecordBatch.from_pylist([{"list": here, "i": i, "j": j2, "role": role, "data": part}], schema=split_arrow)
+
+    split_schema = "list int, i int, j int, role int, data binary"
+    split_arrow = to_arrow_schema(_parse_datatype_string(split_schema))
+    groups = ["list", "i", "j"]
+
+    def passing(group: tuple, columns: dict) -> list[tuple]:
+        sides = [[d for d, r in zip(columns["data"], columns["role"], strict=True) if r == role] for role in (0, 1)]
+        if not sides[0] or not sides[1]:
+            return []
+        residents, probes = layout.read(sides[0], False), layout.read(sides[1], True)
+        near = _near_probes(shared.value, group[0], residents, probes)
+        return [(*group, n, h) for n, h in zip(probes["node"][near].tolist(), probes["home"][near].tolist(), strict=True)]
+
+    blocks = dealt.mapInArrow(split, split_schema)
+    passed = materialise(map_groups(blocks, groups, passing, "list int, i int, j int, node long, home int"), "vector-candidates")
+
+    # Whole vectors of the probes that pass, and the residents of the groups in which one does.
+    vectors = classes.select("node", "copies", "unit").join(passed, "node").select(*groups, F.lit(1).alias("role"), F.col("unit").alias("data"), "node", "copies", "home")
+    members = dealt.where("role = 0").mapInArrow(split, split_schema).join(passed.select(*groups).distinct(), groups, "left_semi")
+    members = members.select(*groups, "role", "data", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("int").alias("home"))
+
+    def decide(group: tuple, columns: dict) -> list[tuple]:
+        is_probe = np.array(columns["role"]) == 1
+        data = columns["data"]
+        residents = layout.read([data[k] for k in np.flatnonzero(~is_probe)], False)
+        at = np.flatnonzero(is_probe)
+        unit = np.frombuffer(b"".join([data[k] for k in at]), dtype=np.float64).reshape(len(at), -1)
+        node, copies, home = (np.array([columns[c][k] for k in at], dtype=np.int64) for c in ("node", "copies", "home"))
+        links, counts = _exact(residents, node, unit, copies, home, cosine)
+        return [(a, b, None) for a, b in links] + [(a, None, n) for a, n in counts.items()]
+
+    found = materialise(map_groups(members.unionByName(vectors), groups, decide, "a long, b long, n long"), "vector-links")
     return found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("a").alias("node"), "n")
