@@ -150,7 +150,7 @@ def exact_group_holdout(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").isin(*test).alias("is_test"))
 
 
-@query("M19 M6 M7")
+@query("M19 M6 M7 M8")
 def tier1_models(spark, sf_dir):
     """Tier 1 (program structure and device) by boosted trees, a forest, and a line with a column for each device."""
     rows = models.with_device_columns(_lines(spark, sf_dir), "device", ["F", "O"]).withColumn("is_test", F.col("l_orderkey") % 5 == 0)

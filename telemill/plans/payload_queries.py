@@ -125,7 +125,7 @@ def row_alignment(spark, sf_dir):
 
 
 @query(
-    "Q23 U8 S22 E14 Q24 Q25",
+    "Q23 U8 S22 E14 Q24",
     "WITH d AS (SELECT sha256(text) AS h, min(doc_id) AS first_doc, count(*) AS copies, max(strlen(text))::BIGINT AS nbytes FROM documents WHERE trim(text) <> '' GROUP BY 1) SELECT 'document:' || h AS ref, first_doc, copies, nbytes FROM d",
 )
 def content_hash_dedup(spark, sf_dir):
