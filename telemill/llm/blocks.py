@@ -1,4 +1,4 @@
-"""Comparing the members of groups of any size, in tasks of bounded size, without listing pairs."""
+"""Comparing the members of groups, in tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -7,33 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
-def linked_within(members: DataFrame, payload: list[str], compare: Callable[[dict, int, int], list[tuple[int, int]]]) -> DataFrame:
-    """Links (a, b) that ``compare`` finds within each family.
-
-    ``members`` has family (long), blocks (int), node (long) and the payload columns.  A family is dealt over its
-    blocks by a hash of the node, and each row goes to one task for each block: the group (family, i, j) has the rows
-    of two blocks, so its size is bounded whatever the family's.  ``compare`` gets a dict of lists (node, own, the
-    payload; list columns as numpy arrays) and i and j, and returns links that connect what is linked.
-    """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *payload
-    )
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return _map_sorted(dealt, ["family", "i", "j"], lambda group, columns: compare(columns, group[1], group[2]), "a long, b long")
-
-
 def map_groups(df: DataFrame, by: list[str], fn: Callable[[tuple, dict], list[tuple]], schema: str) -> DataFrame:
-    """Rows that ``fn`` makes of the columns of each group (whose size the caller bounds)."""
-    return _map_sorted(df.repartition(*by).sortWithinPartitions(*by), by, fn, schema)
-
+    """Rows that ``fn`` makes of each group: of its key and a dict of lists (list columns as numpy arrays).
 
-def _map_sorted(df: DataFrame, by: list[str], fn: Callable[[tuple, dict], list[tuple]], schema: str) -> DataFrame:
+    The caller bounds the size of groups.
+    """
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     others = [c for c in df.columns if c not in by]
 
@@ -64,7 +46,7 @@ def _map_sorted(df: DataFrame, by: list[str], fn: Callable[[tuple, dict], list[t
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, schema)
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 class Connected:

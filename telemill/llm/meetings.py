@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 from .arrow import slices
 
 #: Pairs that a bucket has on average, and that are packed at once.
-BUCKET, PACK = 1 << 18, 1 << 16
+BUCKET, PACK = 1 << 16, 1 << 17
 
 Pairs = tuple[np.ndarray, np.ndarray]
 

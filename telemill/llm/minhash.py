@@ -6,9 +6,11 @@ one-symbol errors are enumerated by leaving out each symbol of each chunk: every
 left-out place and the other symbols.  So all pairs within LIMIT meet, whatever else.  A key gives one link for each of
 its members, and of the members that one task has only one is shuffled.
 
-What meets hangs together in families, for which one row a member is enough.  A family's members are then compared in
-blocks of bounded size: pairs within LIMIT are confirmed on whole shingle sets, inside the task, and only links that
-connect something new leave it.  So neither pairs nor links are ever listed by the square of a group's size.
+What meets hangs together in families, for which one row a member is enough.  Small families are compared in one task
+each.  All members of a large one are first compared with a few of them, the pivots, on whole shingle sets; what hangs on
+one group of connected pivots needs no comparison among itself, so only the others are compared with all, in blocks of
+bounded size.  There pairs within LIMIT are confirmed on whole sets, inside the task, and only links that connect
+something new leave it.  So neither pairs nor links are ever listed by the square of a group's size.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns
-from .blocks import Connected, linked_within
+from .blocks import Connected, map_groups
 from .components import components
 from .meetings import Pairs, distinct, runs, shared_keys
 from .shingles import mix, shingle_sets
@@ -32,6 +34,8 @@ SYMBOLS, CHUNKS, LIMIT = 40, 10, 19
 WIDTH = SYMBOLS // CHUNKS
 #: Members of a family, and hashes of their sets, that are compared with as many others at once.
 BLOCK, BLOCK_HASHES = 1024, 1 << 20
+#: Members of a large family with which all others are compared first.
+PIVOTS = 16
 
 _SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _TERMS = _SEEDS[:SYMBOLS] | np.uint64(1), _SEEDS[SYMBOLS:]
@@ -170,6 +174,69 @@ def links(columns: dict, i: int, j: int, percent: int = 75) -> list[tuple[int, i
     return connected.links
 
 
+def _pivot_links(family: int, columns: dict, percent: int) -> list[tuple[int, int, int, bool]]:
+    """(family, a, b, among pivots): each other row with the first pivot that it is linked to, and what links pivots."""
+    pivots = [k for k, p in enumerate(columns["is_pivot"]) if p]
+    node, sets = columns["node"], columns["hashes"]
+    among, out = Connected(np.array([node[k] for k in pivots])), []
+    for k, s in enumerate(sets):
+        linked = []
+        for j, p in enumerate(pivots):
+            low, high = sorted((len(s), len(sets[p])))
+            if k != p and 100 * low >= percent * high and _similar(len(np.intersect1d(s, sets[p], assume_unique=True)), len(s), len(sets[p]), percent):
+                linked.append(j)
+        if columns["is_pivot"][k]:
+            linked.append(pivots.index(k))
+        elif linked:
+            out.append((family, node[pivots[linked[0]]], node[k], False))
+        for j in linked[1:]:
+            among.join(linked[0], j)
+    return out + [(family, x, y, True) for x, y in among.links]
+
+
+def _most_connected(columns: dict) -> list[int]:
+    """The largest group of connected pivots of a family."""
+    nodes, place = np.unique(columns["a"] + columns["b"], return_inverse=True)
+    connected = Connected(nodes)
+    for x, y in zip(place[: len(columns["a"])], place[len(columns["a"]) :], strict=True):
+        connected.join(x, y)
+    label, n = np.unique(connected.label, return_counts=True)
+    return nodes[connected.label == label[n.argmax()]].tolist()
+
+
+def _links_within(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within each family: members have family, blocks, node, signature, hashes.
+
+    A family is named by its smallest node.
+    """
+    one = F.lit(0).alias("own")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    small = members.where("blocks = 1").select("family", "node", one, "signature", "hashes")
+    small = map_groups(small, ["family"], lambda _, c: links(c, 0, 0, percent), "a long, b long")
+
+    # About PIVOTS members of a large family, the first among them, by a hash.
+    large = members.where("blocks > 1").withColumn("is_pivot", (F.col("node") == F.col("family")) | (F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * max(1, BLOCK // PIVOTS)) == 0))
+    pivots = large.where("is_pivot").select("family", each("blocks").alias("i"), "node", "is_pivot", "hashes")
+    others = large.where("not is_pivot").select("family", block("blocks").alias("i"), "node", "is_pivot", "hashes")
+    star = map_groups(pivots.unionByName(others), ["family", "i"], lambda g, c: _pivot_links(g[0], c, percent), "family long, a long, b long, among boolean")
+    star = materialise(star, "pivot-links")
+
+    # What hangs on one group of connected pivots needs no comparison among itself.
+    among = star.where("among").select("family", "a", "b").distinct()
+    main = map_groups(among, ["family"], lambda g, c: [(g[0], n) for n in _most_connected(c)], "family long, pivot long")
+    alone = large.where("node = family").select("family").join(among.select("family").distinct(), "family", "left_anti").select("family", F.col("family").alias("pivot"))
+    main = materialise(main.unionByName(alone), "main-pivots")
+    settled = star.where("not among").join(main.select(F.col("pivot").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(main.select(F.col("pivot").alias("node")))
+    rest = large.join(settled, "node", "left_anti")
+    sizes = rest.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("hashes")).alias("total"))
+    sizes = sizes.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int").alias("rest_blocks"))
+    left = rest.join(sizes, "family").select("family", block("rest_blocks").alias("i"), each("blocks").alias("j"), "node", one, "signature", "hashes")
+    right = large.join(sizes, "family").select("family", each("rest_blocks").alias("i"), block("blocks").alias("j"), "node", F.lit(1).alias("own"), "signature", "hashes")
+    found = map_groups(left.unionByName(right), ["family", "i", "j"], lambda _, c: links(c, 0, 1, percent), "a long, b long")
+    return small.unionByName(star.select("a", "b")).unionByName(found)
+
+
 def _found(docs: DataFrame, percent: int) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, digest and first, the first row of its component.
 
@@ -206,8 +273,8 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
                 out["hashes"].append(s.view(np.int64))
         return out
 
-    members = map_columns(texts, whole, "family long, blocks int, node long, signature binary, hashes array<long>")
-    found = components(linked_within(members, ["signature", "hashes"], lambda c, i, j: links(c, i, j, percent)), "components")
+    members = materialise(map_columns(texts, whole, "family long, blocks int, node long, signature binary, hashes array<long>"), "members")
+    found = components(_links_within(members, percent), "components")
     linked = classes.select("node", "holder", "digest").join(found, "node", "left")
     alone = linked.where("component is null").select("digest", F.col("holder").alias("first"))
     linked = linked.where("component is not null")

@@ -235,12 +235,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     """
     rows, classes = _distinct(vectors, id_column, column)
     links, counts = None, None
-    for size in [r[0] for r in classes.select(F.octet_length("unit").alias("s")).distinct().collect()]:
-        a, b = _search(classes.where(F.octet_length("unit") == size), cosine, size)
+    # A proper table has one length; each that more than one vector has gets an index of its own.
+    sizes = classes.groupBy(F.octet_length("unit").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    for (size,) in sizes.select("size").collect():
+        a, b = _search(classes.where(F.octet_length("unit") == size), cosine)
         links, counts = (a, b) if links is None else (links.unionByName(a), counts.unionByName(b))
     out = rows.join(classes.select("unit", "node", "copies", "least"), "unit", "left")
     if links is None:
-        return out.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        n = F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long")
+        first = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least"))
+        return out.select(F.col("id").alias("vec_id"), n.alias("n_links"), first.alias("component_id"), F.col("id").eqNullSafe(first).alias("kept"))
     found = components(links, "vector-components")
     named = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -251,7 +255,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     return out.select(F.col("id").alias("vec_id"), n.cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _search(classes: DataFrame, cosine: float, size: int) -> tuple[DataFrame, DataFrame]:
+def _search(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b), and (node, n) to be summed, among the distinct unit vectors of one length."""
     total = classes.count()
     picked = classes.orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE).select("unit").collect()

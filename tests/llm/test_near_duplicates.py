@@ -84,9 +84,10 @@ def family_docs():
     return texts
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "pivots"), [(1024, 16), (5, 16), (6, 2)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
     texts = family_docs() | {r.doc_id: r.text for r in small(spark, DATA).collect()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     sizes, expected = brute_components(texts)
@@ -401,3 +402,5 @@ def test_vectors_without_ids_and_repeated_rows(spark):
     assert got == sorted(map(str, want))
     lonely = spark.createDataFrame([(None, a)], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.near_duplicates(lonely).collect()] == [(None, 0, None, True)]
+    copies = spark.createDataFrame([(5, a), (3, a), (4, [1.0, 0.0]), (6, None)], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vectors.near_duplicates(copies).collect()) == [(3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (6, 0, 6, True)]

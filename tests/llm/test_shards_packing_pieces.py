@@ -270,3 +270,27 @@ def test_query_equals_row_function(spark, model):
     for r in op4_nbest_pieces(spark, f"{DATA}/sf0.001").collect():
         got = model.segment(texts[r.doc_id], 4)
         assert r.scores == [s for s, _ in got] and r.ids_crc32 == [zlib.crc32(b) for _, b in got] and r.decoded
+
+
+def test_query_equals_a_plain_search_of_whole_texts(spark, model):
+    """The four best scores of whole texts, kept for each position, without parts, tree or queue."""
+    from telemill.llm.queries import op4_nbest_pieces
+
+    longest = max(map(len, model.scores))
+
+    def best_scores(s):
+        kept = [[0.0]]
+        for j in range(1, len(s) + 1):
+            every = []
+            for i in range(max(0, j - longest), j):
+                w = model.scores.get(s[i:j], model.unknown if j == i + 1 else None)
+                if w is not None:
+                    every += [x + w for x in kept[i]]
+            kept.append(sorted(every, reverse=True)[:4])
+        return kept[-1]
+
+    texts = {r.doc_id: r.text for r in small(spark, DATA).collect() if r.text and len(r.text) <= 1500}
+    got = {r.doc_id: r for r in op4_nbest_pieces(spark, f"{DATA}/sf0.001").collect()}
+    assert len(texts) > 50
+    for k, t in texts.items():
+        assert got[k].scores == pytest.approx(best_scores(pieces.BLANK + t.replace(" ", pieces.BLANK))) and got[k].decoded
