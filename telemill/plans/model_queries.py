@@ -158,3 +158,17 @@ def tier1_models(spark, sf_dir):
     settings = {"gbt": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 5, "maxDepth": 4}, "linear": {}}
     out = [(kind, *models.fit_and_score(train, test, ["x", "z", "is_0", "is_1"], "y", kind, **s)[1].rounded().values()) for kind, s in settings.items()]
     return spark.createDataFrame(out, "model string, r2 double, mae double, rmse double, n_train long, n_test long, n_features long")
+
+
+@query(
+    "M13",
+    f"WITH l AS (SELECT {_LINES}, l_orderkey % 5 = 0 AS test FROM lineitem), d AS (SELECT DISTINCT device AS test_device FROM l UNION ALL SELECT 'pooled'), f AS (SELECT test_device, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, count(*) AS n_train FROM l, d WHERE CASE WHEN test_device = 'pooled' THEN NOT test ELSE device <> test_device END GROUP BY 1), p AS (SELECT test_device, y, a * x + b AS q, n_train FROM l, f WHERE CASE WHEN test_device = 'pooled' THEN test ELSE device = test_device END) SELECT test_device, {_SCORES}, max(n_train) AS n_train FROM p GROUP BY 1",
+)
+def device_transfer(spark, sf_dir):
+    """Models of all other devices on each device, and a model of all on rows held out from all."""
+    rows = _lines(spark, sf_dir).withColumn("is_test", F.col("l_orderkey") % 5 == 0).cache()
+    out = models.leave_one_device_out(rows, "device", ["x"], "y", "linear")
+    pooled = models.fit_and_score(rows.where("not is_test"), rows.where("is_test"), ["x"], "y", "linear")[1].rounded()
+    rows.unpersist()
+    out = [{k: v for k, v in r.items() if k != "n_features"} for r in [*out, {"test_device": "pooled", **pooled}]]
+    return spark.createDataFrame(out, "test_device string, r2 double, mae double, rmse double, n_test long, n_train long")

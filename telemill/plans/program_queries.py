@@ -84,6 +84,20 @@ def simulate_certain_programs(spark, sf_dir):
     return out.select("s_suppkey", "ideal_result_logical", "logical_sim_status", "logical_sim_error")
 
 
+@query(
+    "H9 Q3 Q10",
+    "WITH s AS (SELECT DISTINCT p_size, p_size % 6 + 1 AS k FROM part) SELECT p_size, (k + 2)::DOUBLE AS size, 2::DOUBLE AS n_gate_types, k::DOUBLE AS n_2q_gates, '{\"' || ((k + 1) // 2 % 2) || (k % 2) || '\": 10}' AS counts FROM s",
+)
+def custom_gates(spark, sf_dir):
+    """Programs that define a gate by others (a flip, then a controlled one) and use it a number of times."""
+    head = "OPENQASM 2.0; include \"qelib1.inc\"; gate both a,b { x a; cx a,b; } qreg q[2]; creg c[2]; "
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    program = F.concat(F.lit(head), F.repeat(F.lit("both q[0],q[1]; "), (F.col("p_size") % 6 + 1).cast("int")), F.lit("measure q -> c;"))
+    rows = circuits.with_structure(sizes.withColumns({"program": program, "shots": F.lit(10)}), "program", "s")
+    out = circuits.with_ideal(rows, "program", "shots", "p_size", "logical")
+    return out.select("p_size", "s.size", "s.n_gate_types", "s.n_2q_gates", F.col("ideal_result_logical").alias("counts"))
+
+
 @query("Q10 Q11 Q12 Q13")
 def simulate_ideal_seeded(spark, sf_dir):
     angle = F.concat(F.lit("OPENQASM 2.0; qreg q[2]; creg c[2]; ry("), (F.col("s_suppkey") % 7).cast("string"), F.lit("*pi/7) q[0]; cx q[0],q[1]; measure q -> c;"))
@@ -110,7 +124,7 @@ def gbt_tier_ablation(spark, sf_dir):
     return spark.createDataFrame(rows, "tier string, r2 double, mae double, rmse double, n_train long, n_test long, n_features long, delta_r2 double")
 
 
-@query("M7 M13")
+@query("M7")
 def leave_one_device_out(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("device"), "l_quantity", "l_tax", (F.col("l_extendedprice") / 110_000).alias("target"))
     rows = models.leave_one_device_out(li, "device", ["l_quantity", "l_tax"], "target", "forest", numTrees=5, maxDepth=4)

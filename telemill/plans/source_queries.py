@@ -99,7 +99,7 @@ def group_folds(spark, sf_dir):
     return spark.createDataFrame([(g, f, sizes[g]) for g, f in splits.group_folds(sizes).items()], "c_nationkey int, fold int, rows long")
 
 
-@query("M4")
+@query("M4 M7")
 def feature_importance(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 110_000).alias("target"))
     split = splits.group_holdout(li, "l_orderkey", 42)
