@@ -228,12 +228,19 @@ def _links_within(members: DataFrame, percent: int) -> DataFrame:
     alone = large.where("node = family").select("family").join(among.select("family").distinct(), "family", "left_anti").select("family", F.col("family").alias("pivot"))
     main = materialise(main.unionByName(alone), "main-pivots")
     settled = star.where("not among").join(main.select(F.col("pivot").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(main.select(F.col("pivot").alias("node")))
-    rest = large.join(settled, "node", "left_anti")
-    sizes = rest.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("hashes")).alias("total"))
-    sizes = sizes.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int").alias("rest_blocks"))
-    left = rest.join(sizes, "family").select("family", block("rest_blocks").alias("i"), each("blocks").alias("j"), "node", one, "signature", "hashes")
-    right = large.join(sizes, "family").select("family", each("rest_blocks").alias("i"), block("blocks").alias("j"), "node", F.lit(1).alias("own"), "signature", "hashes")
-    found = map_groups(left.unionByName(right), ["family", "i", "j"], lambda _, c: links(c, 0, 1, percent), "a long, b long")
+    marked = large.join(settled.withColumn("settled", F.lit(True)), "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    needed = lambda of: F.ceil(F.greatest(F.count_if(of) / BLOCK, F.sum(F.when(of, F.size("hashes")).otherwise(0)) / BLOCK_HASHES)).cast("int")
+    sizes = marked.groupBy("family").agg(needed(~F.col("settled")).alias("rest_blocks"), needed(F.col("settled")).alias("settled_blocks")).where("rest_blocks > 0")
+    marked = marked.select("family", "node", "settled", "signature", "hashes").join(sizes, "family")
+    row = ["node", "own", "signature", "hashes"]
+    # The rest among itself: each pair of its blocks in one task.
+    rest = marked.where("not settled").withColumns({"own": block("rest_blocks"), "other": each("rest_blocks")})
+    rest = rest.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *row)
+    # And with what is settled, whose blocks are numbered from -1 downwards.
+    crossed = marked.where("settled_blocks > 0")
+    left = crossed.where("not settled").withColumns({"own": block("rest_blocks"), "other": each("settled_blocks")}).select("family", F.col("own").alias("i"), (-1 - F.col("other")).alias("j"), *row)
+    right = crossed.where("settled").withColumns({"own": -1 - block("settled_blocks"), "other": each("rest_blocks")}).select("family", F.col("other").alias("i"), F.col("own").alias("j"), *row)
+    found = map_groups(rest.unionByName(left).unionByName(right), ["family", "i", "j"], lambda g, c: links(c, g[1], g[2], percent), "a long, b long")
     return small.unionByName(star.select("a", "b")).unionByName(found)
 
 
