@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets over which a group's distinct values are dealt: SIDE coarse ones of SIDE each.
-SIDE = 32
+#: Parts of a group at approximate quantiles (eight times eight), and equal parts of each: the buckets over which distinct
+#: values are dealt.
+PARTS, FINE = 64, 16
+
 
+def _with_bucket(df: DataFrame) -> DataFrame:
+    """Adds __k, the bucket of x, in the order of x: its part between neighbouring edges, and how far it stands in it.
 
-def _bucket(edges: Column, x: Column) -> Column:
-    """How many edges of a sorted array lie below x, in two short searches."""
-    coarse = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.get(edges, i * SIDE))
-    first = F.greatest(F.size(F.filter(coarse, lambda e: e < x)) - 1, F.lit(0)) * SIDE
-    return first + F.size(F.filter(F.slice(edges, first + 1, SIDE), lambda e: e < x))
+    Step by step, as each number is needed more than once; the part is found in eighths, then in eighths of these.
+    """
+    above = lambda place: F.when(F.col("x") > F.get("__edges", place), 1).otherwise(0)
+    df = df.withColumn("__eighth", reduce(lambda a, b: a + b, [above(F.lit(8 * k)) for k in range(1, 8)]) * 8)
+    df = df.withColumn("__part", F.col("__eighth") + reduce(lambda a, b: a + b, [above(F.col("__eighth") + k) for k in range(1, 8)]))
+    df = df.withColumns({"__low": F.get("__edges", F.col("__part")), "__high": F.get("__edges", F.col("__part") + 1)})
+    share = F.floor((F.col("x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * FINE)
+    fine = F.when(F.col("__high") > F.col("__low"), F.greatest(F.lit(0), F.least(F.lit(FINE - 1), share))).otherwise(0)
+    return df.withColumn("__k", F.col("__part") * FINE + fine.cast("int"))
 
 
-def ranked(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+def ranked(df: DataFrame, column: str, by: list[str], keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(by, x, n, before, total): each distinct value of a group as a double, its rows, those of smaller values, and all.
 
     Values are counted first, which combines equal ones before they are shuffled; nulls are left out.  The distinct ones
     are dealt by approximate quantiles of their group, so that no task sorts a whole group, and the buckets' sums tell
-    what lies before each.  A null in ``by`` is a group of its own.
+    what lies before each.  ``keep(before, n, total)`` tells by these which buckets are wanted, and the others aren't
+    sorted.  A null in ``by`` is a group of its own.
     """
     rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("x"))
     keys = [f"__g{k}" for k in range(len(by))] or ["__g"]
     named = rows.select(*([F.col(c).alias(k) for k, c in zip(keys, by, strict=True)] if by else [F.lit(0).alias("__g")]), "x")
     counted = named.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
-    points = F.array(*[F.lit(k / (SIDE * SIDE)) for k in range(SIDE * SIDE)])
-    groups = counted.groupBy(*keys).agg(F.percentile_approx("x", points, F.lit(10_000)).alias("__edges"), F.sum("n").alias("total"))
-    right = groups.select(*[F.col(k).alias(f"{k}r") for k in keys], "__edges", "total")
+    points = F.array(*[F.lit(k / PARTS) for k in range(PARTS + 1)])
+    groups = counted.groupBy(*keys).agg(F.percentile_approx("x", points, F.lit(1000)).alias("__edges"))
+    right = groups.select(*[F.col(k).alias(f"{k}r") for k in keys], "__edges")
     same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
-    dealt = counted.join(right, same).withColumn("__k", _bucket(F.col("__edges"), F.col("x"))).select(*keys, "x", "n", "total", "__k")
+    dealt = _with_bucket(counted.join(right, same)).select(*keys, "x", "n", "__k")
+    of_group = Window.partitionBy(*keys)
+    earlier = of_group.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*keys, "__k").agg(F.sum("n").alias("__sum"))
-    earlier = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"{k}r") for k in keys], F.col("__k").alias("__kr"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "total": F.sum("__sum").over(of_group)})
+    if keep is not None:
+        sums = sums.where(keep(F.col("__before"), F.col("__sum"), F.col("total")))
+    sums = sums.select(*[F.col(k).alias(f"{k}r") for k in keys], F.col("__k").alias("__kr"), "__before", "total")
     within = Window.partitionBy(*keys, "__k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__before") + F.coalesce(F.sum("n").over(within), F.lit(0))
     out = dealt.join(sums, [*same, F.col("__k") == F.col("__kr")]).withColumn("before", before)
@@ -43,12 +59,15 @@ def ranked(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 def group_quantiles(df: DataFrame, column: str, points: list[float], by: list[str], name: str = "quantiles") -> DataFrame:
     """(by, name): linearly interpolated quantiles, as an array, of each group that has values."""
-    r = ranked(df, column, by)
-    place = F.transform(F.array(*[F.lit(float(p)) for p in points]), lambda p: p * (F.col("total") - 1))
-    inside = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))
-    here = F.transform(place, lambda a: F.struct(a.alias("at"), F.when(inside(F.floor(a)), F.col("x")).alias("low"), F.when(inside(F.ceil(a)), F.col("x")).alias("high")))
-    wanted = F.exists(place, lambda a: inside(F.floor(a)) | inside(F.ceil(a)))
-    found = r.where(wanted).select(*by, F.posexplode(here).alias("__p", "__h")).groupBy(*by, "__p").agg(F.max("__h.at").alias("at"), F.max("__h.low").alias("low"), F.max("__h.high").alias("high"))
+    wanted = F.array(*[F.lit(float(p)) for p in points])
+    place = lambda p, total: p * (total - 1)
+    inside = lambda at, before, n: (at >= before) & (at < before + n)
+    either = lambda p, before, n, total: inside(F.floor(place(p, total)), before, n) | inside(F.ceil(place(p, total)), before, n)
+    any_in = lambda before, n, total: F.exists(wanted, lambda p: either(p, before, n, total))
+    before, n, total = F.col("before"), F.col("n"), F.col("total")
+    r = ranked(df, column, by, any_in).where(any_in(before, n, total))
+    here = F.transform(wanted, lambda p: F.struct(place(p, total).alias("at"), F.when(inside(F.floor(place(p, total)), before, n), F.col("x")).alias("low"), F.when(inside(F.ceil(place(p, total)), before, n), F.col("x")).alias("high")))
+    found = r.select(*by, F.posexplode(here).alias("__p", "__h")).groupBy(*by, "__p").agg(F.max("__h.at").alias("at"), F.max("__h.low").alias("low"), F.max("__h.high").alias("high"))
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.floor("at") + 1 - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__p"), value.alias("__v")))), lambda s: s["__v"])
     return found.groupBy(*by).agg(packed.alias(name)) if by else found.agg(packed.alias(name))
