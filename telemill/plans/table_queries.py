@@ -47,11 +47,11 @@ def dedup_first_by_key(spark, sf_dir):
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey")
 
 
-@query("J6 A4", "SELECT l_orderkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS l_returnflag FROM lineitem GROUP BY 1")
+@query("J6 A4", "SELECT l_orderkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey)) AS l_returnflag FROM lineitem GROUP BY 1")
 def dedup_mean_first(spark, sf_dir):
     cols = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     out = merge.mean_or_first(cols, ["l_orderkey"], F.struct("l_linenumber", "l_partkey", "l_suppkey"))
-    return out.select("l_orderkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"), "l_returnflag")
+    return out.select("l_orderkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 6).alias("l_extendedprice"), "l_returnflag")
 
 
 @query("J10 U2 U7", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
