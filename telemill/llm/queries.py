@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, minhash, ogg, packing, pieces, pii, quality, sharding, vectors
+from . import bpe, licenses, linededup, merkle, minhash, ogg, packing, pieces, pii, quality, sharding, sql, vectors
 from .workspace import table
 
 QUERIES: dict = {}
@@ -19,11 +19,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def query(f):
+def query(f, oracle: str | None = None):
     QUERIES[f.__name__] = f
+    if oracle:
+        ORACLES[f.__name__] = oracle
     return f
 
 
+def with_oracle(oracle: str):
+    return lambda f: query(f, oracle)
+
+
 @query
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"))
@@ -78,3 +84,13 @@ def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@with_oracle(sql.MERKLE)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
