@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, merkle, minhash, ogg, packing, pieces, pii, quality, sharding, sql, vectors
+from . import bpe, licenses, linededup, merkle, minhash, ogg, packing, pieces, pii, quality, sharding, spelling, sql, vectors
 from .workspace import table
 
 QUERIES: dict = {}
@@ -94,3 +94,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@with_oracle(sql.SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

@@ -36,3 +36,18 @@ MERKLE = (
     " SELECT p.doc_id, p.leaf, subs.h AS subroot, root.h AS root, sha256(coalesce(beside.proof, '')) AS proof_sha256, high.h AS folded_root, high.h = root.h AS verified"
     " FROM p JOIN subs USING (g) JOIN high ON high.place = p.g * 1000000000 + p.i AND high.n = 1 LEFT JOIN beside ON beside.g = p.g AND beside.i = p.i, root"
 )
+
+_RUN_BYTES = "flatten(list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, '') || ':' || run, '.'), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 | (ord(x) >> 6)::BIGINT, 128 | (ord(x) & 63)::BIGINT] END))"
+
+SPELLING = (
+    f"WITH RECURSIVE {_STEPS}, runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),"
+    " per AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),"
+    f" hashed AS (SELECT run, c, {_crc(_RUN_BYTES)} AS h FROM per, crc),"
+    " w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2),"
+    " cut AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),"
+    " pairs AS (SELECT DISTINCT a.word, b.word AS near FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word UNION SELECT word, rest FROM cut JOIN (SELECT word AS rest FROM w) USING (rest) UNION SELECT rest, word FROM cut JOIN (SELECT word AS rest FROM w) USING (rest)),"
+    " ranked AS (SELECT p.word, near, f.n AS near_n, row_number() OVER (PARTITION BY p.word ORDER BY f.n DESC, near) AS k, count(*) OVER (PARTITION BY p.word) AS n_near FROM pairs p JOIN w f ON f.word = near),"
+    " forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN ranked r ON r.word = w.word AND k = 1),"
+    " chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)"
+    " SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL"
+)
