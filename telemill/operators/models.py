@@ -152,19 +152,31 @@ def predicted(model, train: DataFrame, df: DataFrame, features: list[str], name:
     return scored.select(*[F.col(f"__was_{c}").alias(c) if c in features else F.col(c) for c in df.columns], name)
 
 
-def shuffled(df: DataFrame, key: str, columns: list[str], seed: int, buckets: int = 256) -> DataFrame:
-    """Adds <column>__shuffled: values of another row, one to one.
+#: Buckets by hash over which a shuffle is dealt, at least and at most, and rows of each about.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET = 256, 1 << 16, 1 << 18
 
-    Rows stand in the order of a hash within one of 256 hash buckets, and each takes the next one's values, the last
-    the first one's; so no task sorts all rows.
+
+def shuffled(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
+    """Adds <column>__shuffled: values of another row, one to one, in one ring over all rows.
+
+    Rows stand in the order of a hash of their key, and each takes the next one's values, the last the first one's.
+    Each bucket of equal beginnings of the hash is sorted alone, there are as many as the rows ask for, and the last row
+    of each takes the values of the first row of the next bucket that has rows.
     """
+    buckets = 1 << (max(LEAST_BUCKETS, min(MOST_BUCKETS, df.count() // BUCKET)) - 1).bit_length()
     h = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
-    rows = df.withColumns({"__h": h, "__b": F.substring(h, 1, 2)})
-    w = Window.partitionBy("__b").orderBy(F.substring("__h", 3, 62), key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # The value inside a struct, so that a missing one is handed on as missing.
-    new = {f"{c}__shuffled": F.coalesce(F.lead(F.struct(c)).over(w), F.first(F.struct(c)).over(whole))[c] for c in columns}
-    return rows.withColumns(new).drop("__h", "__b")
+    number = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("__h", h).withColumn("__b", F.floor(number * buckets / F.lit(1 << 32)).cast("int"))
+    order = F.struct(F.col("__h"), F.col(key))
+    firsts = rows.groupBy("__b").agg(F.min_by(F.struct(*columns), order).alias("__first"))
+    ring = Window.orderBy("__b")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select(F.col("__b").alias("__n"), F.coalesce(F.lead("__first").over(ring), F.first("__first").over(whole)).alias("__after"))
+    w = Window.partitionBy("__b").orderBy("__h", key)
+    # The values inside a struct, so that a missing one is handed on as missing.
+    led = rows.withColumn("__next", F.lead(F.struct(*columns)).over(w)).join(after, F.col("__b") == F.col("__n"))
+    taken = F.coalesce("__next", "__after")
+    return led.withColumns({f"{c}__shuffled": taken[c] for c in columns}).drop("__h", "__b", "__n", "__next", "__after")
 
 
 def permutation_importance(model, train: DataFrame, test: DataFrame, key: str, features: list[str], target: str, seed: int = 42, by: list[str] = ()) -> DataFrame:

@@ -1,88 +1,180 @@
-"""Ranks and exact quantiles of columns and of groups, without one task that holds all values of a group."""
+"""Ranks and exact quantiles of columns and of groups of any size.
 
-from __future__ import annotations
+A group of up to a million rows is one task's work: it is sorted there, or counted in one buffer.  What is larger is
+counted by cells instead, for all such groups at once: first by the sixteenth of a power of two in which a value lies,
+then, if a cell that matters still holds more than a million rows, by 4096 equal parts of what lies between its own
+least and largest value, and so on.  A double has so few digits that four such passes part any cell, and each pass is an
+aggregation that combines before it shuffles.  All these parts follow the order of values, as every step of arithmetic
+used here does.
+"""
 
-from collections.abc import Callable
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of a group at approximate quantiles (eight times eight), and equal parts of each: the buckets over which distinct
-#: values are dealt.
-PARTS, FINE = 64, 16
+from telemill.sources.scratch import written
 
+#: Rows of a group, or of a cell, that one task takes; parts of a power of two; parts of a cell.
+MOST, SIXTEENTHS, PARTS = 1 << 20, 16, 4096
 
-def _with_bucket(df: DataFrame) -> DataFrame:
-    """Adds __k, the bucket of x, in the order of x: its part between neighbouring edges, and how far it stands in it.
 
-    Step by step, as each number is needed more than once; the part is found in eighths, then in eighths of these.
-    """
-    above = lambda place: F.when(F.col("x") > F.get("__edges", place), 1).otherwise(0)
-    df = df.withColumn("__eighth", reduce(lambda a, b: a + b, [above(F.lit(8 * k)) for k in range(1, 8)]) * 8)
-    df = df.withColumn("__part", F.col("__eighth") + reduce(lambda a, b: a + b, [above(F.col("__eighth") + k) for k in range(1, 8)]))
-    df = df.withColumns({"__low": F.get("__edges", F.col("__part")), "__high": F.get("__edges", F.col("__part") + 1)})
-    share = F.floor((F.col("x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * FINE)
-    fine = F.when(F.col("__high") > F.col("__low"), F.greatest(F.lit(0), F.least(F.lit(FINE - 1), share))).otherwise(0)
-    return df.withColumn("__k", F.col("__part") * FINE + fine.cast("int"))
-
-
-def ranked(df: DataFrame, column: str, by: list[str], keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """(by, x, n, before, total): each distinct value of a group as a double, its rows, those of smaller values, and all.
-
-    Values are counted first, which combines equal ones before they are shuffled; nulls are left out.  The distinct ones
-    are dealt by approximate quantiles of their group, so that no task sorts a whole group, and the buckets' sums tell
-    what lies before each.  ``keep(before, n, total)`` tells by these which buckets are wanted, and the others aren't
-    sorted.  A null in ``by`` is a group of its own.
+def _keyed(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(g, x): the group as one struct, in which nulls are values like others, and the value as a double, if there is one."""
+    group = F.struct(*[F.col(c).alias(f"g{k}") for k, c in enumerate(by)]) if by else F.struct(F.lit(0).alias("g0"))
+    return df.where(F.col(column).isNotNull()).select(group.alias("g"), F.col(column).cast("double").alias("x"))
+
+
+def _named(df: DataFrame, by: list[str], *others: str) -> DataFrame:
+    return df.select(*[F.col(f"g.g{k}").alias(c) for k, c in enumerate(by)], *others)
+
+
+def first_cell(x: Column) -> Column:
+    """A whole number that never falls as x grows: its sign and the sixteenth of a power of two; NaN is the largest."""
+    inside = F.floor((F.log2(F.abs(x)) + 1100) * SIXTEENTHS)
+    return F.when(F.isnan(x), 50_000).when(x == 0, 0).when(F.abs(x) == float("inf"), F.signum(x) * 40_000).otherwise(F.signum(x) * inside).cast("long")
+
+
+def _part(x: Column, low: Column, high: Column) -> Column:
+    share = F.floor((x - low) / (high - low) * PARTS)
+    return F.when(high > low, F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), share))).otherwise(0).cast("long")
+
+
+def _cells(rows: DataFrame, digits: list[str], weight: str | None = None) -> DataFrame:
+    """Rows, their weights, least and largest value of each cell of a group."""
+    return rows.groupBy("g", *digits).agg(F.count(F.lit(1)).alias("rows"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def _beside(rows: DataFrame, cells: DataFrame, digits: list[str], columns: list[str]) -> DataFrame:
+    """Rows with columns of their cell; rows of other cells go."""
+    right = cells.select(*[F.col(c).alias(f"_{c}") for c in ("g", *digits, *columns)])
+    same = [F.col(c) == F.col(f"_{c}") for c in ("g", *digits)]
+    return rows.join(right, same).drop(*[f"_{c}" for c in ("g", *digits)])
+
+
+def _finer(rows: DataFrame, cells: DataFrame, digits: list[str]) -> DataFrame:
+    """Rows of the given cells with one digit more."""
+    return _beside(rows, cells, digits, ["low", "high"]).withColumn(f"d{len(digits)}", _part(F.col("x"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+def _before(cells: DataFrame, digits: list[str]) -> Column:
+    """What lies before a cell among those that differ from it in the last digit alone: a few thousand at most."""
+    w = Window.partitionBy("g", *digits[:-1]).orderBy(digits[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+
+def _too_large(cells: DataFrame) -> bool:
+    return bool(cells.where((F.col("rows") > MOST) & (F.col("low") < F.col("high"))).limit(1).count())
+
+
+def _large_groups(rows: DataFrame) -> DataFrame | None:
+    """(g, total) of groups that aren't one task's work, as a written table; None if there are none."""
+    large = rows.groupBy("g").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > MOST)
+    if not large.limit(1).count():
+        return None
+    return written(large, "large-groups")
+
+
+def ranked(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, x, n, before): each distinct value of a group as a double, its rows, and the rows of smaller values.
+
+    Nulls are left out; a null in ``by`` is a group of its own.  Equal values are counted before they are shuffled.
     """
-    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("x"))
-    keys = [f"__g{k}" for k in range(len(by))] or ["__g"]
-    named = rows.select(*([F.col(c).alias(k) for k, c in zip(keys, by, strict=True)] if by else [F.lit(0).alias("__g")]), "x")
-    counted = named.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
-    points = F.array(*[F.lit(k / PARTS) for k in range(PARTS + 1)])
-    groups = counted.groupBy(*keys).agg(F.percentile_approx("x", points, F.lit(1000)).alias("__edges"))
-    right = groups.select(*[F.col(k).alias(f"{k}r") for k in keys], "__edges")
-    same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
-    dealt = _with_bucket(counted.join(right, same)).select(*keys, "x", "n", "__k")
-    of_group = Window.partitionBy(*keys)
-    earlier = of_group.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys, "__k").agg(F.sum("n").alias("__sum"))
-    sums = sums.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "total": F.sum("__sum").over(of_group)})
-    if keep is not None:
-        sums = sums.where(keep(F.col("__before"), F.col("__sum"), F.col("total")))
-    sums = sums.select(*[F.col(k).alias(f"{k}r") for k in keys], F.col("__k").alias("__kr"), "__before", "total")
-    within = Window.partitionBy(*keys, "__k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    out = dealt.join(sums, [*same, F.col("__k") == F.col("__kr")]).withColumn("before", before)
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=False)], "x", "n", "before", "total")
+    rows = _keyed(df, column, by)
+    counted = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    digits: list[str] = []
+    before: Column = F.lit(0)
+    if _large_groups(rows) is not None:
+        counted = written(counted.withColumn("d0", first_cell(F.col("x"))), "ranked")
+        digits = ["d0"]
+        while True:
+            cells = _cells(counted, digits, "n")
+            cells = written(cells.withColumn("before", _before(cells, digits)), "ranked-cells")
+            counted = _beside(counted, cells, digits, ["before"]).withColumnRenamed("_before", f"b{len(digits)}")
+            before = before + F.col(f"b{len(digits)}")
+            if not _too_large(cells):
+                break
+            counted = written(_finer(counted, cells, digits), "ranked")
+            digits = [*digits, f"d{len(digits)}"]
+    w = Window.partitionBy("g", *digits).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    return _named(counted.withColumn("before", before + F.coalesce(F.sum("n").over(w), F.lit(0))), by, "x", "n", "before")
+
+
+def _ranks(points: list[float]) -> Column:
+    """The places, from 0, of the values that quantiles of ``total`` values need: those below and above each point."""
+    return F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(float(p)) * (F.col("total") - 1)), F.ceil(F.lit(float(p)) * (F.col("total") - 1))) for p in points])))
+
+
+def _quantiles_of_large(rows: DataFrame, large: DataFrame, points: list[float]) -> DataFrame:
+    """(g, quantiles) of large groups, by narrowing down the cells that hold what is wanted."""
+    wanted = large.select("g", "total", _ranks(points).alias("ranks"))
+    digits, rows = ["d0"], rows.withColumn("d0", first_cell(F.col("x")))
+    cells = _cells(_beside(rows, large, [], []), digits)
+    cells = cells.withColumn("before", _before(cells, digits))
+    while True:
+        held = _beside(cells, wanted, [], ["ranks"])
+        cells = written(held.where(F.exists("_ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).drop("_ranks"), "quantile-cells")
+        if not _too_large(cells):
+            break
+        rows = _finer(rows, cells, digits)
+        digits = [*digits, f"d{len(digits)}"]
+        finer = _cells(rows, digits)
+        inside = finer.withColumn("inner", _before(finer, digits))
+        cells = _beside(inside, cells, digits[:-1], ["before"]).select("g", *digits, "rows", "n", "low", "high", (F.col("inner") + F.col("_before")).alias("before"))
+    counted = _beside(rows, cells.where("low < high"), digits, []).groupBy("g", *digits, "x").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("g", *digits).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    values = _beside(counted, cells, digits, ["before"]).select("g", "x", "n", (F.col("inner") + F.col("_before")).alias("before"))
+    values = values.unionByName(cells.where("not low < high").select("g", F.col("low").alias("x"), "n", "before"))
+    found = _beside(values, wanted, [], ["ranks", "total"]).select("g", "x", "_total", F.explode(F.filter("_ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).alias("r"))
+    by_rank = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m"), F.max("_total").alias("total"))
+
+    def value(p: float) -> Column:
+        place = F.lit(float(p)) * (F.col("total") - 1)
+        low, high = F.element_at("m", F.floor(place)), F.element_at("m", F.ceil(place))
+        return F.when(low == high, low).otherwise((F.floor(place) + 1 - place) * low + (place - F.floor(place)) * high)
+
+    return by_rank.select("g", F.array(*[value(p) for p in points]).alias("q"))
 
 
 def group_quantiles(df: DataFrame, column: str, points: list[float], by: list[str], name: str = "quantiles") -> DataFrame:
     """(by, name): linearly interpolated quantiles, as an array, of each group that has values."""
-    wanted = F.array(*[F.lit(float(p)) for p in points])
-    place = lambda p, total: p * (total - 1)
-    inside = lambda at, before, n: (at >= before) & (at < before + n)
-    either = lambda p, before, n, total: inside(F.floor(place(p, total)), before, n) | inside(F.ceil(place(p, total)), before, n)
-    any_in = lambda before, n, total: F.exists(wanted, lambda p: either(p, before, n, total))
-    before, n, total = F.col("before"), F.col("n"), F.col("total")
-    r = ranked(df, column, by, any_in).where(any_in(before, n, total))
-    here = F.transform(wanted, lambda p: F.struct(place(p, total).alias("at"), F.when(inside(F.floor(place(p, total)), before, n), F.col("x")).alias("low"), F.when(inside(F.ceil(place(p, total)), before, n), F.col("x")).alias("high")))
-    found = r.select(*by, F.posexplode(here).alias("__p", "__h")).groupBy(*by, "__p").agg(F.max("__h.at").alias("at"), F.max("__h.low").alias("low"), F.max("__h.high").alias("high"))
-    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.floor("at") + 1 - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__p"), value.alias("__v")))), lambda s: s["__v"])
-    return found.groupBy(*by).agg(packed.alias(name)) if by else found.agg(packed.alias(name))
+    rows = _keyed(df, column, by)
+    large = _large_groups(rows)
+    few = rows if large is None else rows.join(large.select(F.col("g").alias("_g")), F.col("g") == F.col("_g"), "left_anti")
+    out = few.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in points])).alias("q"))
+    if large is not None:
+        out = out.unionByName(_quantiles_of_large(rows, large, points))
+    return _named(out.withColumnRenamed("q", name), by, name)
+
+
+def column_quantiles(df: DataFrame, columns: list[str], points: list[float]) -> list[list[float | None]]:
+    """Linearly interpolated quantiles of all values of each column that are numbers; None for each point without any."""
+    if not columns:
+        return []
+    x = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns]
+    if df.count() <= MOST:
+        row = df.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in points])).alias(f"q{k}") for k, c in enumerate(x)]).first()
+        return [list(row[f"q{k}"] or [None] * len(points)) for k in range(len(columns))]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("x")) for k, c in enumerate(x)])).alias("c")).select("c.k", "c.x")
+    found = {r.k: list(r.quantiles) for r in group_quantiles(long, "x", points, ["k"]).collect()}
+    return [found.get(k, [None] * len(points)) for k in range(len(columns))]
 
 
 def exact_quantiles(df: DataFrame, column: str, points: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles of all values that aren't null; None for each point without values."""
     row = group_quantiles(df, column, points, []).first()
-    return list(row[0]) if row[0] else [None] * len(points)
+    return list(row[0]) if row else [None] * len(points)
 
 
 def with_medians(groups: DataFrame, rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
     """``groups`` (one row a group) with the median of each column under its new name."""
-    for column, name in columns.items():
-        found = group_quantiles(rows, column, [0.5], by, "__q")
-        right = found.select(*[F.col(c).alias(f"__{k}r") for k, c in enumerate(by)], F.get("__q", F.lit(0)).alias(name))
-        groups = groups.join(right, [F.col(c).eqNullSafe(F.col(f"__{k}r")) for k, c in enumerate(by)], "left").drop(*[f"__{k}r" for k in range(len(by))])
+    rows = rows.select(*[F.col(c).alias(f"__{k}r") for k, c in enumerate(by)], *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(columns)])
+    keys = [f"__{k}r" for k in range(len(by))]
+    if not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).limit(1).count():
+        found = [rows.groupBy(*keys).agg(*[F.percentile(f"__x{k}", F.lit(0.5)).alias(name) for k, name in enumerate(columns.values())])]
+    else:
+        found = [group_quantiles(rows, f"__x{k}", [0.5], keys, "__q").select(*keys, F.get("__q", F.lit(0)).alias(name)) for k, name in enumerate(columns.values())]
+    for right in found:
+        groups = groups.join(right, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)], "left").drop(*keys)
     return groups

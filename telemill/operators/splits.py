@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.sources.io import quoted
+
+from .numbers import row_numbers
 from .quantiles import exact_quantiles
 
 #: Seeds of repeated splits.
@@ -41,22 +46,105 @@ def _nth_hash(hashes: DataFrame, n: int, few: int = 1000) -> str:
             return sorted(x.h for x in hashes.where(F.col("h").startswith(begin)).collect())[n - before - 1]
 
 
-def group_holdout_exact(groups: list, seed: int, share: float = 0.2) -> set:
-    """The test groups of a seeded permutation of the sorted distinct groups (driver side, for small sets)."""
-    ordered = sorted(set(groups))
-    picked = np.random.RandomState(seed).permutation(len(ordered))[: int(np.ceil(share * len(ordered)))]
-    return {ordered[k] for k in picked}
+#: Groups that a seeded permutation on the driver takes (8 bytes each there, a bit each on executors).
+MOST_PERMUTED = 1 << 28
+
+
+def group_holdout_exact(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
+    """(group, is_test) of each distinct group: a seeded permutation of the sorted groups, as the usual library draws it.
+
+    Groups are numbered by Spark; the driver permutes numbers alone, and executors get a bit for each.  Null is no group.
+    """
+    groups, n = row_numbers(df.select(group).where(F.col(group).isNotNull()).distinct(), [group], "__number")
+    if n > MOST_PERMUTED:
+        raise ValueError(f"{n} groups are too many for a permutation on the driver; use group_holdout")
+    picked = np.zeros(n, dtype=bool)
+    picked[np.random.RandomState(seed).permutation(n)[: math.ceil(share * n)]] = True
+    bits = df.sparkSession.sparkContext.broadcast(np.packbits(picked))
+
+    @F.pandas_udf("boolean")
+    def is_test(number: pd.Series) -> pd.Series:
+        k = number.to_numpy()
+        return pd.Series(bits.value[k >> 3] >> (7 - (k & 7)) & 1 == 1)
 
+    return groups.select(group, is_test("__number").alias("is_test"))
 
-def group_folds(sizes: dict, k: int = 5) -> dict:
-    """Fold of each group: largest groups first, each to the fold with fewest rows so far."""
-    k = max(2, min(k, 5, len(sizes)))
-    load, out = [0] * k, {}
-    for g, n in sorted(sizes.items(), key=lambda x: (-x[1], str(x[0]))):
-        fold = load.index(min(load))
-        out[g] = fold
-        load[fold] += n
-    return out
+
+def fold_plan(histogram: dict[int, int], k: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """For each size, from which rank on groups of that size go to which folds in turn; one of the folds' orders after another.
+
+    Largest first, each group to the fold with fewest rows so far, the first of equal ones.  The folds that one more
+    group each doesn't lift above the next fold take turns, so only changes of that set are worked out, not each group.
+    """
+    load, plan = [0] * k, {}
+    for size in sorted(histogram, reverse=True):
+        left, rank, parts = histogram[size], 0, []
+        while left:
+            order = sorted(range(k), key=lambda i: (load[i], i))
+            first = order[0]
+            turn = [i for i in order if (load[i], i) < (load[first] + size, first)]
+            rest = order[len(turn) :]
+            rounds = max(1, -(-(load[rest[0]] - load[first]) // size) - 1) if rest else left
+            parts.append((rank, turn))
+            n = min(left, rounds * len(turn))
+            for place, i in enumerate(turn):
+                load[i] += size * ((n - place + len(turn) - 1) // len(turn) if n > place else 0)
+            rank, left = rank + n, left - n
+        plan[size] = parts
+    return plan
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """(group, fold, rows): largest groups first, by name among equal ones, each to the fold with fewest rows so far.
+
+    The driver holds how many groups there are of each size (sizes add up to the rows, so there are few different
+    ones); groups find their fold by their rank among those of their size.  Null is no group; k is from 2 to 5 and not
+    above the number of groups.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    ranked, n = row_numbers(sizes, [F.col("rows").desc(), F.col(group).cast("string")], "__rank")
+    histogram = {r[0]: r[1] for r in sizes.groupBy("rows").count().collect()}
+    plan = fold_plan(histogram, max(2, min(k, 5, n)))
+    found: dict[int, tuple[int, list[int], list[list[int]]]] = {}
+    before = 0
+    for size, parts in plan.items():
+        found[size] = (before, [p[0] for p in parts], [p[1] for p in parts])
+        before += histogram[size]
+    shared = df.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("int")
+    def fold(rows: pd.Series, rank: pd.Series) -> pd.Series:
+        out = []
+        for size, r in zip(rows.tolist(), rank.tolist(), strict=True):
+            start, begins, turns = shared.value[size]
+            at = bisect.bisect_right(begins, r - start) - 1
+            out.append(turns[at][(r - start - begins[at]) % len(turns[at])])
+        return pd.Series(out, dtype="int32")
+
+    return ranked.select(group, fold("rows", "__rank").alias("fold"), "rows")
+
+
+#: Rows of a group that one task takes; groups above it that may be told to all tasks.
+MOST_ROWS, MOST_HOT = 1 << 20, 1 << 16
+
+
+def with_group_least(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:
+    """``df`` with the least value of each row's group (null is a group) as a new column.
+
+    The least values are found by an aggregation that combines first, and joined back; groups of more than a million
+    rows are dealt over as many parts as their size asks for, so no task gets a whole large group.
+    """
+    rows = df.withColumn("__v", value)
+    least = rows.groupBy(group).agg(F.min("__v").alias("__least"), F.count(F.lit(1)).alias("__rows"))
+    limit = max(MOST_ROWS, -(-rows.count() // MOST_HOT))
+    parts = F.ceil(F.col("__rows") / F.lit(limit)).cast("int")
+    hot = least.where(F.col("__rows") > limit).select(F.col(group).alias("__hot"), parts.alias("__parts"))
+    # At most MOST_HOT groups can be above the limit.
+    told = rows.join(F.broadcast(hot), F.col(group).eqNullSafe(F.col("__hot")), "left")
+    told = told.withColumn("__salt", F.when(F.col("__parts") > 1, F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).otherwise(0).cast("int"))
+    spread = least.select(F.col(group).alias("__g"), "__least", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
+    joined = told.join(spread, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__salt") == F.col("__s")))
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], F.col("__least").alias(name))
 
 
 def forward_split(df: DataFrame, group: str, ts: str, share: float = 0.2) -> DataFrame:
@@ -66,7 +154,6 @@ def forward_split(df: DataFrame, group: str, ts: str, share: float = 0.2) -> Dat
     a time are training rows.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    first = F.min(seconds).over(Window.partitionBy(group))
-    timed = df.withColumn("job_time", first)
+    timed = with_group_least(df, group, seconds, "job_time")
     (cut,) = exact_quantiles(timed, "job_time", [1 - share])
     return timed.withColumn("cut", F.lit(cut).cast("double")).withColumn("is_test", F.coalesce(F.col("job_time") > F.col("cut"), F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles, ranked, with_medians
+from .quantiles import exact_quantiles, group_quantiles, ranked, with_medians
 
 
 def half_open_bin(x: Column, edges: list[float]) -> Column:
@@ -141,9 +141,12 @@ def cap_at_quantile(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
 
 def daily(df: DataFrame, ts: str, value: str, least: int = 20, others: dict[str, str] | None = None) -> DataFrame:
     """(day, n, mean, p25, p75, means of others) of days with ``least`` rows or more."""
-    day = F.to_date(ts).alias("day")
     extra = [F.avg(c).alias(a) for a, c in (others or {}).items()]
-    return df.where(F.col(value).isNotNull()).groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"), *extra).where(F.col("n") >= least)
+    rows = df.where(F.col(value).isNotNull()).withColumn("day", F.to_date(ts))
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *extra).where(F.col("n") >= least)
+    q = group_quantiles(rows, value, [0.25, 0.75], ["day"], "__q").withColumnRenamed("day", "__day")
+    both = days.join(q, F.col("day").eqNullSafe(F.col("__day"))).withColumns({"p25": F.get("__q", F.lit(0)), "p75": F.get("__q", F.lit(1))})
+    return both.select("day", "n", "mean", "p25", "p75", *(others or {}))
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -197,7 +200,8 @@ def classification_scores(df: DataFrame, truth: str, prediction: str, classes: l
 
 def split_summary(df: DataFrame, keys: list[str], value: str, baseline: Column | None = None) -> DataFrame:
     """(keys, n, median, mean, sd, least, largest, resolved): whether mean +- sd leaves out 0 (blank for the baseline)."""
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    out = with_medians(out, df, keys, {value: "median"})
     yes = (F.col("mean") - F.col("sd") > 0) | (F.col("mean") + F.col("sd") < 0)
     resolved = F.when(F.coalesce(yes, F.lit(False)), "yes").otherwise("no")
     return out.withColumn("resolved", F.when(baseline, "").otherwise(resolved) if baseline is not None else resolved)

@@ -96,9 +96,9 @@ def test_group_splits(spark):
     hashes = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     assert splits._nth_hash(hashes, 700, 5) == sorted(r.h for r in hashes.collect())[699]
     assert splits.group_holdout(df.where("false"), "g", 7).count() == 0
-    assert len(splits.group_holdout_exact(list(range(11)), 42)) == 3
-    folds = splits.group_folds({k: k + 1 for k in range(10)})
-    assert set(folds.values()) == set(range(5))
+    assert splits.group_holdout_exact(spark.range(11), "id", 42).where("is_test").count() == 3
+    rows = spark.range(10).select(F.explode(F.sequence(F.lit(0), "id")).alias("x"), "id")
+    assert {r.fold for r in splits.group_folds(rows, "id").collect()} == set(range(5))
 
 
 def test_scores(spark):
