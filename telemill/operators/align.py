@@ -12,45 +12,69 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _ends_of_windows(rows: DataFrame, by: list[str], payload: list[str], prefix: str) -> DataFrame:
+    """(payload, statistics) of rows of (by, __block, __t, __kind, __rid, __v, payload) of three kinds.
+
+    Time is cut into blocks of one window's length, so a window is the end of one block and the beginning of the next.
+    Kind 0 is a reading; kind 1 asks at its time for the readings of its block so far; kind -1 asks, one window earlier
+    and so in the block before, for those from there to the block's end.  Both are frames that only grow, which Spark
+    adds up once, and no reading is handed to a second block.  The two answers of an ask are merged by counts, means and
+    squared deviations, so nothing is subtracted and large offsets do no harm.
+    """
+    parts = Window.partitionBy(*by, "__block")
+    begin = parts.orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    end = parts.orderBy(F.col("__t").desc(), F.col("__kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("__kind") == 1
+    told = lambda f: F.when(first, f.over(begin)).otherwise(f.over(end))
+    stats = rows.withColumns({"__n": told(F.count("__v")), "__m": told(F.avg("__v")), "__d": told(F.var_pop("__v")), "__a": told(F.min("__v")), "__z": told(F.max("__v")), "__seen": told(F.count_if(F.col("__kind") == 0))})
+    side = lambda kind, c: F.max(F.when(F.col("__kind") == kind, F.col(c)))
+    both = stats.where("__kind != 0").groupBy("__rid").agg(
+        F.sum("__n").alias("__n"), F.sum("__seen").alias("__seen"), F.min("__a").alias("__a"), F.max("__z").alias("__z"),
+        *[side(k, c).alias(f"{c}{i}") for i, k in enumerate((1, -1)) for c in ("__n", "__m", "__d")], *[F.max_by(F.struct(c), F.col("__kind")).alias(c) for c in payload],
+    )
+    n0, n1 = (F.coalesce(F.col(f"__n{i}"), F.lit(0)).cast("double") for i in (0, 1))
+    m0, m1, d0, d1 = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("__m0", "__m1", "__d0", "__d1"))
+    n = F.nullif(n0 + n1, F.lit(0.0))
+    mean = (n0 * m0 + n1 * m1) / n
+    squares = d0 * n0 + d1 * n1 + (m0 - m1) * (m0 - m1) * n0 * n1 / n
+    values = {"mean": mean, "min": F.col("__a"), "max": F.col("__z"), "sd": F.when(n > 1, F.sqrt(squares / (n - 1))), "count": F.coalesce(F.col("__n"), F.lit(0))}
+    return both.select(*[F.col(c)[c].alias(c) for c in payload], *[values[k].alias(f"{prefix}__{k}") for k in STATISTICS], "__seen")
+
+
 def trailing_window(df: DataFrame, series: str, ts: str, value: str, seconds: int, prefix: str = "w") -> DataFrame:
     """Per row, mean, min, max, sd and count of its series' values in the last ``seconds`` up to its own time.
 
-    A series is dealt over slots of eight windows' length, and what lies in the last window of a slot is handed to the
-    next one too, so a long series isn't one task's work; an eighth of the rows is handed on.
+    A row without a time has no window (count 0) and is in none.  The work grows with the rows, however many of them a
+    window holds, and a long series is many tasks' work; see ``_ends_of_windows``.
     """
     step = seconds * 1_000_000
     t = _micros(F.col(ts))
-    slot = F.floor(t / (8 * step))
-    both = F.when(t >= (slot + 1) * (8 * step) - step, F.array(slot, slot + 1)).otherwise(F.array(slot))
-    dealt = df.select("*", F.posexplode(both).alias("__copy", "__slot"))
-    w = Window.partitionBy(series, "__slot").orderBy(_micros(F.col(ts))).rangeBetween(-step, 0)
-    out = dealt.withColumns({
-        f"{prefix}__mean": F.avg(value).over(w), f"{prefix}__min": F.min(value).over(w), f"{prefix}__max": F.max(value).over(w), f"{prefix}__sd": F.stddev_samp(value).over(w), f"{prefix}__count": F.count(value).over(w),
-    })
-    return out.where("__copy = 0").drop("__copy", "__slot")
+    kinds = [F.struct(F.lit(k).alias("kind"), (t - (0 if k >= 0 else step)).alias("t")) for k in (0, 1, -1)]
+    # The number first: a row's copies share it.
+    rows = df.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__k", F.explode(F.array(*kinds)))
+    rows = rows.withColumns({"__kind": F.col("__k.kind"), "__t": F.col("__k.t"), "__v": F.when((F.col("__k.kind") == 0) & F.col("__k.t").isNotNull(), F.col(value).cast("double"))})
+    rows = rows.withColumns({"__block": F.col("__t") - F.pmod("__t", F.lit(step)), "__series": F.col(series)})
+    kept = {c: F.when(F.col("__kind") == 1, F.col(c)).alias(c) for c in df.columns}
+    narrow = rows.select("__series", "__block", "__t", "__kind", "__rid", "__v", *kept.values())
+    return _ends_of_windows(narrow, ["__series"], df.columns, prefix).drop("__seen")
 
 
 def window_statistics(anchors: DataFrame, readings: DataFrame, on: list[str], anchor_id: str, anchor_ts: str, ts: str, value: str, seconds: int, prefix: str = "w") -> DataFrame:
-    """(anchor_id, statistics) of the readings in [anchor - seconds, anchor].
+    """(on, anchor_id, statistics) of the readings in [anchor - seconds, anchor].
 
-    Anchors and readings of a key are united and dealt over slots of eight windows' length; readings in the last window
-    of a slot are handed to the next one too.  Each slot is sorted once and a range window gathers what each anchor
-    sees, so the work grows with the rows, not with pairs.  Anchors without any reading are absent.
+    Anchors without any reading, without a time or without a key are absent.  The work grows with the rows, not with
+    pairs; see ``_ends_of_windows``.
     """
     step = seconds * 1_000_000
-    slot = F.floor(F.col("__t") / (8 * step))
-    r = readings.select(*on, _micros(F.col(ts)).alias("__t"), F.col(value).alias("__v"), F.lit(1).alias("__is"))
-    both = F.when(F.col("__t") >= (slot + 1) * (8 * step) - step, F.array(slot, slot + 1)).otherwise(F.array(slot))
-    r = r.withColumn("__slot", F.explode(both))
-    a = anchors.select(*on, _micros(F.col(anchor_ts)).alias("__t"), F.col(anchor_id)).withColumn("__slot", slot)
-    w = Window.partitionBy(*on, "__slot").orderBy("__t").rangeBetween(-step, 0)
-    out = a.unionByName(r, allowMissingColumns=True).withColumns({
-        f"{prefix}__mean": F.avg("__v").over(w), f"{prefix}__min": F.min("__v").over(w), f"{prefix}__max": F.max("__v").over(w), f"{prefix}__sd": F.stddev_samp("__v").over(w), f"{prefix}__count": F.count("__v").over(w), "__seen": F.count("__is").over(w),
-    })
-    some = F.col("__t").isNotNull() & (F.col("__seen") > 0)
+    t = _micros(F.col(anchor_ts))
+    kinds = [F.struct(F.lit(k).alias("kind"), (t - (0 if k > 0 else step)).alias("t")) for k in (1, -1)]
+    a = anchors.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__k", F.explode(F.array(*kinds))).select(*on, anchor_id, "__rid", F.col("__k.kind").alias("__kind"), F.col("__k.t").alias("__t"))
+    r = readings.select(*on, F.lit(0).alias("__kind"), _micros(F.col(ts)).alias("__t"), F.col(value).cast("double").alias("__v"))
+    known = F.col("__t").isNotNull()
     for c in on:
-        some = some & F.col(c).isNotNull()
-    return out.where("__is is null").where(some).select(*on, anchor_id, *[f"{prefix}__{k}" for k in STATISTICS])
+        known = known & F.col(c).isNotNull()
+    rows = a.unionByName(r, allowMissingColumns=True).where(known).withColumn("__block", F.col("__t") - F.pmod("__t", F.lit(step)))
+    return _ends_of_windows(rows, on, [*on, anchor_id], prefix).where("__seen > 0").drop("__seen")
 
 
 def latest_before(anchors: DataFrame, samples: DataFrame, on: list[str], anchor_id: str, anchor_ts: str, ts: str, value: str, hours: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from telemill.functions.distributions import distance_class
 from telemill.functions.nulls import number
 
+from . import boosting, linear, network
 from .columns import check_no_metadata, common_columns, sensor_category
 from .quality import covered_columns
+from .quantiles import column_quantiles
 from .stats import modal_value, regression_scores
 
 
@@ -37,8 +40,8 @@ def prepare(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 
 def medians(train: DataFrame, features: list[str]) -> dict[str, float]:
-    row = train.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in features]).first()
-    return {c: 0.0 if row[c] is None else float(row[c]) for c in features}
+    """Exact medians of the training rows; 0 for a feature without values."""
+    return {c: q[0] or 0.0 for c, q in zip(features, column_quantiles(train, features, [0.5]), strict=True)}
 
 
 def filled(df: DataFrame, features: list[str], values: dict[str, float]) -> DataFrame:
@@ -47,7 +50,22 @@ def filled(df: DataFrame, features: list[str], values: dict[str, float]) -> Data
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str = "gbt", seed: int = 42, **settings) -> tuple[object, Metrics]:
-    """A model (gbt, forest or linear) on training rows and its scores on test rows."""
+    """A model on training rows and its scores on test rows.
+
+    Kinds: ``boosted`` (leaf-wise boosting, missing values as they are), ``network`` (with an embedding for each value of
+    the setting ``device``), and of pyspark.ml ``gbt``, ``forest`` and ``linear``, with training medians for missing
+    values.  The first two take a ``key``, columns that tell rows apart (all features and the target unless given).
+    """
+    if kind in ("boosted", "network"):
+        settings = dict(settings)
+        key = settings.pop("key", None) or [*features, target]
+        if kind == "boosted":
+            fitted = boosting.fit(train, features, target, key, boosting.Settings(seed=seed, **settings))
+        else:
+            device = settings.pop("device")
+            fitted = network.fit(train, features, device, target, key, network.Settings(seed=seed, **settings))
+        row = regression_scores(test.withColumns({"__y": F.col(target).cast("double"), "__p": fitted.prediction()}), "__y", "__p").first()
+        return fitted, Metrics(row.r2, row.mae, row.rmse, train.count(), row.n, features)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
@@ -84,8 +102,11 @@ def ablation(df: DataFrame, tiers: dict[str, list[str]], target: str, baseline:
 
 
 def leave_one_device_out(df: DataFrame, device: str, features: list[str], target: str, kind: str = "gbt", **settings) -> list[dict]:
-    """Train on all devices but one and score on that one."""
-    names = sorted(r[0] for r in df.select(device).where(F.col(device).isNotNull()).distinct().collect())
+    """Train on all devices but one and score on that one; straight lines are fitted all at once."""
+    names = device_names(df, device)
+    if kind == "linear" and not settings:
+        cases = [linear.Case(F.col(device) != d, F.col(device) == d, features) for d in names]
+        return [{"test_device": d, **as_metrics(s).rounded()} for d, s in zip(names, linear.scores(df, target, cases), strict=True)]
     out = []
     for d in names:
         _, m = fit_and_score(df.where(F.col(device) != d), df.where(F.col(device) == d), features, target, kind, **settings)
@@ -93,12 +114,60 @@ def leave_one_device_out(df: DataFrame, device: str, features: list[str], target
     return out
 
 
+def device_transfer(df: DataFrame, device: str, features: list[str], target: str) -> list[dict]:
+    """Straight lines of all other devices on each device, and of the training rows of all on their test rows (is_test)."""
+    names = device_names(df, device)
+    cases = [linear.Case(F.col(device) != d, F.col(device) == d, features) for d in names] + [linear.Case(~F.col("is_test"), F.col("is_test"), features)]
+    return [{"test_device": d, **as_metrics(s).rounded()} for d, s in zip([*names, "pooled"], linear.scores(df, target, cases), strict=True)]
+
+
+#: Share of training rows in which a feature must have a value.
+COVERAGE = 0.10
+#: Devices that a series of models may leave out one by one.
+MOST_DEVICES = 1000
+
+
+def device_names(df: DataFrame, device: str) -> list:
+    names = [r[0] for r in df.select(device).where(F.col(device).isNotNull()).distinct().limit(MOST_DEVICES + 1).collect()]
+    if len(names) > MOST_DEVICES:
+        raise ValueError(f"{device} has more than {MOST_DEVICES} values")
+    return sorted(names)
+
+
+def as_metrics(s: linear.Score) -> Metrics:
+    return Metrics(s.r2, s.mae, s.rmse, s.fit.n_train, s.n_test, s.fit.columns)
+
+
+def repeated_linear(df: DataFrame, seeds, tiers: dict[str, list[str]], target: str, baseline: str, pool: Column | None = None, pools: list = (None,), always: list[str] = ()) -> list[dict]:
+    """``ablation`` of straight lines for each pool and seed, in the same few passes however many there are.
+
+    ``df`` has a column ``is_test_<seed>`` for each seed (see ``splits.group_holdouts``).
+    """
+    names = [(p, s, t) for p in pools for s in seeds for t in tiers]
+    inside = lambda p: F.lit(True) if pool is None else pool == p
+    train = {(p, s): inside(p) & ~F.col(f"is_test_{s}") for p in pools for s in seeds}
+    cases = [linear.Case(train[p, s], inside(p) & F.col(f"is_test_{s}"), tiers[t], COVERAGE, list(always)) for p, s, t in names]
+    found = {n: as_metrics(s).rounded() for n, s in zip(names, linear.scores(df, target, cases), strict=True)}
+    out = []
+    for p, s, t in names:
+        m, base = found[p, s, t], found[p, s, baseline]["r2"]
+        out.append({"pool": p, "split_seed": s, "tier": t, **m, "delta_r2": None if m["r2"] is None or base is None else round(m["r2"] - base, 4)})
+    return out
+
+
 def repeated(df: DataFrame, split, seeds, tiers: dict[str, list[str]], target: str, baseline: str, **settings) -> list[dict]:
+    """``ablation`` under each seed's split: a fit for each seed and tier, for kinds that can't be fitted together."""
     return [r | {"split_seed": s} for s in seeds for r in ablation(split(df, s), tiers, target, baseline, **settings)]
 
 
 def cross_validated(df: DataFrame, fold: str, folds: int, features: list[str], target: str, kind: str = "gbt", **settings) -> list[dict]:
-    """Scores on each fold (0 to folds - 1) of models of the other ones; give it training rows only."""
+    """Scores on each fold (0 to folds - 1) of models of the other ones; give it training rows only.
+
+    Straight lines are fitted all at once.
+    """
+    if kind == "linear" and not settings:
+        cases = [linear.Case(F.col(fold) != k, F.col(fold) == k, features) for k in range(folds)]
+        return [{"fold": k, **as_metrics(s).rounded()} for k, s in enumerate(linear.scores(df, target, cases))]
     out = []
     for k in range(folds):
         _, m = fit_and_score(df.where(F.col(fold) != k), df.where(F.col(fold) == k), features, target, kind, **settings)
@@ -113,6 +182,13 @@ def window_ablation(windows: dict[int, DataFrame], base: list[str], target: str,
     """
     common = [c for c in common_columns([d.columns for d in windows.values()]) if c not in (*base, target, "is_test")]
     numbers = [c for c in common if dict(next(iter(windows.values())).dtypes)[c] in ("double", "float")]
+    if kind == "linear" and not settings:
+        every = reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("__length"), "is_test", target, *base, *numbers) for k, d in windows.items()])
+        at = lambda k, test: (F.col("__length") == k) & (F.col("is_test") if test else ~F.col("is_test"))
+        lengths = list(windows)
+        cases = [linear.Case(at(k, False), at(k, True), f) for k, f in [(lengths[0], base), *[(k, [*base, *numbers]) for k in lengths]]]
+        first, *rest = [as_metrics(s).rounded() for s in linear.scores(every, target, cases)]
+        return [{"window": k, **m, "delta_r2": None if m["r2"] is None or first["r2"] is None else round(m["r2"] - first["r2"], 4)} for k, m in zip(lengths, rest, strict=True)]
     out, floor = [], None
     for length, df in windows.items():
         train, test = df.where(~F.col("is_test")), df.where("is_test")

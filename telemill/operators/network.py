@@ -162,8 +162,8 @@ def pack(net: Network, df: DataFrame, target: str, key: list[str]) -> tuple[Data
     return written(dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(run, text), "network"), blocks
 
 
-def step_sums(packed: DataFrame, batch: list[int], weights: Weights, features: int) -> tuple[int, float, np.ndarray]:
-    """Rows, squared error and gradient of the blocks of a batch."""
+def step_sums(packed: DataFrame, batch: list[int] | None, weights: Weights, features: int) -> tuple[int, float, np.ndarray]:
+    """Rows, squared error and gradient of the blocks of a batch (None: of all)."""
     schema = pa.schema([("n", pa.int64()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def step_sums(packed: DataFrame, batch: list[int], weights: Weights, features: i
 
     some = packed if batch is None else packed.where(F.col("block").isin(batch))
     found = some.mapInArrow(run, "n long, sums binary").collect()
-    total = sum(np.frombuffer(r.sums, np.int64) for r in found) / STEPS
+    total = sum((np.frombuffer(r.sums, np.int64) for r in found), np.zeros(flat(weights).size + 1, np.int64)) / STEPS
     return sum(r.n for r in found), float(total[-1]), total[:-1]
 
 
@@ -199,7 +199,7 @@ def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[
     for _ in range(s.epochs):
         order, squares, rows = rnd.permutation(blocks).tolist(), 0.0, 0
         for at in range(0, blocks, each):
-            n, loss, g = step_sums(packed, None if each >= blocks else order[at : at + each], net.weights, len(features)) if blocks else (0, 0.0, 0.0)
+            n, loss, g = step_sums(packed, None if each >= blocks else order[at : at + each], net.weights, len(features))
             if not n:
                 continue
             step, g = step + 1, g / n

@@ -46,6 +46,55 @@ def _nth_hash(hashes: DataFrame, n: int, few: int = 1000) -> str:
             return sorted(x.h for x in hashes.where(F.col("h").startswith(begin)).collect())[n - before - 1]
 
 
+def group_holdouts(df: DataFrame, group: str, seeds: list[int], by: str | None = None, share: float = 0.2) -> DataFrame:
+    """``is_test_<seed>`` for each seed, as ``group_holdout`` gives it within each value of ``by``, in a few jobs for all.
+
+    The hashes at all cuts are found together, by counting groups by ever longer beginnings.  ``by`` has few values; rows
+    without a group are training rows.
+    """
+    of = F.col(by).cast("string") if by else F.lit("")
+    key = lambda seed: F.sha2(F.concat_ws(":", F.col(group).cast("string"), F.lit(str(seed))), 256)
+    groups = df.where(F.col(group).isNotNull()).select(of.alias("b"), F.col(group)).distinct()
+    hashes = groups.select("b", F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), key(s).alias("h")) for s in seeds])).alias("x")).select("b", "x.seed", "x.h")
+    # For each cut: the beginning of its hash so far, and how many of those within it come up to the cut.
+    cuts: dict[tuple[str, int], tuple[str, int]] | None = None
+    done: dict[tuple[str, int], str] = {}
+    for depth in range(0, 64, 3):
+        if cuts is not None and not cuts:
+            break
+        inside = hashes
+        if cuts is not None:
+            wanted = df.sparkSession.createDataFrame([(b, s, begin) for (b, s), (begin, _) in cuts.items()], "wb string, ws int, begin string")
+            inside = hashes.join(F.broadcast(wanted), F.col("b").eqNullSafe(F.col("wb")) & (F.col("seed") == F.col("ws")) & F.col("h").startswith(F.col("begin")))
+        counts: dict[tuple[str, int], list[tuple[str, int]]] = {}
+        for r in inside.groupBy("b", "seed", F.substring("h", depth + 1, 3).alias("d")).agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("least")).collect():
+            counts.setdefault((r.b, r.seed), []).append((r.d, r.c, r.least))
+        if cuts is None:
+            cuts = {k: ("", math.ceil(share * sum(c for _, c, _ in v))) for k, v in counts.items()}
+        after = {}
+        for k, (begin, left) in cuts.items():
+            if left < 1:
+                done[k] = ""
+                continue
+            for d, c, least in sorted(counts[k]):
+                if left <= c:
+                    if c == 1:
+                        done[k] = least
+                    else:
+                        after[k] = (begin + d, left)
+                    break
+                left -= c
+        cuts = after
+    out = {}
+    for s in seeds:
+        cut = F.lit(None).cast("string")
+        for (b, seed), h in done.items():
+            if seed == s:
+                cut = F.when(of.eqNullSafe(F.lit(b)), F.lit(h)).otherwise(cut)
+        out[f"is_test_{s}"] = F.coalesce(F.when(F.col(group).isNotNull(), key(s)) <= cut, F.lit(False))
+    return df.withColumns(out)
+
+
 #: Groups that a seeded permutation on the driver takes (8 bytes each there, a bit each on executors).
 MOST_PERMUTED = 1 << 28
 

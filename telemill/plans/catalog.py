@@ -26,7 +26,7 @@ def query(covers: str, oracle: str | None = None):
 
 
 #: Queries that fit models, which a fast run leaves out.
-NEEDS_MODEL = {"gbt_tier_ablation", "leave_one_device_out", "feature_importance", "cross_validation", "repeated_splits", "restricted_robustness", "window_ablation", "class_shift_of_tiers", "permutation_importance", "tier1_models", "device_transfer"}
+NEEDS_MODEL = {"gbt_tier_ablation", "leave_one_device_out", "feature_importance", "cross_validation", "repeated_splits", "restricted_robustness", "window_ablation", "class_shift_of_tiers", "permutation_importance", "tier1_models", "device_transfer", "tree_shapley_importance"}
 
 
 def chosen(only: list[str] = (), fast: bool = False) -> list[str]:

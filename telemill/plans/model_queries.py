@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemill.operators import align, models, splits, stats
+from telemill.operators import align, boosting, explain, models, splits, stats
 
 from .catalog import query, table
 
@@ -44,9 +44,8 @@ def frame_preparation(spark, sf_dir):
 )
 def cross_validation(spark, sf_dir):
     """Three folds of the training orders; a fifth of all orders isn't looked at."""
-    train = _lines(spark, sf_dir).where("l_orderkey % 5 != 0").withColumn("fold", F.col("l_orderkey") % 3).cache()
+    train = _lines(spark, sf_dir).where("l_orderkey % 5 != 0").withColumn("fold", F.col("l_orderkey") % 3)
     rows = models.cross_validated(train, "fold", 3, ["x"], "y", "linear")
-    train.unpersist()
     return spark.createDataFrame([{k: v for k, v in r.items() if k != "n_features"} for r in rows], "fold long, r2 double, mae double, rmse double, n_test long, n_train long")
 
 
@@ -62,14 +61,10 @@ _REPEATS = (
 
 @query("M14 M3 M11 M12", _REPEATS)
 def repeated_splits(spark, sf_dir):
-    """Two tiers on each pool under each seed's split."""
-    out = []
-    for pool in ("F", "O"):
-        rows = _lines(spark, sf_dir).where(F.col("device") == pool).cache()
-        found = models.repeated(rows, lambda df, seed: splits.group_holdout(df, "l_orderkey", seed), (42, 7), {"Tier 3": ["z"], "Tier 2b": ["x"]}, "y", "Tier 3", kind="linear")
-        out += [(pool, r["split_seed"], r["tier"], r["r2"], r["delta_r2"]) for r in found]
-        rows.unpersist()
-    return spark.createDataFrame(out, "device string, split_seed long, tier string, r2 double, delta_r2 double")
+    """Two tiers on each pool under each seed's split, all fitted together."""
+    rows = splits.group_holdouts(_lines(spark, sf_dir), "l_orderkey", [42, 7], "device")
+    found = models.repeated_linear(rows, (42, 7), {"Tier 3": ["z"], "Tier 2b": ["x"]}, "y", "Tier 3", F.col("device"), ["F", "O"])
+    return spark.createDataFrame([(r["pool"], r["split_seed"], r["tier"], r["r2"], r["delta_r2"]) for r in found], "device string, split_seed long, tier string, r2 double, delta_r2 double")
 
 
 @query(
@@ -146,25 +141,44 @@ def exact_group_holdout(spark, sf_dir):
     return splits.group_holdout_exact(table(spark, sf_dir, "nation"), "n_nationkey", 42)
 
 
+def _tier1(spark, sf_dir):
+    """Order sizes as a target that structure tells: the order's total price by its lines' sums, with values left out."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li.groupBy("l_orderkey").agg(*[F.round(F.sum(f"l_{c}"), 6).alias(c) for c in ("quantity", "extendedprice", "tax")], F.count(F.lit(1)).cast("double").alias("n_lines"), F.max("l_linestatus").alias("device"))
+    held = F.when(F.col("l_orderkey") % 11 > 0, F.col("quantity"))
+    return li.select("l_orderkey", "device", held.alias("quantity"), "n_lines", "tax", (F.col("extendedprice") / F.lit(1e6)).alias("y"), (F.col("l_orderkey") % 5 == 0).alias("is_test"))
+
+
+_TIER1 = ["quantity", "n_lines", "tax"]
+
+
 @query("M19 M6 M7 M8")
 def tier1_models(spark, sf_dir):
-    """Tier 1 (program structure and device) by boosted trees, a forest, and a line with a column for each device."""
-    rows = models.with_device_columns(_lines(spark, sf_dir), "device", ["F", "O"]).withColumn("is_test", F.col("l_orderkey") % 5 == 0)
-    train, test = rows.where("not is_test").cache(), rows.where("is_test").cache()
-    settings = {"gbt": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 5, "maxDepth": 4}, "linear": {}}
-    out = [(kind, *models.fit_and_score(train, test, ["x", "z", "is_0", "is_1"], "y", kind, **s)[1].rounded().values()) for kind, s in settings.items()]
+    """Tier 1 by leaf-wise boosted trees, a forest, and a network with device embeddings."""
+    rows = _tier1(spark, sf_dir).cache()
+    train, test = rows.where("not is_test"), rows.where("is_test")
+    settings = {"boosted": {"trees": 6, "rate": 0.4, "key": ["l_orderkey"]}, "forest": {"numTrees": 10, "maxDepth": 8}, "network": {"device": "device", "key": ["l_orderkey"], "epochs": 8, "batch": 32_768, "rate": 0.01, "hidden": 32}}
+    out = [(kind, *models.fit_and_score(train, test, _TIER1, "y", kind, **s)[1].rounded().values()) for kind, s in settings.items()]
+    rows.unpersist()
     return spark.createDataFrame(out, "model string, r2 double, mae double, rmse double, n_train long, n_test long, n_features long")
 
 
+@query("M20 A33 M6")
+def tree_shapley_importance(spark, sf_dir):
+    """Mean absolute Shapley value of each feature of a boosted model, by device, over all test rows."""
+    rows = _tier1(spark, sf_dir)
+    model = boosting.fit(rows.where("not is_test"), _TIER1, "y", ["l_orderkey"], boosting.Settings(trees=4, rate=0.5))
+    out = explain.importance(model, rows.where("is_test"), ["device"])
+    return out.select("device", "feature", "category", F.round("mean_abs", 9).alias("mean_abs"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "M13",
     f"WITH l AS (SELECT {_LINES}, l_orderkey % 5 = 0 AS test FROM lineitem), d AS (SELECT DISTINCT device AS test_device FROM l UNION ALL SELECT 'pooled'), f AS (SELECT test_device, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, count(*) AS n_train FROM l, d WHERE CASE WHEN test_device = 'pooled' THEN NOT test ELSE device <> test_device END GROUP BY 1), p AS (SELECT test_device, y, a * x + b AS q, n_train FROM l, f WHERE CASE WHEN test_device = 'pooled' THEN test ELSE device = test_device END) SELECT test_device, {_SCORES}, max(n_train) AS n_train FROM p GROUP BY 1",
 )
 def device_transfer(spark, sf_dir):
-    """Models of all other devices on each device, and a model of all on rows held out from all."""
-    rows = _lines(spark, sf_dir).withColumn("is_test", F.col("l_orderkey") % 5 == 0).cache()
-    out = models.leave_one_device_out(rows, "device", ["x"], "y", "linear")
-    pooled = models.fit_and_score(rows.where("not is_test"), rows.where("is_test"), ["x"], "y", "linear")[1].rounded()
-    rows.unpersist()
-    out = [{k: v for k, v in r.items() if k != "n_features"} for r in [*out, {"test_device": "pooled", **pooled}]]
+    """Models of all other devices on each device, and a model of all on rows held out from all, fitted together."""
+    rows = _lines(spark, sf_dir).withColumn("is_test", F.col("l_orderkey") % 5 == 0)
+    out = models.device_transfer(rows, "device", ["x"], "y")
+    out = [{k: v for k, v in r.items() if k != "n_features"} for r in out]
     return spark.createDataFrame(out, "test_device string, r2 double, mae double, rmse double, n_test long, n_train long")
