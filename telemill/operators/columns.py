@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,16 +40,21 @@ DEFAULT_RULES = (
 )
 
 
-def decide(columns: list[str], rules=DEFAULT_RULES, exact: dict[str, str] | None = None, features: tuple[str, ...] = TIER3) -> list[tuple[str, str, str]]:
-    """(column, action, reason): listed features, then exact names, then the first pattern; an unmatched name is an error."""
+def by_rules(name: str, rules=DEFAULT_RULES) -> tuple[str, str] | None:
+    """(action, reason) of the first rule that a name matches."""
+    return next(((r.action, r.reason) for r in rules if r.pattern.match(name)), None)
+
+
+def decide(columns: list[str], family: Callable[[str], tuple[str, str] | None] = by_rules, exact: dict[str, str] | None = None, features: tuple[str, ...] = TIER3) -> list[tuple[str, str, str]]:
+    """(column, action, reason): listed features, then exact names, then by family; a name that nothing decides is an error."""
     out, unknown = [], []
     for c in columns:
         if c in features:
             out.append((c, "feature", "program structure"))
         elif exact and c in exact:
             out.append((c, exact[c], "named"))
-        elif rule := next((r for r in rules if r.pattern.match(c)), None):
-            out.append((c, rule.action, rule.reason))
+        elif found := family(c):
+            out.append((c, *found))
         else:
             unknown.append(c)
     if unknown:

@@ -1,11 +1,11 @@
-"""Names of execution records' columns: what the final stages drop and keep by default, and a description of the format
-from which the final data set's rules follow."""
+"""Names of execution records' columns: what the final stages drop and keep by default, and how the final data set's
+columns are decided: by name, else by the parts of which the name is made."""
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
-from .columns import CHANNEL_STATISTICS, Rule
+from .columns import CHANNEL_STATISTICS
 
 # Column names of the record format.
 PAYLOAD_COLUMNS = tuple("""
@@ -38,16 +38,45 @@ PROTECTED_COLUMNS = tuple("""
 id parent_id sub_id batch_index batch_size is_batch_job executed_resource timestamp_scheduled timestamp_scheduled_utc timestamp_completed timestamp_completed_utc
 window_start_utc window_end_utc status shots sensor_merge_found calibration_time_delta_seconds
 """.split())
-# What single columns of a record are for.
-TARGET_COLUMNS = tuple("hellinger_native".split())
-IDENTITY_COLUMNS = tuple("parent_id sub_id executed_resource timestamp_completed_utc".split())
-CONTEXT_COLUMNS = tuple("hellinger_logical id status batch_size timestamp_submitted timestamp_scheduled".split())
-PROCESS_COLUMNS = tuple("sensor_merge_found batch_index is_batch_job timestamp_completed window_start_utc window_end_utc calibration_window_start_utc calibration_window_end_utc calibration_sample_ts_utc".split())
-# Calibration metrics of qubits (QB<n>_) and couplers (TC_<i>_<j>_): measured ones, such that are never given out, and such that only hold 0 or 1.
-QUBIT_MEASURED = tuple("t1_time t2_time t2_echo_time error_0_1 error_1_0".split())
-QUBIT_WITHHELD = tuple("anharmonicity frequency fidelity_1qb_cliffords_xy".split())
-QUBIT_BINARY = tuple("fidelity_1qb_gates_averaged single_shot_readout_fidelity".split())
-COUPLER_BINARY = tuple("cz_gate_fidelity fidelity_2qb_cliffords_averaged".split())
+#: What becomes of single columns in the final data set.
+EXACT_ACTIONS = {
+    "hellinger_native": "target",
+    "parent_id": "id",
+    "sub_id": "id",
+    "executed_resource": "id",
+    "timestamp_completed_utc": "id",
+    "hellinger_logical": "meta",
+    "id": "meta",
+    "status": "meta",
+    "sensor_merge_found": "drop",
+    "batch_index": "drop",
+    "batch_size": "meta",
+    "is_batch_job": "drop",
+    "timestamp_completed": "drop",
+    "timestamp_submitted": "meta",
+    "timestamp_scheduled": "meta",
+    "window_start_utc": "drop",
+    "window_end_utc": "drop",
+    "calibration_window_start_utc": "drop",
+    "calibration_window_end_utc": "drop",
+    "calibration_sample_ts_utc": "drop",
+}
+#: What becomes of calibration metrics, of qubits (QB<n>) and of couplers (TC_<i>_<j>).
+CALIBRATION_ACTIONS = {
+    ("qubit", "t1_time"): "feature",
+    ("qubit", "t2_time"): "feature",
+    ("qubit", "t2_echo_time"): "feature",
+    ("qubit", "error_0_1"): "feature",
+    ("qubit", "error_1_0"): "feature",
+    ("qubit", "anharmonicity"): "drop",
+    ("qubit", "frequency"): "drop",
+    ("qubit", "fidelity_1qb_cliffords_xy"): "drop",
+    ("qubit", "fidelity_1qb_gates_averaged"): "drop",
+    ("qubit", "single_shot_readout_fidelity"): "drop",
+    ("qubit", "readout_error"): "drop",
+    ("coupler", "cz_gate_fidelity"): "drop",
+    ("coupler", "fidelity_2qb_cliffords_averaged"): "drop",
+}
 # End of fixed values.
 
 SIDES = ("logical", "native")
@@ -59,36 +88,46 @@ DECOMPOSITION_KEEPS = tuple(f"{side}_depth_{when}_decompose" for side in SIDES f
 DEFAULT_KEEPS = (*PROTECTED_COLUMNS, *DAG_KEEPS, *DECOMPOSITION_KEEPS)
 
 
+@dataclass(frozen=True)
+class Name:
+    """A column's name, read: whose value it holds, which, and by which statistic of a window.
 
-def named_actions() -> dict[str, str]:
-    """What becomes of single columns in the final data set, by what they are for."""
-    purposes = {"target": TARGET_COLUMNS, "id": IDENTITY_COLUMNS, "meta": CONTEXT_COLUMNS, "drop": PROCESS_COLUMNS}
-    return {name: action for action, names in purposes.items() for name in names}
-
-
-def _any_of(names: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(map(re.escape, names)) + ")"
+    Owners are ``channel`` (a sensor's), ``qubit``, ``coupler``, and of program structure ``logical``, ``native``,
+    ``delta`` and ``ratio``.
+    """
 
+    owner: str
+    metric: str
+    statistic: str | None = None
 
-def family_rules() -> tuple[Rule, ...]:
-    """What becomes of whole families of columns: window statistics, calibration metrics, and the two sides' programs.
 
-    No two families have a name in common but the statistics of windows, whose suffix decides before anything else.
-    """
-    kept_statistics = tuple(x for x in CHANNEL_STATISTICS if x not in WINDOW_COUNTERS)
-    qubit, coupler = r"QB\d+", r"TC_\d+_\d+"
-    families = [
-        (rf".+__{_any_of(WINDOW_COUNTERS)}", "drop", "tells how a window was filled"),
-        (rf".+__{_any_of(kept_statistics)}", "feature", "statistic of a sensor's window"),
-        (rf"{qubit}_{_any_of(QUBIT_MEASURED)}", "feature", "measured by calibration"),
-        (rf"{qubit}_{_any_of(QUBIT_WITHHELD)}", "drop", "not given out"),
-        (rf"(?:{qubit}_{_any_of(QUBIT_BINARY)}|{coupler}_{_any_of(COUPLER_BINARY)})", "drop", "holds 0 or 1 only"),
-        (rf"readout_error_{qubit}", "drop", "the mean of two measured columns"),
-        (rf"{_any_of(SIDES)}_dag_.*", "drop", "where a program is stored"),
-        (rf"{_any_of((*SIDES, 'delta', 'ratio'))}_.*", "drop", "structure that isn't a chosen feature"),
-    ]
-    return tuple(Rule(re.compile(rf"^{pattern}$"), action, reason) for pattern, action, reason in families)
+def read(name: str) -> Name | None:
+    """A name of the families that a record has, by its parts between underscores; None for others."""
+    channel, sep, statistic = name.rpartition("__")
+    if sep and channel and statistic in CHANNEL_STATISTICS:
+        return Name("channel", channel, statistic)
+    parts = name.split("_")
+    head, rest = parts[0], "_".join(parts[1:])
+    numbered = lambda part: part[:2] == "QB" and part[2:].isdigit()
+    if numbered(head):
+        return Name("qubit", rest)
+    if numbered(parts[-1]) and parts[:-1] == ["readout", "error"]:
+        return Name("qubit", "readout_error")
+    if head == "TC" and len(parts) > 3 and parts[1].isdigit() and parts[2].isdigit():
+        return Name("coupler", "_".join(parts[3:]))
+    if head in (*SIDES, "delta", "ratio") and len(parts) > 1:
+        return Name(head, rest)
+    return None
 
 
-#: By name first, then by the first family; anything else is an error.
-EXACT_ACTIONS, FINAL_RULES = named_actions(), family_rules()
+def family(name: str) -> tuple[str, str] | None:
+    """(action, reason) for a name that isn't decided alone; None if it belongs to no family."""
+    n = read(name)
+    if n is None:
+        return None
+    if n.owner == "channel":
+        return ("drop", "tells how a window was filled") if n.statistic in WINDOW_COUNTERS else ("feature", "statistic of a sensor's window")
+    if n.owner in ("qubit", "coupler"):
+        action = CALIBRATION_ACTIONS.get((n.owner, n.metric))
+        return action and (action, "calibration metric")
+    return "drop", "where a program is stored" if n.metric.startswith("dag_") else "structure that isn't a chosen feature"

@@ -159,7 +159,7 @@ def clean(rows: DataFrame, zone: str = "Europe/Berlin", sparse: float = 0.01) ->
     and targets become numbers (anything else that stands there is an error), times become UTC.
     """
     kept = merge.drop_groups_with(rows, "parent_id", F.col("status") == "CANCELLED")
-    decided = columns.decide(kept.columns, record_columns.FINAL_RULES, record_columns.EXACT_ACTIONS)
+    decided = columns.decide(kept.columns, record_columns.family, record_columns.EXACT_ACTIONS)
     by = lambda *actions: [c for c, a, _ in decided if a in actions]
     numeric = [*by("feature"), *[c for c in ("hellinger_native", "hellinger_logical", "batch_size") if c in kept.columns]]
     quality.check_numbers(kept, numeric)

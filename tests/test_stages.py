@@ -66,3 +66,15 @@ def test_build_and_clean(spark, jobs):
 def test_default_lists():
     assert len(record_columns.DEFAULT_DROPS) == len(set(record_columns.DEFAULT_DROPS)) == 90
     assert (len(record_columns.DAG_KEEPS), len(record_columns.PROTECTED_COLUMNS)) == (24, 17)
+
+
+@pytest.mark.parametrize(
+    ("name", "wanted"),
+    [
+        ("sc_t__mean", "feature"), ("sc_t__count", "drop"), ("x__y__fallback_used", "drop"), ("__mean", None), ("QB12_t1_time", "feature"), ("QB1_frequency", "drop"), ("QB1_new", None), ("QBx_t1_time", None),
+        ("TC_1_2_cz_gate_fidelity", "drop"), ("TC_1_cz_gate_fidelity", None), ("readout_error_QB3", "drop"), ("readout_error_3", None), ("native_dag_ref", "drop"), ("ratio_depth", "drop"), ("delta", None), ("other_depth", None),
+    ],
+)
+def test_names_are_read_by_their_parts(name, wanted):
+    found = record_columns.family(name)
+    assert (found and found[0]) == wanted
