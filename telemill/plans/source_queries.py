@@ -38,7 +38,7 @@ def blob_store(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for part in (docs.where("lang = 'en'"), docs):
         blobs.insert_ignore(spark, blobs.blobs(part, "text", "document"), path)
-    return spark.read.schema(blobs.SCHEMA).parquet(path).select("ref", "nbytes")
+    return blobs.stored(spark, path).select("ref", "nbytes")
 
 
 @query("S4 S6 S7 S10 S11 S13 F3 P7 P22", "SELECT doc_id, lang, n_chars FROM documents WHERE source IS NULL OR source <> 'src0'")
