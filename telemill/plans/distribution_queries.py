@@ -22,6 +22,10 @@ def _long(spark, sf_dir):
     return d.long_distance(d.long_shares(events, ["user_id"], "event_type"), d.long_shares(events, [], "event_type"), ["user_id"], "event_type")
 
 
+#: Outcomes of a distribution that is handed to every task as a map.
+MOST_IN_A_MAP = 10_000
+
+
 def _maps(spark, sf_dir):
     """user_id, p and q: the user's and the overall shares as maps.  q has one row."""
     events = table(spark, sf_dir, "events")
@@ -49,6 +53,10 @@ def l1_user_vs_global(spark, sf_dir):
 
 @query("D3 E18 D14 D17", f"WITH {_SHARES} SELECT user_id, round(h, 6) AS hellinger, round(1 - h, 6) AS fidelity FROM (SELECT user_id, sqrt(0.5 * sum((sqrt(s) - sqrt(q)) ** 2)) AS h FROM u GROUP BY 1)")
 def hellinger_map_form(spark, sf_dir):
+    """By maps where the overall distribution is small enough to be handed to every task; else as rows."""
+    if table(spark, sf_dir, "events").select("event_type").distinct().limit(MOST_IN_A_MAP + 1).count() > MOST_IN_A_MAP:
+        h = d.unit_interval(F.col("hellinger"))
+        return _long(spark, sf_dir).select("user_id", F.round(h, 6).alias("hellinger"), F.round(1 - h, 6).alias("fidelity"))
     h = d.unit_interval(d.hellinger(F.col("p"), F.col("q")))
     return _maps(spark, sf_dir).select("user_id", F.round(h, 6).alias("hellinger"), F.round(1 - h, 6).alias("fidelity"))
 

@@ -28,36 +28,6 @@ def result_documents(spark, sf_dir):
     return spark.createDataFrame(out, "pool string, file string, n long, mean double, seed long")
 
 
-@query(
-    "S12 M23 H14",
-    "SELECT * FROM (VALUES ('dataset', 'here/data.parquet'), ('fallback', 'default.parquet'), ('folder', 'out_poolB'), ('windows', '120=b,300=a'), ('seed', '7'), ('only', 'a,b'), ('fast', 'true'), ('refused', 'true'), ('needs model', 'gbt_tier_ablation,leave_one_device_out')) AS v(name, value)",
-)
-def driver_settings(spark, sf_dir):
-    """What drivers make of their flags and of where a data set may be; queries that fit models, by the catalogue."""
-    import os
-
-    from . import catalog
-
-    before = os.environ.pop(io.DATASET_VARIABLE, None)
-    try:
-        fallback = io.resolve_dataset(["/nowhere/at/all.parquet"], "default.parquet")
-        os.environ[io.DATASET_VARIABLE] = "here/data.parquet"
-        dataset = io.resolve_dataset(["/nowhere/at/all.parquet"], "default.parquet")
-    finally:
-        os.environ.pop(io.DATASET_VARIABLE)
-        if before is not None:
-            os.environ[io.DATASET_VARIABLE] = before
-    a = io.arguments("--pool poolB --results out --seed 7 --fast --only a b --windows 300=a 120=b".split())
-    try:
-        io.window_paths(["ten=x"])
-        refused = "false"
-    except ValueError:
-        refused = "true"
-    slow = [n for n in catalog.chosen(only=["gbt_tier_ablation", "leave_one_device_out", "row_counts"]) if n not in catalog.chosen(fast=True)]
-    rows = {"dataset": dataset, "fallback": fallback, "folder": a["folder"], "windows": ",".join(f"{k}={v}" for k, v in a["windows"].items()), "seed": str(a["seed"]), "only": ",".join(a["only"]), "fast": str(a["fast"]).lower(), "refused": refused, "needs model": ",".join(sorted(slow))}
-    return spark.createDataFrame(list(rows.items()), "name string, value string")
-
-
 _REPORTED = ("l_orderkey AS job_id", "l_quantity AS sc_cryo_t__mean", "CASE WHEN l_returnflag = 'R' THEN l_tax END AS QB1_t1_time", "l_discount AS hellinger_native", "l_linenumber AS sc_cryo_t__count")
 
 
@@ -99,13 +69,26 @@ def listed_columns(spark, sf_dir):
     return li.select(*names)
 
 
+#: Entries of a manifest, which is one document.
+MOST_LISTED = 100_000
+
+
+def _listed(df, key):
+    """The rows of a manifest, by key; more than a document should hold are an error."""
+    rows = df.limit(MOST_LISTED + 1).collect()
+    if len(rows) > MOST_LISTED:
+        raise ValueError("too many entries for a manifest")
+    return sorted(rows, key=lambda r: r[key])
+
+
 @query(
     "S28 H16 P14",
     f"WITH n AS (SELECT n_nationkey, {_CITY} AS city, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0) SELECT 'Lab/' || city || '-T' AS path, 'sensor' AS kind, lower(r_name) AS category, 'lab__' || city || '_t' AS name, n_nationkey % 2 = 0 AS in_data FROM n UNION ALL SELECT 'QB' || n_nationkey || '/t1_time', 'qubit', NULL, 'QB' || n_nationkey || '_t1_time', n_nationkey % 2 = 0 FROM nation WHERE n_nationkey % 5 = 0",
 )
 def manifest_lookup(spark, sf_dir):
     """Channels of a manifest with switched-off entries, and which of them a table has as columns, in whatever case."""
-    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").limit(1000).collect()
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = _listed(places, "n_nationkey")
     manifest: dict = {"sensor_categories": {}, "qubits": {}}
     for r in places:
         city = r.n_name.lower().replace(" ", "_")
@@ -131,7 +114,7 @@ def file_fingerprints(spark, sf_dir):
     """A file's checksum, and a footer's columns and counts against what a manifest and a text say."""
     base = scratch(spark, "files")
     nation = table(spark, sf_dir, "nation")
-    names = [r.n_name for r in nation.orderBy("n_nationkey").limit(1000).collect()]
+    names = [r.n_name for r in _listed(nation, "n_nationkey")]
     io.write_document(spark, "\n".join(names), f"{base}/names.txt")
     io.write(nation.coalesce(1), f"{base}/nation.parquet")
     schema = json.loads(io.parquet_metadata(spark, f"{base}/nation.parquet")["org.apache.spark.sql.parquet.row.metadata"])
@@ -142,32 +125,13 @@ def file_fingerprints(spark, sf_dir):
     return files.select("sha256", "nbytes", F.lit(len(names)).cast("long").alias("rows"), F.lit(",".join(f["name"] for f in schema["fields"])).alias("columns"), F.lit(len(wrong)).cast("long").alias("wrong"))
 
 
-_DAG = "'ok ref hash blob_bytes depth num_qubits num_clbits op_nodes twoq_ops measure_ops layers gate_histogram'"
-
-
-@query(
-    "P4 P5 P6 P20 P21",
-    f"WITH s AS (SELECT unnest(['logical', 'native']) AS side), d AS (SELECT side || '_dag_' || unnest(string_split({_DAG}, ' ')) AS name FROM s), k AS (SELECT name FROM d UNION ALL SELECT side || '_depth_' || w || '_decompose' FROM s, (VALUES ('before'), ('after')) AS v(w)), t AS (SELECT side || '_' || unnest(string_split('n_qubits n_clbits depth size n_1q_gates n_2q_gates n_measure twoq_ratio connectedness liveliness', ' ')) AS name FROM s UNION ALL SELECT 'shots')"
-    " SELECT 'kept' AS list, name FROM k UNION ALL SELECT 'kept', unnest(string_split('id parent_id shots status', ' ')) UNION ALL SELECT 'tier 1', name FROM t UNION ALL SELECT 'tier 1', 'device_encoded' UNION ALL SELECT 'tier 3', name FROM t UNION ALL SELECT 'dropped', unnest(string_split('circuit result owner row_drop_reason', ' ')) UNION ALL SELECT 'release', unnest(['job_id', 'native_depth'])",
-)
-def column_lists(spark, sf_dir):
-    """What the default lists make of a record's columns, and the feature tiers."""
-    sides = ("logical", "native")
-    have = ["id", "parent_id", "shots", "status", "circuit", "result", "owner", *record_columns.DAG_KEEPS, *record_columns.DECOMPOSITION_KEEPS, *[f"{s}_dag_error" for s in sides], "row_drop_reason"]
-    present, _, kept = columns.drops(have, list(record_columns.DEFAULT_DROPS), [], list(record_columns.DEFAULT_KEEPS))
-    dropped = [c for c in columns.drop_set(have, ["result", "absent"], ["circuit"], ["owner", "row_drop_reason", "shots"], protected=["shots"], keep=["id"]) if c in present]
-    rows = [("kept", c) for c in kept] + [("tier 1", c) for c in columns.TIER1] + [("tier 3", c) for c in columns.TIER3] + [("dropped", c) for c in dropped]
-    rows += [("release", columns.release_name("id", False, {"id": "job_id"})), ("release", columns.release_name("native_depth", True, {"native_depth": "x"}))]
-    return spark.createDataFrame(rows, "list string, name string")
-
-
 @query(
     "P14 P16 P17 P18 H12 H13",
     f"WITH c AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'sc_cal_q' || n_nationkey || '_t1' WHEN n_nationkey % 3 = 1 THEN 'sc_' || {_CITY} || '__mean' ELSE 'ion_' || {_CITY} || '__value' END AS name FROM nation) SELECT name, CASE WHEN k % 3 = 2 THEN 'trapped ion' ELSE 'superconducting' END AS device, CASE WHEN k % 3 = 0 THEN 'calibration' ELSE 'sensor' END AS kind, k % 4 <> 0 AS common, k % 3 = 2 AS leaks FROM c UNION ALL SELECT 'shots', NULL, 'program', true, false UNION ALL SELECT 'job_id', NULL, 'refused', true, false",
 )
 def device_column_sets(spark, sf_dir):
     """Columns of each device, columns that all data sets have, and features that a device must not use."""
-    places = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1000).collect()
+    places = _listed(table(spark, sf_dir, "nation"), "n_nationkey")
     city = lambda r: r.n_name.lower().replace(" ", "_")
     name = {r.n_nationkey: f"sc_cal_q{r.n_nationkey}_t1" if r.n_nationkey % 3 == 0 else f"sc_{city(r)}__mean" if r.n_nationkey % 3 == 1 else f"ion_{city(r)}__value" for r in places}
     schemas = [["shots", "job_id", *name.values()], ["job_id", *[n for k, n in name.items() if k % 4 != 0], "shots", "other"]]

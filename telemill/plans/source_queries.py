@@ -103,3 +103,14 @@ def feature_importance(spark, sf_dir):
     features = ["l_quantity", "l_discount", "l_tax"]
     model, m = models.fit_and_score(split.where("not is_test"), split.where("is_test"), features, "target", "forest", numTrees=5, maxDepth=4)
     return spark.createDataFrame([(f, round(w, 6)) for f, w in models.importance(model, m.features)], "feature string, importance double")
+
+
+@query("E1", "SELECT n_nationkey AS key, n_name || ' it''s \\' || chr(10) || n_nationkey AS text FROM nation WHERE n_name || ' it''s \\' <> 'FRANCE it''s \\'")
+def quoted_names(spark, sf_dir):
+    """Names and texts with quotes, backslashes and line ends, written into SQL."""
+    name, odd = "a `b' \"c", " it's \\"
+    rows = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", name)
+    parts = f"n_name || {io.literal(odd)}"
+    return rows.selectExpr(f"{io.quoted(name)} AS key", f"{parts} || {io.literal(chr(10))} || {io.quoted(name)} AS text").where(
+        f"substring_index(text, {io.literal(chr(10))}, 1) <> {io.literal('FRANCE' + odd)}"
+    )

@@ -41,6 +41,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(text: str | None) -> str:
+    """A text as a SQL literal: in single quotes, with quotes and backslashes that stand for themselves."""
+    return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def unique_names(names: list[str]) -> list[str]:
     """Without repeats, in order."""
     return list(dict.fromkeys(names))
@@ -141,20 +146,21 @@ def manifest_channels(text: str) -> list[dict]:
 
 
 def select_value(text: str, selector: str):
-    """One value of a result: ``a.b.c`` in JSON, or ``column|key=value|...`` in CSV with a header."""
+    """One value of a result: ``a.b.c`` in JSON, or ``column|key=value|...`` in CSV with a header; None if it isn't there."""
     if "|" in selector:
         import csv
         import io
 
         column, *conditions = selector.split("|")
         wanted = dict(c.split("=", 1) for c in conditions)
-        for row in csv.DictReader(io.StringIO(text)):
-            if all(row.get(k) == v for k, v in wanted.items()):
-                return float(row[column])
-        raise KeyError(selector)
+        found = next((r for r in csv.DictReader(io.StringIO(text)) if all(r.get(k) == v for k, v in wanted.items())), {})
+        return float(found[column]) if found.get(column) not in (None, "") else None
     at = json.loads(text)
     for part in selector.split("."):
-        at = at[int(part)] if isinstance(at, list) else at[part]
+        if isinstance(at, list):
+            at = at[int(part)] if part.isdigit() and int(part) < len(at) else None
+        else:
+            at = at.get(part) if isinstance(at, dict) else None
     return at
 
 
