@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter
 
@@ -234,11 +235,15 @@ def test_line_dedup_by_shuffles_gives_the_same(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
-@pytest.mark.parametrize("cell", [1 << 20, 60])
-def test_line_dedup_below_hot_keys(spark, monkeypatch, cell):
-    """Lines of which most share a segment, or two, are found by the rest of them, in whatever cells they meet."""
-    monkeypatch.setattr(linededup, "HOT_ROWS", 20)
+@pytest.mark.parametrize(("cell", "overfull"), [(1 << 20, 1 << 17), (60, 1 << 17), (1 << 20, 15), (60, 15)])
+def test_line_dedup_below_hot_keys(spark, monkeypatch, cell, overfull):
+    """Lines of which most share a segment, or two, are found by the rest of them, in whatever cells they meet.
+
+    The key may be known as hot beforehand, or may only turn out to have too many rows.
+    """
+    monkeypatch.setattr(linededup, "HOT_ROWS", 20 if overfull > 15 else 1 << 30)
     monkeypatch.setattr(linededup, "CELL", cell)
+    monkeypatch.setattr(linededup, "OVERFULL", overfull)
     rng = random.Random(12)
     texts, k = {}, 0
     for head, tail in (("all of these lines begin alike: ", ""), ("", " is what these lines end with"), ("a beginning that is common, ", ", and an end that is common")):
@@ -252,11 +257,22 @@ def test_line_dedup_below_hot_keys(spark, monkeypatch, cell):
             k += 1
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     table = linededup._lines(df, 2, 20, 20)
-    assert len(linededup._hot(table)[1][0]) > 3
+    assert (len(linededup._hot(table)[1][0]) > 3) == (overfull > 15)
     dropped = brute_lines(texts, 2, 20)
     assert {r.doc_id for r in linededup.without_repeats(df).collect() if r.n_repeats} == {k for k, _ in dropped} and len(dropped) < len(texts) - 100
 
 
+def test_lines_of_blanks_take_linear_time():
+    blanks = " " * 1_000_000
+    texts = [f"{blanks}x y{blanks}", " \t", "", None, *["ab cd"] * 5000, f"a\r\n {blanks}\n b"]
+    began = time.perf_counter()
+    buf, text, number, starts, ends = linededup.split_lines(texts)
+    assert time.perf_counter() - began < 1
+    raw = buf.tobytes()
+    assert [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == [b"x y", b"", b"", b"", *[b"ab cd"] * 5000, b"a", b"", b"b"]
+    assert text.tolist()[-3:] == [5004] * 3 and number.tolist()[-3:] == [0, 1, 2]
+
+
 def thue_morse(n):
     return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
 

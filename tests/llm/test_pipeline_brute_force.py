@@ -27,14 +27,14 @@ def walk(model, row):
 
 def without_repeats(texts, edits=2, least=20):
     lines = [(k, i, x.strip(" \t\r\x0b\x0c").encode()) for k in sorted(texts) for i, x in enumerate(texts[k].split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     distinct = sorted({x[2] for x in lines})
     sizes = np.array([len(x) for x in distinct])
     letters = np.array([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in distinct])
     u = Union(range(len(distinct)))
     for i, a in enumerate(distinct):
         # An edit changes the counts of two letters at most; the table decides on what is left.
-        near = np.flatnonzero((np.abs(sizes[:i] - sizes[i]) <= edits) & (np.abs(letters[:i] - letters[i]).sum(axis=1) <= 2 * edits))
+        near = np.flatnonzero((sizes[i] >= least) & (sizes[:i] >= least) & (np.abs(sizes[:i] - sizes[i]) <= edits) & (np.abs(letters[:i] - letters[i]).sum(axis=1) <= 2 * edits))
         for j in near:
             if linededup._small(a, distinct[j]) <= edits:
                 u.join(i, int(j))
