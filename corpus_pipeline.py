@@ -31,12 +31,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of 20 bytes or more that repeat, or nearly repeat, an earlier line of the corpus.
+    """All documents, without lines that repeat an earlier line of the corpus: equal ones unless blank, nearly equal ones
+    from 20 bytes on.
 
     Earlier is by id (null at last), hash of the text and number of the line; of repeated rows the first keeps its lines.
     A text of which nothing is left becomes empty and stays.
     """
-    return _counted(linededup.without_repeats(docs).drop("n_lines", "n_repeats"))
+    return _counted(linededup.without_repeats(docs, equal=1).drop("n_lines", "n_repeats"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
