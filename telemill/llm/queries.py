@@ -30,7 +30,7 @@ def with_oracle(oracle: str):
     return lambda f: query(f, oracle)
 
 
-@query
+@with_oracle(sql.sharding(sharding.round_keys(), sharding.SHARDS))
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")

@@ -40,7 +40,15 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str, number: str
     return numbered.drop("__part", "__pos", "__start"), total
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20240607) -> DataFrame:
+SHARDS, SEED = 16, 20240607
+
+
+def round_keys(seed: int = SEED) -> list[int]:
+    """The permutation's round keys, by which anyone can compute a row's place."""
+    return [int(k) for k in ArrayPermutation(0, seed).keys]
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, row_no, place, shard and slot of every row of ``docs`` (columns doc_id and text).
 
     A null text counts as empty (size 1, checksum 0); repeated rows and null or repeated ids are rows like any other;

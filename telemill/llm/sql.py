@@ -51,3 +51,30 @@ SPELLING = (
     " chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)"
     " SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL"
 )
+
+_TEXT_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)"
+_TWO64 = "18446744073709551616::HUGEINT"
+
+
+def _times(x: str, factor: int) -> str:
+    """A product modulo 2**64, by halves, as 128 bits wouldn't hold it."""
+    return f"((({x}) // 4294967296 * {factor}::HUGEINT) % 4294967296 * 4294967296 + ({x}) % 4294967296 * {factor}::HUGEINT) % {_TWO64}"
+
+
+def sharding(keys: list[int], shards: int) -> str:
+    """The ``rows`` law: rows in order, their numbers under a Feistel network of these round keys with cycle walking."""
+    first = f"xor(z, z // {1 << 30})"
+    second = f"xor(y, y // {1 << 27})"
+    third = f"xor(x, x // {1 << 31})"
+    return (
+        f"WITH RECURSIVE {_STEPS}, d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, {_crc(_TEXT_BYTES)} AS text_crc32 FROM documents, crc),"
+        " o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_no FROM d),"
+        " c AS (SELECT count(*)::HUGEINT AS n, (2 ** greatest(1, (length(bin(greatest(count(*), 2) - 1)) + 1) // 2))::HUGEINT AS half FROM d),"
+        f" k AS (SELECT unnest({list(range(len(keys)))}) AS r, unnest([{', '.join(f'{v}::HUGEINT' for v in keys)}]) AS v),"
+        " f(row_no, r, a, b) AS (SELECT row_no, 0, row_no::HUGEINT // half, row_no::HUGEINT % half FROM o, c"
+        f" UNION ALL SELECT row_no, CASE WHEN r = {len(keys)} THEN 0 ELSE r + 1 END, CASE WHEN r = {len(keys)} THEN a ELSE b END, CASE WHEN r = {len(keys)} THEN b ELSE xor(a, m % half) END FROM ("
+        f"SELECT *, {third} AS m FROM (SELECT *, {_times(second, 0x94D049BB133111EB)} AS x FROM (SELECT *, {_times(first, 0xBF58476D1CE4E5B9)} AS y FROM ("
+        f"SELECT f.*, half, (b + coalesce(v, 0)) % {_TWO64} AS z FROM f LEFT JOIN k USING (r), c WHERE NOT (r = {len(keys)} AND a * half + b < n))))))"
+        f" SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {shards})::INT AS shard, (place // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, row_no"
+        f" FROM o JOIN (SELECT row_no, a * half + b AS place FROM f, c WHERE r = {len(keys)} AND a * half + b < n) USING (row_no)"
+    )

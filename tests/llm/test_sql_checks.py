@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from oracles import connect, oracle_rows, rows_of
 
 from conftest import DATA
 from telemill.llm import queries
@@ -47,6 +48,11 @@ def test_rows_law(results):
     none(results, "(SELECT doc_id, coalesce(strlen(text), 0) + 1 FROM documents) EXCEPT ALL (SELECT doc_id, size FROM op6)")
 
 
+def test_sharding_equals_its_oracle(spark):
+    name = "op6_feistel_sharding"
+    assert rows_of(queries.QUERIES[name](spark, FOLDER)) == oracle_rows(connect(FOLDER), queries.ORACLES[name])
+
+
 def test_gapless_sequences(results):
     none(results, 'SELECT 1 FROM (SELECT "offset" AS o, coalesce(sum(length) OVER (PARTITION BY sequence_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length) OVER (PARTITION BY sequence_id) AS filled FROM op10) WHERE o <> before OR filled > 2048')
     none(results, "SELECT 1 FROM (SELECT start AS s, coalesce(sum(length) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS k, piece, length FROM op10) WHERE s <> before OR k <> piece OR (piece > 0 AND length <> 2048)")
