@@ -21,27 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns
+from .bpe import PATTERN, byte_letters, check_settings
 from .sharding import number_rows
 from .workspace import materialise
 
 CAPACITY, CLOSING_ID = 2048, 0
-#: Fixed value: the word pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: themselves if printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (uint32) under the text of a ``tokenizers`` byte-level BPE file.
 
-    Where ids are in the order of merges, as in that file, ranks alone define the merges, and the ids come from
-    tiktoken, which is several times faster and gives the same ids; texts it can't take, such that hold the name of an
-    added token, and other files, go through ``tokenizers`` itself, as it is.
+    Where ids are in the order of merges and all settings are those of that file, ranks alone define the merges, and the
+    ids come from tiktoken, which is several times faster and gives the same ids; texts it can't take, such that hold the
+    name of an added token, and files with any other setting, go through ``tokenizers`` itself, as it is.
     """
     from tokenizers import Tokenizer
 
@@ -53,7 +45,11 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     file = json.loads(vocabulary)
     model, added = file["model"], [t["content"] for t in file.get("added_tokens", [])]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    if file.get("normalizer") or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+    try:
+        check_settings(file)
+    except ValueError:
+        return plain
+    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
         return plain
     import tiktoken
 

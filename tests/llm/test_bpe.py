@@ -145,3 +145,20 @@ def test_merges_out_of_order_are_refused():
     file["model"]["merges"].reverse()
     with pytest.raises(ValueError, match="order"):
         bpe.Coder(json.dumps(file))
+
+
+def test_packing_follows_other_settings(path, library):
+    """A file with another setting is encoded by the library itself."""
+    from tokenizers import Tokenizer
+
+    from telemill.llm import packing
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    texts = ["word and word", "", " x", "12 34"]
+    for where, change in (("pre_tokenizer", {"add_prefix_space": True}), ("model", {"ignore_merges": True})):
+        other = json.dumps({**file, where: {**file[where], **change}})
+        theirs = Tokenizer.from_str(other)
+        mine = packing.encoder(other)
+        assert [mine(t).tolist() for t in texts] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    assert theirs.encode("word", add_special_tokens=False).ids == library.encode("word", add_special_tokens=False).ids
