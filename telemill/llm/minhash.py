@@ -6,8 +6,9 @@ one-symbol errors are enumerated by leaving out each symbol of each chunk: every
 left-out place and the other symbols.  So all pairs within LIMIT meet, whatever else.  A key gives one link for each of
 its members, and of the members that one task has only one is shuffled.
 
-What meets hangs together in families, for which one row a member is enough.  Small families are compared in one task
-each.  All members of a large one are first compared with a few of them, the pivots, on whole shingle sets; what hangs on
+What meets hangs together in families, for which one row a member is enough.  A large family is looked at once more: of
+what shares a key in it, only pairs within LIMIT hold together, so documents that merely have a weak neighbour each fall
+into small families of their own.  Small families are compared in one task each.  All members of one that is still large are first compared with a few of them, the pivots, on whole shingle sets; what hangs on
 one group of connected pivots needs no comparison among itself, so only the others are compared with all, in blocks of
 bounded size.  There pairs within LIMIT are confirmed on whole sets, inside the task, and only links that connect
 something new leave it.  So neither pairs nor links are ever listed by the square of a group's size.
@@ -109,6 +110,57 @@ def _met(keys: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
     return {"a": a.view(np.int64), "b": b.view(np.int64)}
 
 
+def _key_groups(keys: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
+    """What shares a key: (g, node, centre), where equal groups of several keys have the same g.
+
+    A group of more than BLOCK members gives links from its smallest node (centre; else -1) instead.
+    """
+    keys, nodes = distinct(keys, nodes)
+    begins, ends = runs(keys)
+    size = ends - begins
+    name = np.add.reduceat(mix(nodes), begins) if len(begins) else nodes
+    group = np.repeat(mix(name + size.astype(np.uint64)), size)
+    centre = np.repeat(np.where(size > BLOCK, nodes[begins].view(np.int64), -1), size)
+    use = (np.repeat(size, size) > 1) & (centre != nodes.view(np.int64))
+    group = np.where(centre < 0, group, np.uint64(0))
+    # Of each group once in a bucket, and of each link.
+    order = np.lexsort((nodes[use], centre[use], group[use]))
+    g, node, c = group[use][order], nodes[use][order], centre[use][order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1]) | (c[1:] != c[:-1])
+    return {"g": g[new].view(np.int64), "node": node[new].view(np.int64), "centre": c[new]}
+
+
+def _near_signatures(columns: dict) -> list[tuple[int, int]]:
+    """Links that connect what pairs within LIMIT connect in a group: from each component's first member to its others."""
+    sig = np.frombuffer(b"".join(columns["signature"]), "<u2").reshape(-1, SYMBOLS)
+    near = np.zeros((len(sig), len(sig)), dtype=bool)
+    for at in range(0, len(sig), 64):
+        far = np.zeros((len(sig[at : at + 64]), len(sig)), dtype=np.uint8)
+        for k in range(SYMBOLS):
+            far += sig[at : at + 64, k][:, None] != sig[:, k][None, :]
+        near[at : at + 64] = far <= LIMIT
+    label = np.arange(len(sig))
+    while True:
+        least = np.where(near, label[None, :], len(sig)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    node = columns["node"]
+    return [(node[k], node[i]) for i, k in enumerate(label.tolist()) if k != i]
+
+
+def _tight_families(large: DataFrame) -> DataFrame:
+    """(node, family) of members of loose families (node, signature) that have a partner within LIMIT, or may have one."""
+    rows = large.select("node", "signature")
+    groups = shared_keys(rows, _key_pairs, rows.count() * SYMBOLS, lambda k, v: (k, v), _key_groups, "g long, node long, centre long")
+    groups = materialise(groups.distinct(), "key-groups")
+    stars = groups.where("centre >= 0").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    members = groups.where("centre < 0").select("g", "node").join(rows, "node")
+    found = map_groups(members.select("g", "node", "signature"), ["g"], lambda _, c: _near_signatures(c), "a long, b long")
+    return components(found.unionByName(stars), "tight-families").withColumnRenamed("component", "family")
+
+
 def _shared_counts(rows: list[np.ndarray], cols: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Sizes of all intersections of sorted distinct sets, as parts of one (rows, cols) matrix that add up to it."""
     values, number = np.unique(np.concatenate(rows + cols), return_inverse=True)
@@ -259,8 +311,13 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     met = shared_keys(classes.select("node", "signature"), _key_pairs, classes.count() * SYMBOLS, _combined, _met, "a long, b long")
     family = components(met, "families").withColumnRenamed("component", "family")
     family = materialise(family.join(classes, "node"), "family-members")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    loose = materialise(sizes.where(blocks > 1).select("family"), "loose-families")
+    if loose.limit(1).count():
+        tight = _tight_families(family.join(loose, "family", "left_semi")).join(classes, "node")
+        family = materialise(family.join(loose, "family", "left_anti").unionByName(tight), "family-members")
+        sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     wanted = family.join(sizes.select("family", blocks.alias("blocks")), "family").select("family", "blocks", "node", "holder", "digest", "signature")
 
     # Their whole sets, from the texts: a class is found again by the id and the hash of the text of one of its rows.

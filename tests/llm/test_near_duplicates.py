@@ -262,6 +262,57 @@ def test_line_dedup_below_hot_keys(spark, monkeypatch, cell, overfull):
     assert {r.doc_id for r in linededup.without_repeats(df).collect() if r.n_repeats} == {k for k, _ in dropped} and len(dropped) < len(texts) - 100
 
 
+def templates(spark, n, seed=5):
+    """Documents of ten paragraphs out of a pool: each has weak neighbours, whose number doesn't depend on n; some are near copies."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20)) for _ in range(n // 10)]
+    texts = {k: " ".join(rng.choice(pool) for _ in range(10)) for k in range(n)}
+    for k in range(0, n - 1, 50):
+        texts[k + 1] = texts[k] + " one more word"
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts
+
+
+def test_weak_neighbours_dont_make_large_families(spark, monkeypatch):
+    """What one connected family would compare all with all is parted by the pairs that are near at all."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    docs, texts = templates(spark, 1500)
+    seen = []
+    plain = minhash._links_within
+    monkeypatch.setattr(minhash, "_links_within", lambda members, percent: seen.append(members) or plain(members, percent))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    sets, wanted = brute_components(texts)
+    assert got == wanted and len(set(wanted.values())) < len(texts)
+    sizes = [r["count"] for r in seen[0].groupBy("family").count().collect()]
+    assert max(sizes) < 300 and sum(x * x for x in sizes) < 1500 * 1500 / 20
+
+
+@pytest.mark.parametrize("block", [2, 8, 1024])
+def test_groups_of_keys_connect_what_is_near(block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, size=(6, minhash.SYMBOLS)).astype(np.uint16)
+    sig = np.repeat(base, 8, axis=0)
+    for k in range(len(sig)):
+        at = rng.permutation(minhash.SYMBOLS)[: rng.integers(0, 24)]
+        sig[k, at] = rng.integers(0, 1 << 16, size=len(at))
+    keys = shingles.mix(minhash.keys_of(sig).ravel().view(np.uint64))
+    nodes = np.repeat(np.arange(len(sig), dtype=np.uint64), minhash.SYMBOLS)
+    order = np.argsort(keys)
+    out = minhash._key_groups(keys[order], nodes[order])
+    u = Union(range(len(sig)))
+    for a, b in zip(out["centre"].tolist(), out["node"].tolist(), strict=True):
+        if a >= 0:
+            u.join(a, b)
+    for g in set(out["g"][out["centre"] < 0].tolist()):
+        members = sorted(set(out["node"][(out["g"] == g) & (out["centre"] < 0)].tolist()))
+        for a, b in minhash._near_signatures({"node": members, "signature": [sig[m].astype("<u2").tobytes() for m in members]}):
+            u.join(a, b)
+    for a in range(len(sig)):
+        for b in range(a):
+            if (sig[a] != sig[b]).sum() <= minhash.LIMIT:
+                assert u.find(a) == u.find(b)
+
+
 def test_lines_of_blanks_take_linear_time():
     blanks = " " * 1_000_000
     texts = [f"{blanks}x y{blanks}", " \t", "", None, *["ab cd"] * 5000, f"a\r\n {blanks}\n b"]
