@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemill.functions.distributions import distance_class
 from telemill.operators import align, boosting, explain, models, splits, stats
 
 from .catalog import query, table
@@ -165,11 +166,11 @@ def tier1_models(spark, sf_dir):
 
 @query("M20 A33 M6")
 def tree_shapley_importance(spark, sf_dir):
-    """Mean absolute Shapley value of each feature of a boosted model, by device, over all test rows."""
-    rows = _tier1(spark, sf_dir)
+    """Mean absolute Shapley value of each feature of a boosted model, by device and class of the target, over all test rows."""
+    rows = _tier1(spark, sf_dir).withColumn("class", distance_class(F.col("y")))
     model = boosting.fit(rows.where("not is_test"), _TIER1, "y", ["l_orderkey"], boosting.Settings(trees=4, rate=0.5))
-    out = explain.importance(model, rows.where("is_test"), ["device"])
-    return out.select("device", "feature", "category", F.round("mean_abs", 9).alias("mean_abs"), F.col("rank").cast("long").alias("rank"))
+    out = explain.importance(model, rows.where("is_test"), ["device", "class"])
+    return out.select("device", "class", "feature", "category", F.round("mean_abs", 9).alias("mean_abs"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(

@@ -140,3 +140,14 @@ def streaming_tumbling_windows(spark, sf_dir):
     events = windows.file_stream(spark, sf_dir, "events.parquet", schema).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     out = windows.drain(windows.tumbling(events, "ts", "event_type", "value", "1 day"), scratch(spark, "tumbling"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "largest")
+
+
+@query("J15", _DAYS)
+def streaming_windows_flushed(spark, sf_dir):
+    """All windows of a finished table: those that the stream has written, and those that it still holds at its end."""
+    source = table(spark, sf_dir, "events")
+    typed = lambda df: df.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    stream = typed(windows.file_stream(spark, sf_dir, "events.parquet", source.schema))
+    done = windows.drain(windows.tumbling(stream, "ts", "event_type", "value", "1 day"), scratch(spark, "flushed"))
+    out = done.unionByName(windows.unfinished(typed(source), "ts", "event_type", "value", "1 day"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), "least", "largest")

@@ -15,7 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if where.startswith("file:") or "://" not in where:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; a warehouse on the driver's disk isn't one")
+        return where
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="telemill-")
