@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -68,9 +68,12 @@ class _Node:
 _BLOCKS = "n int, bins binary, y binary, now binary, mark binary"
 
 
-def pack(df: DataFrame, features: list[str], target: str, key: list[str], edges: list[np.ndarray], base: float) -> DataFrame:
-    """Blocks of the rows that have a target: bins by feature, target, prediction so far, and a number from the key."""
-    rows = df.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(target).cast("double").alias("y"), F.xxhash64(*key).alias("mark"))
+def pack(df: DataFrame, features: list[str], target: str, key: list[str], edges: list[np.ndarray], base: float, mark: Column | None = None) -> DataFrame:
+    """Blocks of the rows that have a target: bins by feature, target, prediction so far, and a number from the key.
+
+    ``mark`` is that number, if it isn't to be a hash of the key.
+    """
+    rows = df.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(target).cast("double").alias("y"), (F.xxhash64(*key) if mark is None else mark).alias("mark"))
     schema = to_arrow_schema(_parse_datatype_string(_BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from telemill.functions.distributions import distance_class
 from telemill.functions.nulls import number
 
-from . import boosting, linear, network
+from . import boosting, forest, linear, network
 from .columns import check_no_metadata, common_columns, sensor_category
 from .quality import covered_columns
 from .quantiles import column_quantiles
@@ -53,12 +53,17 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], target
     """A model on training rows and its scores on test rows.
 
     Kinds: ``boosted`` (leaf-wise boosting, missing values as they are), ``network`` (with an embedding for each value of
-    the setting ``device``), and of pyspark.ml ``gbt``, ``forest`` and ``linear``, with training medians for missing
-    values.  The first two take a ``key``, columns that tell rows apart (all features and the target unless given).
+    the setting ``device``), ``full_forest`` (grown to small leaves; it predicts at once, so there is no model to return),
+    and of pyspark.ml ``gbt``, ``forest`` and ``linear``, with training medians for missing values.  The first three take
+    a ``key``, columns that tell rows apart (all features and the target unless given).
     """
-    if kind in ("boosted", "network"):
+    if kind in ("boosted", "network", "full_forest"):
         settings = dict(settings)
         key = settings.pop("key", None) or [*features, target]
+        if kind == "full_forest":
+            scored = forest.predict(train, test.withColumn("__y", F.col(target).cast("double")), features, target, key, "__p", forest.Settings(seed=seed, **settings))
+            row = regression_scores(scored, "__y", "__p").first()
+            return None, Metrics(row.r2, row.mae, row.rmse, train.count(), row.n, features)
         if kind == "boosted":
             fitted = boosting.fit(train, features, target, key, boosting.Settings(seed=seed, **settings))
         else:
