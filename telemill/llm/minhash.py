@@ -131,34 +131,70 @@ def _key_groups(keys: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
     return {"g": g[new].view(np.int64), "node": node[new].view(np.int64), "centre": c[new]}
 
 
+def _far(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many symbols signatures differ: a matrix, for at most BLOCK by BLOCK of them."""
+    far = np.zeros((len(sig), len(others)), dtype=np.uint8)
+    for k in range(SYMBOLS):
+        far += sig[:, k][:, None] != others[:, k][None, :]
+    return far
+
+
+def _near_pivots(columns: dict) -> list[tuple[int, int]]:
+    """Links within LIMIT from pivots to each other, and from the first that is near to each other member of a block."""
+    sig = np.frombuffer(b"".join(columns["signature"]), "<u2").reshape(-1, SYMBOLS)
+    node, is_pivot = np.array(columns["node"]), np.array(columns["is_pivot"], dtype=bool)
+    pivots, others = np.flatnonzero(is_pivot), np.flatnonzero(~is_pivot)
+    among = np.argwhere(np.triu(_far(sig[pivots], sig[pivots]) <= LIMIT, 1))
+    near = _far(sig[others], sig[pivots]) <= LIMIT
+    hit = near.any(axis=1)
+    first = pivots[near[hit].argmax(axis=1)]
+    pairs = [(node[pivots[i]], node[pivots[j]]) for i, j in among] + list(zip(node[first], node[others[hit]], strict=True))
+    return [(int(x), int(y)) for x, y in pairs]
+
+
 def _near_signatures(columns: dict) -> list[tuple[int, int]]:
-    """Links that connect what pairs within LIMIT connect in a group: from each component's first member to its others."""
+    """Links between labels that connect what pairs within LIMIT connect in a group; what has one label is connected."""
     sig = np.frombuffer(b"".join(columns["signature"]), "<u2").reshape(-1, SYMBOLS)
-    near = np.zeros((len(sig), len(sig)), dtype=bool)
-    for at in range(0, len(sig), 64):
-        far = np.zeros((len(sig[at : at + 64]), len(sig)), dtype=np.uint8)
-        for k in range(SYMBOLS):
-            far += sig[at : at + 64, k][:, None] != sig[:, k][None, :]
-        near[at : at + 64] = far <= LIMIT
-    label = np.arange(len(sig))
+    names, start = np.unique(np.array(columns["label"]), return_inverse=True)
+    if len(names) < 2:
+        return []
+    near = _far(sig, sig) <= LIMIT
+    label = start.copy()
     while True:
         least = np.where(near, label[None, :], len(sig)).min(axis=1)
+        of_name = np.full(len(names), len(sig))
+        np.minimum.at(of_name, start, least)
+        least = of_name[start]
         if (least == label).all():
             break
         label = least
-    node = columns["node"]
-    return [(node[k], node[i]) for i, k in enumerate(label.tolist()) if k != i]
+    return [(int(names[x]), int(names[y])) for x, y in np.unique(np.stack((label, start), axis=1), axis=0).tolist() if x != y]
 
 
 def _tight_families(large: DataFrame) -> DataFrame:
-    """(node, family) of members of loose families (node, signature) that have a partner within LIMIT, or may have one."""
-    rows = large.select("node", "signature")
-    groups = shared_keys(rows, _key_pairs, rows.count() * SYMBOLS, lambda k, v: (k, v), _key_groups, "g long, node long, centre long")
+    """(node, family) of members of loose families (family, node, signature) that have a partner within LIMIT, or may have one.
+
+    Members are first compared with a few of their family; what is near one of these needs no link of its own later on.
+    """
+    rows = large.select("family", "node", "signature")
+    sizes = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "family").withColumn("is_pivot", (F.col("node") == F.col("family")) | (F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts") * max(1, BLOCK // PIVOTS)) == 0))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pivots = dealt.where("is_pivot").select("family", part.alias("i"), "node", "is_pivot", "signature")
+    others = dealt.where("not is_pivot").select("family", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node", "is_pivot", "signature")
+    star = materialise(map_groups(pivots.unionByName(others), ["family", "i"], lambda _, c: _near_pivots(c), "a long, b long"), "near-pivots")
+    label = star.join(pivots.select(F.col("node").alias("b")).distinct(), "b", "left_anti").select(F.col("b").alias("node"), F.col("a").alias("label"))
+    labelled = rows.select("node", "signature").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialise(labelled, "labelled")
+
+    groups = shared_keys(labelled.select("node", "signature"), _key_pairs, labelled.count() * SYMBOLS, lambda k, v: (k, v), _key_groups, "g long, node long, centre long")
     groups = materialise(groups.distinct(), "key-groups")
-    stars = groups.where("centre >= 0").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    members = groups.where("centre < 0").select("g", "node").join(rows, "node")
-    found = map_groups(members.select("g", "node", "signature"), ["g"], lambda _, c: _near_signatures(c), "a long, b long")
-    return components(found.unionByName(stars), "tight-families").withColumnRenamed("component", "family")
+    found = map_groups(groups.where("centre < 0").select("g", "node").join(labelled, "node").select("g", "node", "label", "signature"), ["g"], lambda _, c: _near_signatures(c), "a long, b long")
+    name = labelled.select("node", "label")
+    hubs = groups.where("centre >= 0").join(name, "node").select("centre", F.col("label").alias("b")).distinct()
+    hubs = hubs.join(name.select(F.col("node").alias("centre"), F.col("label").alias("a")), "centre").select("a", "b")
+    edges = star.unionByName(found).unionByName(hubs).where("a != b")
+    return components(edges, "tight-families").withColumnRenamed("component", "family")
 
 
 def _shared_counts(rows: list[np.ndarray], cols: list[np.ndarray]) -> Iterator[np.ndarray]:

@@ -300,12 +300,19 @@ def test_groups_of_keys_connect_what_is_near(block, monkeypatch):
     order = np.argsort(keys)
     out = minhash._key_groups(keys[order], nodes[order])
     u = Union(range(len(sig)))
+    label = {k: k for k in range(len(sig))}
+    raw = [x.astype("<u2").tobytes() for x in sig]
+    for a, b in minhash._near_pivots({"node": list(label), "is_pivot": [k in (0, 9, 11) for k in label], "signature": raw}):
+        assert (sig[a] != sig[b]).sum() <= minhash.LIMIT
+        u.join(a, b)
+        if b not in (0, 9, 11):
+            label[b] = a
     for a, b in zip(out["centre"].tolist(), out["node"].tolist(), strict=True):
         if a >= 0:
             u.join(a, b)
     for g in set(out["g"][out["centre"] < 0].tolist()):
         members = sorted(set(out["node"][(out["g"] == g) & (out["centre"] < 0)].tolist()))
-        for a, b in minhash._near_signatures({"node": members, "signature": [sig[m].astype("<u2").tobytes() for m in members]}):
+        for a, b in minhash._near_signatures({"node": members, "label": [label[m] for m in members], "signature": [sig[m].astype("<u2").tobytes() for m in members]}):
             u.join(a, b)
     for a in range(len(sig)):
         for b in range(a):
