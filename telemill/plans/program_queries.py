@@ -120,7 +120,7 @@ def gbt_tier_ablation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 110_000).alias("target"))
     li = splits.group_holdout(li.withColumn("l_orderkey", F.col("l_orderkey")), "l_orderkey", 42)
     tiers = {"Tier 3": ["l_quantity"], "Tier 2a": ["l_discount", "l_tax"], "Tier 2b": ["l_quantity", "l_discount", "l_tax"]}
-    rows = models.ablation(li, tiers, "target", "Tier 3", maxIter=5, maxDepth=3)
+    rows = models.ablation(li, tiers, "target", "Tier 3", kind="boosted", trees=2, rate=0.5)
     return spark.createDataFrame(rows, "tier string, r2 double, mae double, rmse double, n_train long, n_test long, n_features long, delta_r2 double")
 
 
