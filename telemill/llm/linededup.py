@@ -47,6 +47,8 @@ OVERFULL = 1 << 17
 LINE_MARKS = 1 << 26
 _BLANKS = b" \t\r\x0b\x0c"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The bit that tells keys below a hot key from those of whole lines.
+_BELOW = np.uint64(1)
 
 
 def windows(edits: int) -> list[tuple[int, int, int]]:
@@ -82,7 +84,7 @@ def split_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _key(hashes: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
     salt = np.array([segment + 1], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix(hashes + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
+    return mix(hashes + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) & ~_BELOW
 
 
 def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +262,7 @@ def _below(sums, starts, ends, line, key, cells, node, way, edits) -> list[tuple
             low, high = np.minimum(own[many], other), np.maximum(own[many], other)
             k = mix(k[many] + mix((low * n[many] + high).astype(np.uint64) * _ODD))
             value = value[many]
-        out.append((k, value))
+        out.append((k | _BELOW, value))
     return out
 
 
@@ -305,8 +307,9 @@ def _hot(found: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
 def _groups(keys_: np.ndarray, values: np.ndarray, block: int, overfull: float = float("inf")) -> dict[str, np.ndarray]:
     """Groups of bounded size of the lines that share keys: (g, node, side); left ones are compared with right ones.
 
-    Side 0 is left, 1 right, 2 both.  A key with more rows than ``OVERFULL`` only gives its number of rows as node, with
-    side 3: it has to be treated as a hot one.
+    Side 0 is left, 1 right, 2 both.  A key of whole lines with more rows than ``OVERFULL`` only gives its number of rows
+    as node, with side 3: it has to be treated as a hot one.  Keys below a hot one have nothing below them, so all of
+    their lines are compared, however many they are.
     """
     keys_, values = distinct(keys_, values)
     one = np.uint64(1)
@@ -315,7 +318,7 @@ def _groups(keys_: np.ndarray, values: np.ndarray, block: int, overfull: float =
     some = (np.maximum.reduceat(indexed, begins) == 1) & (node[begins] != node[ends - 1])
     scale = np.maximum.reduceat(node >> one & np.uint64(63), begins).astype(np.int64)
     most = np.clip(BLOCK_BYTES >> np.minimum(scale, 40), 1, block)
-    over = some & (ends - begins > overfull)
+    over = some & (ends - begins > overfull) & (keys_[begins] & _BELOW == 0)
     some &= ~over
     small = ends - begins <= most
     use = np.repeat(some & small, ends - begins)

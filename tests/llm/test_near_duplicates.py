@@ -262,6 +262,25 @@ def test_line_dedup_below_hot_keys(spark, monkeypatch, cell, overfull):
     assert {r.doc_id for r in linededup.without_repeats(df).collect() if r.n_repeats} == {k for k, _ in dropped} and len(dropped) < len(texts) - 100
 
 
+def test_overfull_keys_below_hot_keys_are_compared():
+    """Only a key of whole lines may give way in a second pass, as that finds no others again."""
+    rng = random.Random(3)
+    lines = ["a common beginning, and a common middle: " + "".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(60)]
+    buf, _, _, starts, ends = linededup._lines_of(["\n".join(lines)], 20)
+    ids = linededup._identities(buf, starts, ends)
+    plain, _ = linededup._pairs(buf, starts, ends, ids, 2)
+    found, n = np.unique(plain, return_counts=True)
+    hot = found[n > 50]
+    keys, values = linededup._pairs(buf, starts, ends, ids, 2, (hot, np.ones(len(hot), np.int64)))
+    below = np.setdiff1d(keys, plain)
+    groups = linededup._groups(keys, values, 1024, 15)
+    over = groups["g"][groups["side"] == 3].view(np.uint64)
+    sizes = dict(zip(*np.unique(keys, return_counts=True), strict=True))
+    assert len(hot) and max(sizes[k] for k in below) > 15
+    assert not len(np.intersect1d(over, below))
+    assert len(linededup._groups(plain, np.arange(len(plain), dtype=np.uint64) * np.uint64(2) + np.uint64(1), 1024, 15)["g"])
+
+
 def templates(spark, n, seed=5):
     """Documents of ten paragraphs out of a pool: each has weak neighbours, whose number doesn't depend on n; some are near copies."""
     rng = random.Random(seed)
