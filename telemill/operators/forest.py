@@ -138,19 +138,21 @@ def _sums(blocks: DataFrame, features: int, trees: dict[int, Tree], slots: dict[
     schema = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, features, 2, SLOTS), dtype=np.int64)
+        # By place alone, so that a block's work doesn't grow with the number of nodes.
+        total = np.zeros((features, 2, count * SLOTS), dtype=np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
                 bins, y, base, mark = boosting._opened(batch, k, features)
-                steps = np.rint((base - y) * scale)
+                steps = np.rint((base - y) * scale).astype(np.int64)
                 for t, slot in slots.items():
                     at, w = slot[trees[t].ends(bins)], drawn(mark, t, s.seed)
-                    for i in np.unique(at[(at >= 0) & (w > 0)]).tolist():
-                        rows = np.flatnonzero((at == i) & (w > 0))
-                        for f in range(features):
-                            total[i, f, 0] += np.bincount(bins[f, rows], w[rows], SLOTS).astype(np.int64)
-                            total[i, f, 1] += np.bincount(bins[f, rows], w[rows] * steps[rows], SLOTS).astype(np.int64)
-        rows = [(i, f, total[i, f].tobytes()) for i in range(count) for f in range(features) if total[i, f, 0].any()]
+                    rows = np.flatnonzero((at >= 0) & (w > 0))
+                    place, some = at[rows] * SLOTS, w[rows]
+                    for f in range(features):
+                        np.add.at(total[f, 0], place + bins[f, rows], some)
+                        np.add.at(total[f, 1], place + bins[f, rows], some * steps[rows])
+        total = total.reshape(features, 2, count, SLOTS)
+        rows = [(i, f, total[f, :, i].tobytes()) for i in range(count) for f in range(features) if total[f, 0, i].any()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

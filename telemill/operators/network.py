@@ -1,7 +1,8 @@
 """A small network with device embeddings, trained by mini-batches whose gradients executors work out.
 
-Rows are packed once in blocks by a hash of their key.  Each step hands the weights to the tasks that hold the blocks of
-its batch; a block's gradient is rounded to whole numbers of a tiny step, so sums don't depend on which tasks hold which
+Rows are packed once in blocks by a hash of their key, and executors keep these, each in a known partition.  Each step
+hands the weights to the tasks that hold the blocks of its batch, and runs no others, so an epoch reads each block about
+once; a block's gradient is rounded to whole numbers of a tiny step, so sums don't depend on which tasks hold which
 blocks.  The driver keeps the weights and the optimiser's state; what it gets for a step is a gradient for each task
 that holds blocks of the batch, so at most ``batch / BLOCK`` of them.
 """
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +27,8 @@ from .quantiles import column_quantiles
 
 #: Rows of a block on average; steps of 1 in a gradient's whole numbers; devices that a model can tell apart.
 BLOCK, STEPS, MOST_DEVICES = 2048, float(1 << 36), 10_000
+#: Partitions over which blocks are dealt at most.
+MOST_PARTS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -162,26 +166,38 @@ def pack(net: Network, df: DataFrame, target: str, key: list[str]) -> tuple[Data
     return written(dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(run, text), "network"), blocks
 
 
-def step_sums(packed: DataFrame, batch: list[int] | None, weights: Weights, features: int) -> tuple[int, float, np.ndarray]:
+@dataclass
+class Held:
+    """Blocks that executors keep: block k is in partition ``k // each``."""
+
+    rows: RDD
+    each: int
+
+    @classmethod
+    def of(cls, packed: DataFrame, blocks: int) -> Held:
+        each = -(-blocks // MOST_PARTS)
+        rows = packed.rdd.map(lambda r: (r.block, (r.n, r.x, r.device, r.y))).partitionBy(-(-blocks // each), lambda k: k // each)
+        return cls(rows.persist(StorageLevel.MEMORY_AND_DISK), each)
+
+
+def step_sums(held: Held, batch: list[int] | None, weights: Weights, features: int) -> tuple[int, float, np.ndarray]:
     """Rows, squared error and gradient of the blocks of a batch (None: of all)."""
-    schema = pa.schema([("n", pa.int64()), ("sums", pa.binary())])
+    wanted = None if batch is None else set(batch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
         n, total = 0, None
-        for b in batches:
-            for k in range(b.num_rows):
-                raw = lambda c: b[c][k].as_buffer()  # noqa: B023, E731
-                rows = b["n"][k].as_py()
-                loss, g = gradient(weights, np.frombuffer(raw("x")).reshape(rows, features), np.frombuffer(raw("device"), np.int32), np.frombuffer(raw("y")))
+        for block, (rows, x, device, y) in blocks:
+            if wanted is None or block in wanted:
+                loss, g = gradient(weights, np.frombuffer(x).reshape(rows, features), np.frombuffer(device, np.int32), np.frombuffer(y))
                 whole = np.rint(np.append(flat(g), loss) * STEPS).astype(np.int64)
                 n, total = n + rows, whole if total is None else total + whole
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], schema=schema)
+            yield n, total.tobytes()
 
-    some = packed if batch is None else packed.where(F.col("block").isin(batch))
-    found = some.mapInArrow(run, "n long, sums binary").collect()
-    total = sum((np.frombuffer(r.sums, np.int64) for r in found), np.zeros(flat(weights).size + 1, np.int64)) / STEPS
-    return sum(r.n for r in found), float(total[-1]), total[:-1]
+    parts = None if batch is None else sorted({k // held.each for k in batch})
+    found = held.rows.context.runJob(held.rows, run, parts)
+    total = sum((np.frombuffer(sums, np.int64) for _, sums in found), np.zeros(flat(weights).size + 1, np.int64)) / STEPS
+    return sum(n for n, _ in found), float(total[-1]), total[:-1]
 
 
 def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[str], settings: Settings | None = None) -> Network:
@@ -193,13 +209,14 @@ def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[
     s = settings or Settings()
     net = prepared(df, features, device, s)
     packed, blocks = pack(net, df, target, key)
+    held = Held.of(packed, blocks)
     rnd, each = np.random.default_rng(s.seed), max(1, s.batch // BLOCK)
     now = flat(net.weights)
     first, second, step = np.zeros_like(now), np.zeros_like(now), 0
     for _ in range(s.epochs):
         order, squares, rows = rnd.permutation(blocks).tolist(), 0.0, 0
         for at in range(0, blocks, each):
-            n, loss, g = step_sums(packed, None if each >= blocks else order[at : at + each], net.weights, len(features))
+            n, loss, g = step_sums(held, None if each >= blocks else order[at : at + each], net.weights, len(features))
             if not n:
                 continue
             step, g = step + 1, g / n
@@ -207,4 +224,5 @@ def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[
             now = now - s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             net.weights, squares, rows = shaped(now, net.weights), squares + loss, rows + n
         net.losses.append(squares / max(rows, 1))
+    held.rows.unpersist()
     return net
