@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a task sorts and groups at once, about.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows by hash of ``by``, in as many partitions as they ask for, so that a task's memory doesn't grow with the table."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *by)
+
+
 def _stars(edges: DataFrame, large: bool, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One star step over undirected edges (hi, lo) with hi > lo.
 
@@ -54,8 +63,14 @@ def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] | None =
 
 
 def connectedness(df: DataFrame, by: list[str], u: str, v: str) -> DataFrame:
-    """(by, nodes, edges, connectedness): share of possible undirected edges that exist; null below two nodes."""
-    pair = F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
-    ends = df.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(*by, F.explode(F.array(F.col(u), F.col(v))).alias("x"), F.when(F.col(u) != F.col(v), pair).alias("e"))
-    out = ends.groupBy(*by).agg(F.count_distinct("x").alias("nodes"), F.count_distinct("e").alias("edges"))
+    """(by, nodes, edges, connectedness): share of possible undirected edges that exist; null below two nodes.
+
+    Nodes and edges are told apart by one distinct of pairs, a node being a pair with itself, so rows that are already
+    dealt by ``by`` aren't shuffled again.
+    """
+    pair = lambda a, b: F.struct(F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b"))
+    both = df.where(F.col(u).isNotNull() & F.col(v).isNotNull())
+    pairs = both.select(*by, F.explode(F.array_distinct(F.array(pair(u, u), pair(v, v), pair(u, v)))).alias("__p"))
+    pairs = pairs.select(*by, "__p.__a", "__p.__b").distinct()
+    out = pairs.groupBy(*by).agg(F.count_if(F.col("__a") == F.col("__b")).alias("nodes"), F.count_if(F.col("__a") != F.col("__b")).alias("edges"))
     return out.withColumn("connectedness", F.try_divide(2.0 * F.col("edges"), F.nullif((F.col("nodes") * (F.col("nodes") - 1)).cast("double"), F.lit(0.0))))

@@ -18,7 +18,8 @@ from .catalog import query, table
 )
 def connectedness_by_order(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.lead("l_suppkey").over(w).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    pairs = graphs.dealt(rows, "l_orderkey").select("l_orderkey", "l_suppkey", F.lead("l_suppkey").over(w).alias("v"))
     return graphs.connectedness(pairs, ["l_orderkey"], "l_suppkey", "v").withColumn("connectedness", F.round("connectedness", 6))
 
 

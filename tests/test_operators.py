@@ -278,3 +278,14 @@ def test_rank_correlation_equals_plain_ranks(spark):
     want = {g: (len(f), f.x.rank().corr(f.y.rank())) for g, f in frame.groupby("g")}
     got = {r.g: (r.n, r.rho) for r in stats.spearman(df, "x", "y", ["g"]).collect()}
     assert set(got) == set(want) and all(got[g][0] == want[g][0] and got[g][1] == pytest.approx(want[g][1]) for g in want)
+
+
+def test_tasks_of_connectedness_stay_small(spark, monkeypatch):
+    """Partitions grow with the rows, and what is dealt by group isn't shuffled again."""
+    monkeypatch.setattr(graphs, "TASK_ROWS", 100)
+    df = graphs.dealt(spark.range(1000).select((F.col("id") % 50).alias("g"), (F.col("id") % 7).alias("u"), (F.col("id") % 3).alias("v")), "g")
+    assert df.rdd.getNumPartitions() == 10
+    out = graphs.connectedness(df, ["g"], "u", "v")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    pairs = {g: {frozenset((k % 7, k % 3)) for k in range(g, 1000, 50)} for g in range(50)}
+    assert {r.g: (r.nodes, r.edges) for r in out.collect()} == {g: (len(frozenset().union(*p)), sum(len(x) == 2 for x in p)) for g, p in pairs.items()}
