@@ -52,8 +52,9 @@ def _programs(spark, sf_dir):
     "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations), c AS (SELECT conv_id, turn, count(*) AS n, count_if(length(w) % 3 = 0) AS h, count_if(length(w) % 3 = 1) AS x, count_if(length(w) % 3 = 2) AS z FROM w GROUP BY ALL) SELECT conv_id, turn, true AS parse_ok, 4::DOUBLE AS n_qubits, (n + 4)::DOUBLE AS size, (h + z + 4)::DOUBLE AS n_1q_gates, x::DOUBLE AS n_2q_gates, 4::DOUBLE AS n_measure, round(x / (n + 4)::DOUBLE, 6) AS twoq_ratio, (CASE WHEN x > 0 THEN 1 ELSE 0 END)::DOUBLE AS component_count, greatest(h + x, z)::DOUBLE + 1 AS depth FROM c",
 )
 def circuit_features(spark, sf_dir):
-    out = circuits.with_structures(_programs(spark, sf_dir), {"program": "logical"})
-    return out.select("conv_id", "turn", "logical.parse_ok", *[f"logical.{c}" for c in ("n_qubits", "size", "n_1q_gates", "n_2q_gates", "n_measure", "component_count", "depth")], F.round("logical.twoq_ratio", 6).alias("twoq_ratio"))
+    features = ["n_qubits", "size", "n_1q_gates", "n_2q_gates", "n_measure", "component_count", "depth"]
+    out = circuits.with_structure(_programs(spark, sf_dir), "program", "logical", ["parse_ok", *features, "twoq_ratio"])
+    return out.select("conv_id", "turn", "logical.parse_ok", *[f"logical.{c}" for c in features], F.round("logical.twoq_ratio", 6).alias("twoq_ratio"))
 
 
 _GATES = "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations), c AS (SELECT conv_id, turn, count(*) AS n, count_if(length(w) % 3 = 0) AS h, count_if(length(w) % 3 = 1) AS x, count_if(length(w) % 3 = 2) AS z FROM w GROUP BY ALL)"
@@ -66,7 +67,7 @@ _GATES = "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w
 def circuit_comparison(spark, sf_dir):
     """Each two-qubit gate of a program is followed by a swap on the other side."""
     both = _programs(spark, sf_dir).withColumn("native_program", F.replace("program", F.lit("cx q[0],q[1]; "), F.lit("cx q[0],q[1]; swap q[0],q[1]; ")))
-    out = circuits.with_structures(both, {"program": "logical", "native_program": "native"})
+    out = circuits.with_structures(both, {"program": "logical", "native_program": "native"}, circuits.COMPARED)
     return out.select("conv_id", "turn", *[(F.round(c, 6) if n.startswith("ratio") else c).alias(n) for n, c in circuits.comparison().items()])
 
 

@@ -289,3 +289,12 @@ def test_tasks_of_connectedness_stay_small(spark, monkeypatch):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     pairs = {g: {frozenset((k % 7, k % 3)) for k in range(g, 1000, 50)} for g in range(50)}
     assert {r.g: (r.nodes, r.edges) for r in out.collect()} == {g: (len(frozenset().union(*p)), sum(len(x) == 2 for x in p)) for g, p in pairs.items()}
+
+
+def test_equal_statements_are_read_once(monkeypatch):
+    seen, plain = [], circuits._Parser.statement
+    monkeypatch.setattr(circuits._Parser, "statement", lambda self, text: seen.append(text) or plain(self, text))
+    p = circuits.parse("qreg q[2]; creg c[2];" + " h q[0]; cx q[0],q[1]; if (c==1) x q[1];" * 500 + " qreg r[2]; h q[0]; measure q -> c;")
+    assert len(seen) < 20 and len(p.steps) == 1503
+    assert circuits.structure(p)["depth"] == circuits.depth_of(p) and circuits.structure(p)["n_2q_gates"] == 500
+    assert [s.condition for s in p.steps[:6]] == [(), (), ((0, 1), (1, 0))] * 2
