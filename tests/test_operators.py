@@ -298,3 +298,13 @@ def test_equal_statements_are_read_once(monkeypatch):
     assert len(seen) < 20 and len(p.steps) == 1503
     assert circuits.structure(p)["depth"] == circuits.depth_of(p) and circuits.structure(p)["n_2q_gates"] == 500
     assert [s.condition for s in p.steps[:6]] == [(), (), ((0, 1), (1, 0))] * 2
+
+
+def test_remembered_programs_are_bounded(monkeypatch):
+    monkeypatch.setattr(circuits, "MOST_HELD", 5000)
+    monkeypatch.setattr(circuits, "_held", {})
+    monkeypatch.setattr(circuits, "_held_size", 0)
+    for k in range(200):
+        got = circuits.remembered("qreg q[1];" + " x q[0];" * (k % 60), ("depth", "canonical"))
+        assert got == circuits.described("qreg q[1];" + " x q[0];" * (k % 60), ("depth", "canonical")) and got[0] == k % 60
+        assert sum(len(t) + len(c) for (t, _), (_, c) in circuits._held.items()) <= 5000
