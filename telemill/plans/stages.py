@@ -19,6 +19,8 @@ from telemill.sources import blobs
 from telemill.sources.io import quoted
 
 SIDES = {"logical": "circuit", "native": "executed_circuit"}
+#: Jobs whose programs a task reads and simulates, about.
+JOBS = 1 << 11
 
 
 def preprocess(jobs: DataFrame, where: str | None = None, excluded: list[str] = (), limit: int | None = None) -> DataFrame:
@@ -27,6 +29,11 @@ def preprocess(jobs: DataFrame, where: str | None = None, excluded: list[str] =
     return out.limit(limit) if limit else out
 
 
+def spread(jobs: DataFrame) -> DataFrame:
+    """Jobs over as many tasks as they ask for: a small file, which is one task's input, may hold very many programs."""
+    return jobs.repartition(max(1, -(-jobs.count() // JOBS)))
+
+
 def expand(jobs: DataFrame, drop_mismatches: bool = False) -> DataFrame:
     """One row for each part of a job; ``result`` becomes counts as JSON with sorted keys in ``result_expanded``."""
     parts = {c: payload.items(F.col(c)) for c in SIDES.values()} | {"result": payload.count_items(F.col("result"))}
@@ -187,5 +194,5 @@ def clean(rows: DataFrame, zone: str = "Europe/Berlin", sparse: float = 0.01) ->
 
 def build(jobs: DataFrame, sensors: DataFrame, seed: int = 42, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All stages up to the row filter."""
-    rows = simulate(normalise(expand(preprocess(jobs))), seed)
+    rows = simulate(normalise(expand(spread(preprocess(jobs)))), seed)
     return filter_rows(with_sensors(dags(features(hellinger(verify_order(rows, cut=cut)))), sensors))

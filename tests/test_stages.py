@@ -78,3 +78,12 @@ def test_default_lists():
 def test_names_are_read_by_their_parts(name, wanted):
     found = record_columns.family(name)
     assert (found and found[0]) == wanted
+
+
+def test_jobs_of_one_small_file_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "JOBS", 10)
+    spark.range(95).coalesce(1).write.parquet(str(tmp_path / "jobs"))
+    jobs = spark.read.parquet(str(tmp_path / "jobs"))
+    out = stages.spread(jobs)
+    assert jobs.rdd.getNumPartitions() == 1 and out.rdd.getNumPartitions() == 10
+    assert sorted(r.id for r in out.collect()) == list(range(95))
