@@ -308,3 +308,20 @@ def test_remembered_programs_are_bounded(monkeypatch):
         got = circuits.remembered("qreg q[1];" + " x q[0];" * (k % 60), ("depth", "canonical"))
         assert got == circuits.described("qreg q[1];" + " x q[0];" * (k % 60), ("depth", "canonical")) and got[0] == k % 60
         assert sum(len(t) + len(c) for (t, _), (_, c) in circuits._held.items()) <= 5000
+
+
+def test_remembered_programs_are_bounded_in_bytes(monkeypatch):
+    """Wide characters take up to four bytes, and each number and tuple takes its own."""
+    import sys
+
+    monkeypatch.setattr(circuits, "MOST_HELD", 20_000)
+    monkeypatch.setattr(circuits, "_held", {})
+    monkeypatch.setattr(circuits, "_held_size", 0)
+    most = 0
+    for k in range(300):
+        text = f"qreg q[2]; // {'\U0001d11e' * (k % 40)}{k}\n" + " h q[0];" * k
+        assert circuits.remembered(text, ("size", "twoq_ratio", "parse_ok")) == (k, 0 if k else None, True)
+        held = [x for key, found in circuits._held.items() for x in (key, key[0], found, *found)]
+        assert sum(map(sys.getsizeof, held)) <= 20_000
+        most = max(most, len(circuits._held))
+    assert most > 10
