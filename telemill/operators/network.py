@@ -1,21 +1,28 @@
 """A small network with device embeddings, trained by mini-batches whose gradients executors work out.
 
-Rows are packed once in blocks by a hash of their key, and executors keep these, each in a known partition.  Each step
-hands the weights to the tasks that hold the blocks of its batch, and runs no others, so an epoch reads each block about
-once; a block's gradient is rounded to whole numbers of a tiny step, so sums don't depend on which tasks hold which
-blocks.  The driver keeps the weights and the optimiser's state; what it gets for a step is a gradient for each task
-that holds blocks of the batch, so at most ``batch / BLOCK`` of them.
+Rows are packed once in blocks by a hash of their key.  Training is one barrier job: its tasks deal the blocks among them,
+keep them in files that have no name, and stay for all steps.  In a step each task sends the gradient of its blocks of the
+batch to the first task, which moves the weights and sends them back, so a step costs a round trip and not a job.  A
+block's gradient is rounded to whole numbers of a tiny step, so sums don't depend on which tasks hold which blocks.
+
+Where tasks can't all run at once (executors that come and go), a step is a job: it hands the weights to the tasks that
+hold the blocks of its batch and runs no others, and the driver moves the weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hmac
+import os
+import secrets
+import socket
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, BarrierTaskContext, SparkContext, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +36,8 @@ from .quantiles import column_quantiles
 BLOCK, STEPS, MOST_DEVICES = 2048, float(1 << 36), 10_000
 #: Partitions over which blocks are dealt at most.
 MOST_PARTS = 1 << 14
+#: Seconds that a task of the barrier job waits for another one.
+PATIENCE = 600
 
 
 @dataclass(frozen=True)
@@ -180,6 +189,12 @@ class Held:
         return cls(rows.persist(StorageLevel.MEMORY_AND_DISK), each)
 
 
+def whole(weights: Weights, rows: int, x: bytes, device: bytes, y: bytes, features: int) -> np.ndarray:
+    """Whole steps of a block's gradient and of its squared error."""
+    loss, g = gradient(weights, np.frombuffer(x).reshape(rows, features), np.frombuffer(device, np.int32), np.frombuffer(y))
+    return np.rint(np.append(flat(g), loss) * STEPS).astype(np.int64)
+
+
 def step_sums(held: Held, batch: list[int] | None, weights: Weights, features: int) -> tuple[int, float, np.ndarray]:
     """Rows, squared error and gradient of the blocks of a batch (None: of all)."""
     wanted = None if batch is None else set(batch)
@@ -188,9 +203,8 @@ def step_sums(held: Held, batch: list[int] | None, weights: Weights, features: i
         n, total = 0, None
         for block, (rows, x, device, y) in blocks:
             if wanted is None or block in wanted:
-                loss, g = gradient(weights, np.frombuffer(x).reshape(rows, features), np.frombuffer(device, np.int32), np.frombuffer(y))
-                whole = np.rint(np.append(flat(g), loss) * STEPS).astype(np.int64)
-                n, total = n + rows, whole if total is None else total + whole
+                more = whole(weights, rows, x, device, y, features)
+                n, total = n + rows, more if total is None else total + more
         if n:
             yield n, total.tobytes()
 
@@ -200,6 +214,134 @@ def step_sums(held: Held, batch: list[int] | None, weights: Weights, features: i
     return sum(n for n, _ in found), float(total[-1]), total[:-1]
 
 
+def batches(blocks: int, each: int, s: Settings) -> Iterator[list[list[int] | None]]:
+    """Each epoch's batches of ``each`` blocks (None: all)."""
+    rnd = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        order = rnd.permutation(blocks).tolist()
+        yield [None if each >= blocks else order[at : at + each] for at in range(0, blocks, each)]
+
+
+def descent(sums: Callable[[list[int] | None, Weights], tuple[int, float, np.ndarray]], weights: Weights, blocks: int, each: int, s: Settings) -> tuple[Weights, list[float]]:
+    """Weights after all steps, and each epoch's mean squared error; ``sums`` gives those of a batch."""
+    now, losses = flat(weights), []
+    first, second, step = np.zeros_like(now), np.zeros_like(now), 0
+    for epoch in batches(blocks, each, s):
+        squares, rows = 0.0, 0
+        for batch in epoch:
+            n, loss, g = sums(batch, weights)
+            if not n:
+                continue
+            step, g = step + 1, g / n
+            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+            now = now - s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+            weights, squares, rows = shaped(now, weights), squares + loss, rows + n
+        losses.append(squares / max(rows, 1))
+    return weights, losses
+
+
+def at_once(context: SparkContext, wanted: int) -> int:
+    """Tasks of a barrier job, up to ``wanted``; 0 where there is none, as executors may come and go."""
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    scala = context._jsc.sc()
+    return min(wanted, scala.maxNumConcurrentTasks(scala.resourceProfileManager().defaultResourceProfile()))
+
+
+class Kept:
+    """A task's blocks, in a file without a name."""
+
+    def __init__(self, blocks: Iterator[tuple]) -> None:
+        self.file, self.place, end = tempfile.TemporaryFile(), {}, 0
+        for block, (n, x, device, y) in blocks:
+            self.place.setdefault(block, []).append((n, end, len(x), len(device), len(y)))
+            for part in (x, device, y):
+                self.file.write(part)
+                end += len(part)
+        self.file.flush()
+
+    def sums(self, batch: list[int] | None, weights: Weights, features: int) -> np.ndarray:
+        """Rows, and whole steps of the gradient and the squared error, of the blocks of a batch that are here."""
+        total = np.zeros(sum(w.size for w in weights.values()) + 2, np.int64)
+        for block in self.place if batch is None else batch:
+            for n, at, *sizes in self.place.get(block, ()):
+                raw = os.pread(self.file.fileno(), sum(sizes), at)
+                x, device, y = raw[: sizes[0]], raw[sizes[0] : sizes[0] + sizes[1]], raw[sizes[0] + sizes[1] :]
+                total[0] += n
+                total[1:] += whole(weights, n, x, device, y, features)
+        return total
+
+
+def received(peer: socket.socket, size: int) -> bytearray:
+    out, at = bytearray(size), 0
+    while at < size:
+        if not (got := peer.recv_into(memoryview(out)[at:])):
+            raise ConnectionError("a task of the network's training has gone")
+        at += got
+    return out
+
+
+def met(task: BarrierTaskContext) -> list[socket.socket]:
+    """The first task's connections to all others, and the others' to the first one."""
+    rank, infos = task.partitionId(), task.getTaskInfos()
+    if len(infos) == 1:
+        return []
+    server = socket.create_server(("", 0), backlog=len(infos)) if not rank else None
+    said = task.allGather(f"{server.getsockname()[1]} {secrets.token_hex(16)}" if server else "")
+    port, token = next(x for x in said if x).split()
+    peers: list[socket.socket] = []
+    if server:
+        server.settimeout(PATIENCE)
+        while len(peers) < len(infos) - 1:
+            peer, _ = server.accept()
+            peer.settimeout(PATIENCE)
+            if hmac.compare_digest(bytes(received(peer, len(token))), token.encode()):
+                peers.append(peer)
+            else:
+                peer.close()
+        server.close()
+    else:
+        peers = [socket.create_connection((infos[0].address.rsplit(":", 1)[0], int(port)), PATIENCE)]
+        peers[0].sendall(token.encode())
+    for peer in peers:
+        peer.settimeout(PATIENCE)
+        peer.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return peers
+
+
+def together(packed: DataFrame, blocks: int, each: int, tasks: int, weights: Weights, features: int, s: Settings) -> tuple[Weights, list[float]]:
+    """``descent`` by one job of ``tasks`` tasks that all run at once; block k is with task ``k % tasks``."""
+
+    def run(mine: Iterator[tuple]) -> Iterator[tuple[bytes, list[float]]]:
+        task, kept = BarrierTaskContext.get(), Kept(mine)
+        peers, size = met(task), flat(weights).size
+
+        def sums(batch: list[int] | None, now: Weights) -> tuple[int, float, np.ndarray]:
+            for peer in peers:
+                peer.sendall(flat(now).tobytes())
+            total = kept.sums(batch, now, features)
+            for peer in peers:
+                total = total + np.frombuffer(received(peer, 8 * (size + 2)), np.int64)
+            return int(total[0]), float(total[-1] / STEPS), total[1:-1] / STEPS
+
+        try:
+            if not task.partitionId():
+                now, losses = descent(sums, weights, blocks, each, s)
+                yield flat(now).tobytes(), losses
+            else:
+                for epoch in batches(blocks, each, s):
+                    for batch in epoch:
+                        now = shaped(np.frombuffer(received(peers[0], 8 * size)), weights)
+                        peers[0].sendall(kept.sums(batch, now, features).tobytes())
+        finally:
+            for peer in peers:
+                peer.close()
+
+    rows = packed.rdd.map(lambda r: (r.block, (r.n, r.x, r.device, r.y))).partitionBy(tasks, lambda k: k % tasks)
+    ((raw, losses),) = rows.barrier().mapPartitions(run).collect()
+    return shaped(np.frombuffer(raw).copy(), weights), losses
+
+
 def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[str], settings: Settings | None = None) -> Network:
     """A network for targets from 0 to 1, from all rows that have one; ``key`` names the columns that tell rows apart.
 
@@ -209,20 +351,12 @@ def fit(df: DataFrame, features: list[str], device: str, target: str, key: list[
     s = settings or Settings()
     net = prepared(df, features, device, s)
     packed, blocks = pack(net, df, target, key)
+    each = max(1, s.batch // BLOCK)
+    tasks = at_once(df.sparkSession.sparkContext, min(each, blocks))
+    if tasks:
+        net.weights, net.losses = together(packed, blocks, each, tasks, net.weights, len(features), s)
+        return net
     held = Held.of(packed, blocks)
-    rnd, each = np.random.default_rng(s.seed), max(1, s.batch // BLOCK)
-    now = flat(net.weights)
-    first, second, step = np.zeros_like(now), np.zeros_like(now), 0
-    for _ in range(s.epochs):
-        order, squares, rows = rnd.permutation(blocks).tolist(), 0.0, 0
-        for at in range(0, blocks, each):
-            n, loss, g = step_sums(held, None if each >= blocks else order[at : at + each], net.weights, len(features))
-            if not n:
-                continue
-            step, g = step + 1, g / n
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            now = now - s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            net.weights, squares, rows = shaped(now, net.weights), squares + loss, rows + n
-        net.losses.append(squares / max(rows, 1))
+    net.weights, net.losses = descent(lambda batch, w: step_sums(held, batch, w, len(features)), net.weights, blocks, each, s)
     held.rows.unpersist()
     return net

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The bin of missing values; others are counted from 0.
 MISSING = 255
+SLOTS = MISSING + 1
 
 
 @dataclass
@@ -40,15 +42,25 @@ class Tree:
 
     def ends(self, bins: np.ndarray) -> np.ndarray:
         """The node where each row ends; ``bins`` has a row for each feature."""
-        at = np.zeros(bins.shape[1], dtype=np.int64)
-        every = np.arange(bins.shape[1])
-        while True:
-            inner = self.left[at] >= 0
-            if not inner.any():
-                return at
-            b = bins[np.maximum(self.feature[at], 0), every]
-            left = np.where(b == MISSING, self.missing_left[at], b <= self.bin[at])
-            at = np.where(inner, np.where(left, self.left[at], self.right[at]), at)
+        n, at = bins.shape[1], np.zeros(bins.shape[1], dtype=np.int64)
+        depth, where = self._steps
+        flat, every, start = np.ascontiguousarray(bins).ravel(), np.arange(n), np.maximum(self.feature, 0) * n
+        for _ in range(depth):
+            at = where[at * SLOTS + flat[start[at] + every]]
+        return at
+
+    @cached_property
+    def _steps(self) -> tuple[int, np.ndarray]:
+        """The tree's depth, and the node that follows each node and bin; a leaf follows itself."""
+        inner = np.flatnonzero(self.left >= 0)
+        where = np.repeat(np.arange(len(self.left))[:, None], SLOTS, axis=1)
+        left = np.arange(SLOTS) <= self.bin[inner, None]
+        left[:, MISSING] = self.missing_left[inner]
+        where[inner] = np.where(left, self.left[inner, None], self.right[inner, None])
+        depth = np.zeros(len(self.left), np.int64)
+        for k in inner.tolist():  # a node stands before its children
+            depth[[self.left[k], self.right[k]]] = depth[k] + 1
+        return int(depth.max()), where.ravel()
 
     def __call__(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.ends(bins)]

@@ -75,3 +75,17 @@ def test_small_and_empty_tables(spark):
     few = forest.predict(df.limit(3), df, ["a", "b"], "y", ["id"], settings=forest.Settings(trees=40, least=1))
     assert few.where("prediction is null or isnan(prediction)").count() == 0 and few.count() == 40
     assert forest.predict(df, df.where("false"), ["a"], "y", ["id"], settings=forest.Settings(trees=2)).count() == 0
+
+
+def test_rows_of_equal_bins_are_one_cell(spark, monkeypatch):
+    df = spark.range(6000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumns({"y": F.col("a") * F.col("b") + F.rand(3), "is_test": F.col("id") % 4 == 0}).cache()
+    train, test, s = df.where("not is_test"), df.where("is_test"), forest.Settings(trees=3, local=500)
+    sizes, lower = [], forest._lower
+    monkeypatch.setattr(forest, "_lower", lambda pieces, *a: sizes.append({r.kind: r.n for r in pieces.groupBy("kind").agg(F.sum("n").alias("n")).collect()}) or lower(pieces, *a))
+    cells = {r.id: r.prediction for r in forest.predict(train, test, ["a", "b"], "y", ["id"], settings=s).collect()}
+    tasks = df.rdd.getNumPartitions()
+    assert sizes[0][1] == 3 * 35 and sizes[0][0] <= 3 * 35 * tasks and len(cells) == 1500
+    monkeypatch.setattr(forest, "cells", lambda blocks, *_: blocks.selectExpr("*", "cast(null as binary) w", "cast(null as binary) steps"))
+    rows = {r.id: r.prediction for r in forest.predict(train, test, ["a", "b"], "y", ["id"], settings=s).collect()}
+    assert sizes[1][0] > 5000 and rows == pytest.approx(cells)
